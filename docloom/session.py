@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -24,3 +27,17 @@ def build_session(name: str = "docloom", cores: str | int = "*", **conf: str) ->
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors once a session, as ``--py-files`` would."""
+    context = spark.sparkContext
+    if not getattr(context, "_docloom_shipped", False):
+        root = Path(__file__).parent
+        archive = Path(tempfile.mkdtemp(prefix="docloom-")) / "docloom_package.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for path in sorted(root.rglob("*.py")):
+                out.write(path, path.relative_to(root.parent))
+        context.addPyFile(str(archive))
+        context._docloom_shipped = True
+    return spark
