@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import line_dedup, materialisation, packing, sharding, toxicity, url_filter
+from docloom.llm import fingerprints, line_dedup, materialisation, packing, sharding, toxicity, url_filter
 from docloom.llm.common import doc_number
 
 #: The rules of the URL contract: verdict, host, start of the path.
@@ -18,6 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFram
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_edited(table(spark, sf_dir).select("doc_id", "text"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.dedup_lines(table(spark, sf_dir).select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -51,6 +55,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_order_minhash": op1_order_minhash,
         "op2_line_dedup": op2_line_dedup,
         "op4_url_rules": op4_url_rules,
         "op5_histogram_shards": op5_histogram_shards,
