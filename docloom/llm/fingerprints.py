@@ -15,11 +15,12 @@ from docloom.llm.common import materialise, partitions
 
 #: Fixed value: a token of a text.
 TOKEN = r"(?s)\s*\S{1,16}|\s+"
-SKETCHES, AT_BITS = 64, 28
+#: A sketch is kept as 6 bits of its number and 26 bits of its hash.
+SKETCHES, HASH_BITS, AT_BITS = 64, 26, 28
 
 
 def order_minhash(rows: DataFrame, keys: Sequence[str], text: str, dealt: bool = False) -> DataFrame:
-    """One row for each value of ``keys``: the keys and ``pairs``, the sketches as sorted longs (number in the high half, hash of the tuple in the low half).
+    """One row for each value of ``keys``: the keys and ``pairs``, the sketches as sorted integers (number in the high bits, hash of the tuple in the low ones).
 
     Rows are moved once, by key, before texts are cut up; ``dealt`` says that they already lie together by some of the keys. A text with no token has no pairs.
     """
@@ -28,8 +29,8 @@ def order_minhash(rows: DataFrame, keys: Sequence[str], text: str, dealt: bool =
     words = words.select(*keys, "__words", F.posexplode_outer("__words").alias("__at", "__word"))
     kmer = F.xxhash64("__word", F.get("__words", F.col("__at") + 1), F.get("__words", F.col("__at") + 2))
     kmers = words.select(*keys, "__at", F.when(F.col("__at").isNotNull(), kmer).alias("__kmer"))
-    kmers = kmers.withColumn("__own", F.xxhash64("__kmer", *keys))  # first in the order below, it decides nearly every comparison
-    number = F.row_number().over(Window.partitionBy("__own", *keys, "__kmer").orderBy("__at"))
+    # The hash stands first in the order, where it decides nearly every comparison.
+    number = F.row_number().over(Window.partitionBy("__kmer", *keys).orderBy("__at"))
     hashed = kmers.select(*keys, "__at", F.when(F.col("__at").isNotNull(), F.xxhash64("__kmer", number)).alias("__h"))
     low = (1 << AT_BITS) - 1
     element = F.col("__h").bitwiseAND(F.lit(~low)).bitwiseOR(F.col("__at").cast("long"))
@@ -39,20 +40,20 @@ def order_minhash(rows: DataFrame, keys: Sequence[str], text: str, dealt: bool =
     )
     a, b = F.shiftright("__a", AT_BITS), F.shiftright("__b", AT_BITS)
     a_first = F.col("__b").isNull() | (F.col("__a").bitwiseAND(F.lit(low)) < F.col("__b").bitwiseAND(F.lit(low)))
-    tuple_hash = F.when(F.col("__a").isNotNull() & a_first, F.hash(a, b)).otherwise(F.hash(b, a)).cast("long")
-    pair = F.shiftleft("__j", 32).bitwiseOR(tuple_hash.bitwiseAND(F.lit(0xFFFFFFFF)))
+    tuple_hash = F.when(F.col("__a").isNotNull() & a_first, F.hash(a, b)).otherwise(F.hash(b, a))
+    pair = F.shiftleft(F.col("__j").cast("int"), HASH_BITS).bitwiseOR(tuple_hash.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
     return least.select(*keys, pair.alias("__pair")).groupBy(*keys).agg(F.sort_array(F.collect_list("__pair")).alias("pairs"))
 
 
 def as_text(pairs: Column) -> Column:
-    """Two hex digits of the sketch's number and eight of its hash, for each sketch that the text fills."""
-    return F.array_join(F.transform(pairs, lambda p: F.lpad(F.lower(F.hex(p)), 10, "0")), "")
+    """Eight hex digits for each sketch that the text fills."""
+    return F.array_join(F.transform(pairs, lambda p: F.lpad(F.lower(F.hex(p.bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0")), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Share of the sketches filled in either text that agree; 1 for two texts that fill none."""
     same = F.size(F.array_intersect(a, b))
-    filled = F.size(F.array_union(F.transform(a, lambda p: F.shiftright(p, 32)), F.transform(b, lambda p: F.shiftright(p, 32))))
+    filled = F.size(F.array_union(F.transform(a, lambda p: F.shiftrightunsigned(p, HASH_BITS)), F.transform(b, lambda p: F.shiftrightunsigned(p, HASH_BITS))))
     return F.when(filled == 0, F.lit(1.0)).otherwise(same / filled)
 
 
@@ -95,7 +96,8 @@ def compare_edited(docs: DataFrame) -> DataFrame:
     links = materialise(neighbours(keyed))
     if (links.agg(F.max("copies")).first()[0] or 0) > 1:
         keyed = keyed.dropDuplicates(["k", "t"])
-    linked = keyed.select("k", "t", "text").join(links.hint("merge"), ["k", "t"])
+    # A text's tokens take many times its room, so texts are dealt finer than other rows.
+    linked = keyed.select("k", "t", "text").repartition(4 * partitions(docs.sparkSession), "k", "t").join(links.hint("merge"), ["k", "t"])
     heads = linked.select(F.col("previous.k").alias("k"), F.col("previous.t").alias("t"), F.left("text", F.floor(F.col("previous.n") / 2).cast("int")).alias("head"))
     both = linked.join(heads.hint("merge"), ["k", "t"])
     edited = F.concat(F.left("text", F.col("n") - F.floor(F.col("n") / 2).cast("int")), "head")
