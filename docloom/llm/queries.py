@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import fingerprints, line_dedup, materialisation, packing, sharding, toxicity, url_filter
+from docloom.llm import decontamination, fingerprints, hmm, line_dedup, materialisation, near_dedup, packing, sharding, toxicity, url_filter
 from docloom.llm.common import doc_number
 
 #: The rules of the URL contract: verdict, host, start of the path.
@@ -27,6 +27,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op3_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_contaminated(table(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -42,6 +46,14 @@ def op6_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialisation.digest(materialisation.training_order(table(spark, sf_dir)))
 
 
+def op7_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_classes(table(spark, sf_dir)).select("doc_id", "class_id", "n_docs", "is_first")
+
+
+def op8_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score_documents(table(spark, sf_dir), F.pmod(doc_number(), F.lit(7)) == 2)
+
+
 def op9_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir))
 
@@ -54,12 +66,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    import corpus_pipeline
+
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_order_minhash": op1_order_minhash,
         "op2_line_dedup": op2_line_dedup,
+        "op3_template_decontamination": op3_template_decontamination,
         "op4_url_rules": op4_url_rules,
         "op5_histogram_shards": op5_histogram_shards,
         "op6_training_order": op6_training_order,
+        "op7_bag_minhash": op7_bag_minhash,
+        "op8_hidden_markov": op8_hidden_markov,
         "op9_packed_sequences": op9_packed_sequences,
         "op10_toxicity": op10_toxicity,
     }
