@@ -140,7 +140,7 @@ def pack(docs: DataFrame, capacity: int = 2048, end_id: int = 1, path: str | Non
     found = spark.sparkContext.broadcast(places(pack_histogram(histogram, capacity)))
     before = groups.select("length", "part", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("before"))
     order = Window.partitionBy("length", "part").orderBy("doc_id", "start", "ids_crc32")
-    ranked = cut.withColumn("own", F.row_number().over(order)).join(before, ["length", "part"]).withColumn("rank", F.col("before") + F.col("own") - 1)
+    ranked = cut.withColumn("own", F.row_number().over(order)).join(before.hint("merge"), ["length", "part"]).withColumn("rank", F.col("before") + F.col("own") - 1)
 
     @F.pandas_udf("sequence_id long, offset long")
     def placed(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
