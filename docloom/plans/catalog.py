@@ -1,4 +1,4 @@
-"""The named queries of the library and their SQL."""
+"""The named queries of the library and their SQL, gathered from the modules of this package."""
 
 from __future__ import annotations
 
@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docloom.plans import chunk_queries, graph_queries, scalar_queries, search_queries, table_queries
+
+MODULES = (search_queries, scalar_queries, chunk_queries, graph_queries, table_queries)
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    return search_queries.knn_tenant_join_topk(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: query for module in MODULES for name, query in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for module in MODULES for name, sql in module.SQL.items()}
