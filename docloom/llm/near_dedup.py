@@ -189,7 +189,13 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, block_rows: int = 1024
     sketches = materialise(signatures(rows).alias("r").join(nodes.alias("n"), of_node).select("n.node", "r.size", "signature", "bands"))
     keys = sketches.select("node", F.explode("bands").alias("key"))
     buckets = keys.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).filter("n > 1")
-    edges = keys.join(buckets, "key").filter("node <> a").select("a", F.col("node").alias("b")).distinct()
+    shared = materialise(keys.join(buckets, "key").select("key", "node", "a"))
+    # A node is tied to the least node of its buckets, and a bucket ties the least nodes of its members: few edges, the same components.
+    least_of = shared.groupBy("node").agg(F.min("a").alias("m"))
+    named = shared.select("key", "node").join(least_of, "node").select("key", "m").distinct()
+    lows = named.groupBy("key").agg(F.min("m").alias("low"))
+    ties = named.join(lows, "key").filter("m <> low").select(F.col("low").alias("a"), F.col("m").alias("b")).distinct()
+    edges = least_of.filter("m <> node").select(F.col("m").alias("a"), F.col("node").alias("b")).unionByName(ties)
     groups = connected_components(edges)
     wanted = groups.join(sketches, "node").select("node", "component", "size", "signature")
     sizes = wanted.groupBy("component").agg(F.count("*").alias("members"), F.sum("size").alias("bytes"))
