@@ -1,6 +1,7 @@
 """A hidden Markov language model over whole corpora.
 
-Latent states emit word classes (a hash of the word into a fixed number of classes, and one class for the end of a text); a class emits its words by their counts. So the matrices have a fixed size, while word counts follow the corpus and stay in tables.
+Latent states emit word classes: a hash of the word into a fixed number of classes, one class for rare words and one for the end of a text. A class emits its words by their counts. So the matrices have a fixed size, while word counts follow the corpus and stay in tables.
+Rare words are those that training has once or never; the unseen ones count as one word together, whose share comes from the words seen once and twice.
 Texts are coded once, a block of texts a row. Baum-Welch counts are summed over blocks by Spark; the scaled forward recursion then gives every text's exact log-likelihood.
 """
 
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from docloom.llm.common import group_sums, materialise, slices, word_codes, word_hashes
 
 CLASSES = 8192
-END = CLASSES
+RARE, END = CLASSES, CLASSES + 1
 #: Tokens of a training window: all tokens are used, a longer text as several windows.
 WINDOW = 256
 
@@ -99,7 +100,7 @@ def _forward(start: np.ndarray, move: np.ndarray, emit: np.ndarray, lengths: np.
         gammas[begin[:n] + t] = gamma
         if t == 0:
             starts += gamma.sum(axis=0)
-    return logs, starts, moves, np.stack([np.bincount(classes, gammas[:, k], CLASSES + 1) for k in range(states)])
+    return logs, starts, moves, np.stack([np.bincount(classes, gammas[:, k], END + 1) for k in range(states)])
 
 
 def _windows(lengths: np.ndarray) -> np.ndarray:
@@ -124,16 +125,17 @@ def _prepare(blocks: DataFrame, counts: DataFrame, totals: tuple, ends: int) ->
     joined = blocks.drop("words", "taught").join(known, "block", "left")
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, _, class_n, class_v = sent.value
+        _, _, class_n, once, unseen = sent.value
         for batch in batches:
             for at in range(batch.num_rows):
                 row = {c: batch[c][at] for c in batch.schema.names}
                 lengths = np.asarray(row["lengths"].values, dtype=np.int64)
                 codes = np.frombuffer(row["codes"].as_py() or b"", dtype=np.int32)
                 n = np.frombuffer(row["counts"].as_py() or b"", dtype=np.int64)
-                classes = np.asarray(row["classes"].values, dtype=np.int64)
+                classes = np.array(row["classes"].values, dtype=np.int64)
                 base = np.log10((n + 1) / (n_all + v_all + 1))
-                within = np.log10((n + 1) / (class_n[classes] + class_v[classes] + 1))
+                classes[n < 2] = RARE
+                within = np.log10(np.where(n > 1, n / np.maximum(class_n[classes], 1), np.where(n == 1, (1 - unseen) / max(once, 1), unseen)))
                 sums = [group_sums(x[codes], lengths) for x in (base, within, n > 0)]
                 out = np.empty(len(codes) + len(lengths), dtype=np.uint16)
                 last = np.cumsum(lengths + 1) - 1
@@ -183,7 +185,7 @@ def _expect(coded: DataFrame, model: tuple) -> tuple[float, np.ndarray, np.ndarr
     schema = "part int, sums binary"
     added = coded.select("lengths", "held", "classes").mapInArrow(expect, schema).groupBy("part").applyInArrow(add, schema)
     rows = added.groupBy("part").applyInArrow(add, schema).collect()  # one row
-    total = np.frombuffer(rows[0]["sums"], dtype=np.float64) if rows else np.zeros(1 + states + states**2 + states * (CLASSES + 1))
+    total = np.frombuffer(rows[0]["sums"], dtype=np.float64) if rows else np.zeros(1 + states + states**2 + states * (END + 1))
     starts, moves, emissions = np.split(total[1:], [states, states + states**2])
     return float(total[0]), starts, moves.reshape(states, states), emissions.reshape(states, -1)
 
@@ -209,20 +211,28 @@ def score_documents(docs: DataFrame, held_out: Column, states: int = 6, rounds:
     """Train on the documents for which ``held_out`` is not true and score all.
 
     Tokens are the words between ASCII white space, A-Z lower-cased, then one end. Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10); a text's score sums, over all state paths, the probabilities of its tokens.
-    A word that training lacks takes the share that its class keeps for unknown words. A null or empty text is the end alone; a null ``held_out`` counts as false; repeated rows are scored each. Without training rows, all words are unknown; an empty table gives no rows.
+    A word that training lacks has the probability of the one unseen word. A null or empty text is the end alone; a null ``held_out`` counts as false; repeated rows are scored each. Without training rows, all words are unknown; an empty table gives no rows.
     """
     spark = docs.sparkSession
     blocks = materialise(code_blocks(docs, held_out))
     counts = materialise(count_words(blocks))
-    by_class = counts.groupBy("class").agg(F.sum("taught").alias("n"), F.sum((F.col("first") & (F.col("n") > 0)).cast("long")).alias("v")).collect()
-    class_n, class_v = np.zeros(CLASSES + 1, dtype=np.int64), np.zeros(CLASSES + 1, dtype=np.int64)
-    for r in by_class:  # at most CLASSES rows
-        class_n[r["class"]], class_v[r["class"]] = r["n"], r["v"]
+    first, taught, n = F.col("first"), F.col("taught"), F.col("n")
+    by_class = counts.groupBy("class").agg(
+        F.sum("taught").alias("all"), F.sum(F.when(n > 1, taught).otherwise(0)).alias("often"),
+        F.count_if(first & (n > 0)).alias("words"), F.count_if(first & (n == 1)).alias("once"), F.count_if(first & (n == 2)).alias("twice"),
+    ).collect()  # at most CLASSES rows
+    class_n = np.zeros(END + 1, dtype=np.int64)
+    for r in by_class:
+        class_n[r["class"]] = r["often"]
+    once, twice = sum(r["once"] for r in by_class), sum(r["twice"] for r in by_class)
     ends = blocks.select(F.explode("held").alias("h")).agg(F.count_if(~F.col("h"))).first()[0]
-    n_all, v_all = int(class_n.sum()) + ends, int(class_v.sum()) + (ends > 0)
-    coded = materialise(_prepare(blocks, counts, (n_all, v_all, class_n, class_v), ends))
-    class_n[END] = ends
-    prior = (class_n + class_v + 1) / (class_n + class_v + 1).sum()
+    n_all, v_all = sum(r["all"] for r in by_class) + ends, sum(r["words"] for r in by_class) + (ends > 0)
+    unseen = (once + 1) / (once + 2 * twice + 2)
+    coded = materialise(_prepare(blocks, counts, (n_all, v_all, class_n, once, unseen), ends))
+    class_n[RARE], class_n[END] = once, ends
+    prior = (class_n + 1e-3) / (class_n + 1e-3).sum()
+    prior[RARE], prior[END] = max(prior[RARE], 1e-4), max(prior[END], 1e-4)
+    prior /= prior.sum()
     model = _initial(prior, states, seed)
     for _ in range(rounds):
         _, starts, moves, emissions = _expect(coded, model)

@@ -60,7 +60,7 @@ def test_forward_equals_the_sum_over_paths():
     rng = np.random.default_rng(3)
     start = np.array([0.3, 0.7])
     move = np.array([[0.6, 0.4], [0.1, 0.9]])
-    emit = rng.random((hmm.CLASSES + 1, 2))
+    emit = rng.random((hmm.END + 1, 2))
     lengths, classes = np.array([3, 1, 5]), rng.integers(0, 50, 9)
     logs = hmm._forward(start, move, emit, lengths, classes)
     at = 0
@@ -79,7 +79,7 @@ def test_baum_welch_raises_the_likelihood():
     rng = np.random.default_rng(4)
     lengths = np.full(40, 12)
     classes = np.concatenate([rng.integers(0, 20, 12) + (k % 2) * 20 for k in range(40)])
-    prior = np.ones(hmm.CLASSES + 1) / (hmm.CLASSES + 1)
+    prior = np.ones(hmm.END + 1) / (hmm.END + 1)
     model, seen = hmm._initial(prior, 2, 1), []
     for _ in range(6):
         logs, starts, moves, emissions = hmm._forward(*model, lengths, classes, backward=True)
