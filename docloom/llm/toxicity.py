@@ -1,6 +1,7 @@
 """Toxicity scores by a factorization machine over hashed terms.
 
-Terms are words, their starts and pairs of neighbours' classes folded into 64-bit hashes; a text's terms count once each. The machine adds a weight for each term and the product of two terms' factors for each pair, so that two terms together can say more than both alone.
+Terms are words and the starts of words, as 64-bit hashes; a text's terms count once each. The machine adds a weight for each term and the product of two terms' factors for each pair, so that two terms together can say more than both alone.
+Most terms say nothing: weights are held at zero unless the texts speak against it clearly, and only terms with a weight get factors.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ from pyspark.sql import functions as F
 from docloom.llm.common import slices, strings, word_codes, word_hashes
 from docloom.llm.tokens import PUNCTUATION
 
-#: Characters of a word's start that are a term of their own.
-START = 5
+#: Lengths of a word's starts that are terms of their own.
+STARTS = (4, 6)
 
 
 @dataclass
@@ -40,69 +41,91 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(total, -40, 40)))
 
 
+def word_terms(words: pa.Array) -> np.ndarray:
+    """The term hashes of each word, a column for the word and for each of its starts; punctuation at its ends is left out."""
+    stems = pc.utf8_lower(pc.ascii_trim(words, PUNCTUATION))
+    out = []
+    for column, length in enumerate((None, *STARTS)):
+        distinct = (stems if length is None else pc.utf8_slice_codeunits(stems, 0, length)).dictionary_encode()
+        out.append(word_hashes(distinct.dictionary, column)[np.asarray(distinct.indices, dtype=np.int64)])
+    return np.stack(out, axis=1)
+
+
 def term_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct term hashes of each text, and how many each has."""
+    """How many distinct terms each text has, and their hashes."""
     counts, codes, words = word_codes(texts)
-    stems = pc.utf8_lower(pc.ascii_trim(words, PUNCTUATION))
-    starts = pc.utf8_slice_codeunits(stems, 0, START)
-    distinct = stems.dictionary_encode()
-    whole = word_hashes(distinct.dictionary)[np.asarray(distinct.indices)] if len(words) else np.zeros(0, np.uint64)
-    distinct = starts.dictionary_encode()
-    short = word_hashes(distinct.dictionary, 1)[np.asarray(distinct.indices)] if len(words) else np.zeros(0, np.uint64)
     row = np.repeat(np.arange(len(counts)), counts)
-    # One pass of sorting finds a text's distinct words; a word brings its own hash and that of its start.
     pairs = np.unique(row * max(1, len(words)) + codes)
     row, code = pairs // max(1, len(words)), pairs % max(1, len(words))
-    both = np.concatenate((whole[code], short[code]))
-    row = np.concatenate((row, row))
-    order = np.lexsort((both, row))
-    both, row = both[order], row[order]
-    first = np.ones(len(both), dtype=bool)
-    first[1:] = (both[1:] != both[:-1]) | (row[1:] != row[:-1])
-    return np.bincount(row[first], minlength=len(counts)), both[first]
+    terms = word_terms(words)[code].ravel()
+    row = np.repeat(row, 1 + len(STARTS))
+    order = np.lexsort((terms, row))
+    terms, row = terms[order], row[order]
+    first = np.ones(len(terms), dtype=bool)
+    first[1:] = (terms[1:] != terms[:-1]) | (row[1:] != row[:-1])
+    return np.bincount(row[first], minlength=len(counts)), terms[first]
+
 
+def fit(
+    counts: np.ndarray, terms: np.ndarray, labels: np.ndarray, factors: int = 4, min_texts: int = 3, epochs: int = 8, rate: float = 0.3, l1: float = 12.0, l2: float = 0.1, batch: int = 64, seed: int = 7
+) -> Machine:
+    """Train by mini-batches on the logistic loss: weights by follow-the-regularised-leader with an L1 penalty, factors of terms with a weight by Adagrad.
 
-def fit(counts: np.ndarray, terms: np.ndarray, labels: np.ndarray, factors: int = 4, min_texts: int = 4, epochs: int = 12, rate: float = 0.1, decay: float = 2e-5, batch: int = 128, seed: int = 7) -> Machine:
-    """Train by mini-batches with per-weight step sizes (Adagrad) on the logistic loss. Terms in fewer than ``min_texts`` texts are left out."""
+    Terms in fewer than ``min_texts`` texts are left out, and those without a weight at the end.
+    """
     rng = np.random.default_rng(seed)
     kept, freq = np.unique(terms, return_counts=True)
     kept = kept[freq >= min_texts]
     row = np.repeat(np.arange(len(counts)), counts)
-    at = np.searchsorted(kept, terms)
-    known = (at < len(kept)) & (kept[np.minimum(at, len(kept) - 1)] == terms) if len(kept) else np.zeros(len(terms), dtype=bool)
+    at, known = _places(kept, terms)
     row, at = row[known], at[known]
     counts = np.bincount(row, minlength=len(counts))
     ends = np.cumsum(counts)
     share = min(max(labels.mean() if len(labels) else 0.0, 1e-3), 1 - 1e-3)
     bias, bias_square = float(np.log(share / (1 - share))), 1e-8
-    weights, square = np.zeros(len(kept)), np.full(len(kept), 1e-8)
-    vectors, vsquare = rng.normal(0, 0.01, (len(kept), factors)), np.full((len(kept), factors), 1e-8)
+    z, n = np.zeros(len(kept)), np.zeros(len(kept))
+    vectors, square = rng.normal(0, 0.05, (len(kept), factors)), np.full((len(kept), factors), 1e-8)
+
+    def weight(z: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return np.where(np.abs(z) > l1, -(z - np.sign(z) * l1) / ((1 + np.sqrt(n)) / rate + l2), 0.0)
+
     for _ in range(epochs if len(labels) else 0):
         order = rng.permutation(len(counts))
         for start in range(0, len(order), batch):
             rows = order[start : start + batch]
-            n = counts[rows]
-            own = np.repeat(np.arange(len(rows)), n)
-            used = at[np.repeat(ends[rows] - n - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-            v = vectors[used]
-            sums = np.zeros((len(rows), factors))
-            np.add.at(sums, own, v)
-            squares = np.bincount(own, (v * v).sum(1), len(rows))
-            z = bias + np.bincount(own, weights[used], len(rows)) + 0.5 * ((sums**2).sum(1) - squares)
-            error = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - labels[rows]
+            size = counts[rows]
+            own = np.repeat(np.arange(len(rows)), size)
+            used = at[np.repeat(ends[rows] - size - (np.cumsum(size) - size), size) + np.arange(size.sum())]
             places, back = np.unique(used, return_inverse=True)
-            g = np.bincount(back, error[own], len(places)) / len(rows) + decay * weights[places]
-            square[places] += g * g
-            weights[places] -= rate * g / np.sqrt(square[places])
-            gv = error[own][:, None] * (sums[own] - v)
+            w = weight(z[places], n[places])
+            live = (w != 0)[back]
+            v, row_live, place_live = vectors[used[live]], own[live], back[live]
+            sums = np.stack([np.bincount(row_live, v[:, f], len(rows)) for f in range(factors)], axis=1)
+            squares = np.bincount(row_live, (v * v).sum(1), len(rows))
+            margin = bias + np.bincount(own, w[back], len(rows)) + 0.5 * ((sums**2).sum(1) - squares)
+            error = 1 / (1 + np.exp(-np.clip(margin, -40, 40))) - labels[rows]
+            g = np.bincount(back, error[own], len(places))
+            z[places] += g - (np.sqrt(n[places] + g * g) - np.sqrt(n[places])) / rate * w
+            n[places] += g * g
+            pull = error[row_live][:, None] * (sums[row_live] - v)
+            touched = places[w != 0]
             for f in range(factors):
-                g = np.bincount(back, gv[:, f], len(places)) / len(rows) + decay * vectors[places, f]
-                vsquare[places, f] += g * g
-                vectors[places, f] -= 0.2 * rate * g / np.sqrt(vsquare[places, f])
+                g = np.bincount(place_live, pull[:, f], len(places))[w != 0] + 0.01 * vectors[touched, f]
+                square[touched, f] += g * g
+                vectors[touched, f] -= 0.05 * g / np.sqrt(square[touched, f])
             g = float(error.mean())
             bias_square += g * g
-            bias -= rate * g / np.sqrt(bias_square)
-    return Machine(bias, kept, weights, vectors)
+            bias -= 0.1 * g / np.sqrt(bias_square)
+    w = weight(z, n)
+    return Machine(bias, kept[w != 0], w[w != 0], vectors[w != 0])
+
+
+def _places(kept: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each term stands in the sorted ``kept``, and whether it does."""
+    if not len(kept):
+        return np.zeros(terms.shape, dtype=np.int64), np.zeros(terms.shape, dtype=bool)
+    at = np.minimum(np.searchsorted(kept, terms), len(kept) - 1)
+    return at, kept[at] == terms
 
 
 def train(docs: DataFrame, labels: DataFrame, train_on=None, max_rows: int = 20_000, **options) -> Machine:
@@ -147,12 +170,13 @@ def score(docs: DataFrame, machine: Machine, threshold: float = 0.3) -> DataFram
         for whole in batches:
             out = []
             for part in slices(iter([pa.RecordBatch.from_arrays([whole], names=["text"])])):
-                counts, terms = term_hashes(part["text"])
-                at = np.searchsorted(sent.value.terms, terms)
-                size = len(sent.value.terms)
-                hit = (at < size) & (sent.value.terms[np.minimum(at, size - 1)] == terms) if size else np.zeros(len(terms), dtype=bool)
-                row = np.repeat(np.arange(len(counts)), counts)[hit]
-                out.append(sent.value.scores(np.bincount(row, minlength=len(counts)), at[hit]))
+                counts, codes, words = word_codes(part["text"])
+                at, hit = _places(sent.value.terms, word_terms(words))
+                some = np.flatnonzero(hit.any(axis=1)[codes])  # the few tokens that bring a term the machine knows
+                row = np.repeat(np.arange(len(counts)), counts)[some]
+                size = max(1, len(sent.value.terms))
+                pairs = np.unique((row[:, None] * size + at[codes[some]])[hit[codes[some]]])
+                out.append(sent.value.scores(np.bincount(pairs // size, minlength=len(counts)), pairs % size))
             yield pa.array(np.concatenate(out) if out else np.zeros(0))
 
     return docs.select(*kept).withColumn("score", toxic("text")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
