@@ -118,7 +118,8 @@ def test_factors_learn_what_weights_cannot():
         rows.append(sorted(set(words)))
         labels.append(float(insult and group))
     counts = np.array([len(r) for r in rows])
-    machine = toxicity.fit(counts, np.array([w for r in rows for w in r], dtype=np.uint64), np.array(labels))
+    machine = toxicity.fit(counts, np.array([w for r in rows for w in r], dtype=np.uint64), np.array(labels), epochs=20)
+    assert {1, 2} <= set(machine.terms.tolist())
     at = np.searchsorted(machine.terms, np.array([1, 2, 1, 2], dtype=np.uint64))
     alone_insult, alone_group = machine.scores(np.array([1, 1]), at[:2])
     both = machine.scores(np.array([2]), at[2:])[0]
