@@ -43,7 +43,7 @@ def op5_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return materialisation.digest(materialisation.training_order(table(spark, sf_dir)))
+    return materialisation.training_order(table(spark, sf_dir)).drop("ids")
 
 
 def op7_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,5 +83,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+LINES_SQL = """WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, generate_subscripts(lines, 1) AS pos, unnest(lines) AS line FROM split),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+g AS (SELECT key, max(doc_id) AS newest FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (newest IS NOT NULL AND doc_id <> newest) AS n_dropped,
+sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (newest IS NULL OR doc_id = newest), '')) AS kept_sha256 FROM k LEFT JOIN g USING (key) GROUP BY doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Line dedup alone: the other methods (hash order, models, packing, a tokenizer) have no SQL form."""
+    return {"op2_line_dedup": LINES_SQL}

@@ -166,8 +166,9 @@ def test_training_order_round_trip(spark, docs_of, tmp_path):
         ids = brute_ids(t)
         for k in range(0, len(ids), 16):
             piece = ids[k : k + 16]
-            want[i, k // 16, len(piece), np.array(piece + [0] * (16 - len(piece)), dtype="<u4").tobytes()] += 1
-    assert Counter((r.doc_id, r.piece, r.n_tokens, bytes(r.ids)) for r in rows) == want
+            blob = np.array(piece + [0] * (16 - len(piece)), dtype="<u4").tobytes()
+            want[i, k // 16, len(piece), blob, zlib.crc32(blob)] += 1
+    assert Counter((r.doc_id, r.piece, r.n_tokens, bytes(r.ids), r.ids_crc32) for r in rows) == want
     materialisation.write_shards(out, str(tmp_path / "shards"), shard_rows=64, block_rows=32)
     got = materialisation.read_slots(spark, str(tmp_path / "shards"), 50, 90, stride=16, block_rows=32)
     assert [x.tobytes() for x in got] == [bytes(r.ids) for r in rows[50:140]]
