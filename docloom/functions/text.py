@@ -128,3 +128,14 @@ def decoding_score(text: Column) -> Column:
     lost = n - F.length(F.translate(text, "�", ""))
     odd = n - F.length(F.translate(text, "\0￿﻿", ""))
     return F.when(n > 0, F.greatest(F.lit(0.0), 1 - 0.5 * lost / n - 0.3 * odd / n)).otherwise(F.lit(0.0))
+
+
+#: Tags that markdown may keep, and attributes that never stay.
+SAFE_TAGS = ("a", "abbr", "b", "blockquote", "br", "code", "dd", "del", "details", "div", "dl", "dt", "em", "h1", "h2", "h3", "h4", "h5", "h6", "hr", "i", "img", "ins", "kbd", "li", "mark", "ol", "p", "pre", "q", "s", "samp", "small", "span", "strong", "sub", "summary", "sup", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "u", "ul", "var")
+
+
+def clean_markdown_html(text: Column) -> Column:
+    """Markdown without dangerous elements, with safe tags only, and without event handlers and styles in them; text without tags stays as it is."""
+    out = F.regexp_replace(strip_dangerous(text), rf"(?i)</?(?!(?:{'|'.join(SAFE_TAGS)})\b)[a-z][^>]*>", "")
+    out = F.regexp_replace(out, r"(?i)(<[a-z][^>]*?)\s(?:on\w+|style)\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]+)", "$1")
+    return F.when(text.rlike(r"(?i)</?[a-z][^>]*>"), out).otherwise(text)

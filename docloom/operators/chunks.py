@@ -172,3 +172,47 @@ def size_report(chunks: DataFrame, size: Column, least: int, target: tuple[int,
     upto = counts.withColumn("upto", F.sum("n").over(Window.orderBy("s"))).crossJoin(out.select("total_chunks"))
     median = upto.filter(F.col("upto") > F.floor(F.col("total_chunks") / 2)).agg(F.min("s").alias("median"))
     return out.crossJoin(median).withColumn("efficiency", F.round(F.col("within_target") * 100 / F.col("total_chunks"), 4))
+
+
+def section_tokens(docs: DataFrame, pattern: str = r"(?i)\n\s*(?:section|§)\s*\d+") -> DataFrame:
+    """(doc_id, section, tokens, preview): the pieces between matches of a section pattern."""
+    rows = docs.select("doc_id", F.posexplode(F.split("text", pattern)).alias("section", "part"))
+    return rows.select("doc_id", F.col("section").cast("long").alias("section"), tk.char_tokens(F.col("part")).alias("tokens"), tx.preview(F.col("part"), 50).alias("preview"))
+
+
+def distribution(chunks: DataFrame, kind: Column, small: int = 500, large: int = 1500) -> DataFrame:
+    """(kind, n_chunks, n_small, n_medium, n_large, total_tokens) of a chunk table."""
+    n = F.length("content")
+    return chunks.groupBy(kind.alias("kind")).agg(
+        F.count("*").alias("n_chunks"), F.count_if(n < small).alias("n_small"), F.count_if((n >= small) & (n < large)).alias("n_medium"), F.count_if(n >= large).alias("n_large"), F.sum(tk.char_tokens(F.col("content"))).alias("total_tokens")
+    )
+
+
+def recommendations(report: DataFrame) -> DataFrame:
+    """What a size report suggests, as rows (recommendation)."""
+    advice = F.array(
+        F.when(F.col("too_small") > 0, F.concat(F.lit("merge "), F.col("too_small").cast("string"), F.lit(" small chunks"))),
+        F.when(F.col("too_large") > 0, F.concat(F.lit("split "), F.col("too_large").cast("string"), F.lit(" large chunks"))),
+        F.when(F.col("efficiency") < 80, F.lit("adjust the chunk size")),
+    )
+    return report.select(F.explode(F.filter(advice, lambda x: x.isNotNull())).alias("recommendation"))
+
+
+def hierarchical(docs: DataFrame, boundaries: DataFrame, size: int = 400, largest: int = 600) -> DataFrame:
+    """(doc_id, chunk_index, content, tokens): texts cut at their boundaries (doc_id, pos), packed to ``size`` tokens; a piece over ``largest`` is cut into equal parts.
+
+    All text is kept. A document without boundaries is one piece before packing.
+    """
+    marks = boundaries.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.col("pos").cast("int"))).alias("marks"))
+    joined = docs.select("doc_id", "text").filter("text <> ''").join(marks, "doc_id", "left")
+    cuts = F.array_distinct(F.concat(F.array(F.lit(0)), F.coalesce("marks", F.array().cast("array<int>")), F.array(F.length("text"))))
+    rows = joined.withColumn("cuts", cuts)
+    pieces = F.transform(F.sequence(F.lit(0), F.size("cuts") - 2), lambda i: F.substring("text", F.get("cuts", i) + 1, F.get("cuts", i + 1) - F.get("cuts", i)))
+    measured = F.filter(pieces, lambda p: F.trim(p) != "")
+    packed = rows.select("doc_id", F.posexplode(_pack(measured, tk.char_tokens, size, 0, "")).alias("pos", "c")).select("doc_id", "pos", F.col("c.text").alias("content"))
+    parts = F.greatest(F.lit(1), F.ceil(tk.char_tokens(F.col("content")) / largest)).cast("int")
+    width = F.ceil(F.length("content") / parts).cast("int")
+    split = F.transform(F.sequence(F.lit(0), parts - 1), lambda i: F.substring("content", i * width + 1, width))
+    out = packed.select("doc_id", "pos", F.posexplode(split).alias("part", "content"))
+    order = Window.partitionBy("doc_id").orderBy("pos", "part")
+    return out.select("doc_id", (F.row_number().over(order) - 1).cast("long").alias("chunk_index"), "content", tk.char_tokens(F.col("content")).alias("tokens"))

@@ -114,3 +114,26 @@ def sequence_gaps(found: DataFrame) -> DataFrame:
     rows = found.filter(F.size("parts") > 0).select("doc_id", "element_type", F.get("parts", F.lit(0)).alias("first"))
     step = rows.withColumn("step", F.col("first") - F.lag("first").over(order))
     return step.groupBy("doc_id", "element_type").agg(F.count("*").alias("n_numbers"), F.count_if(F.col("step") == 0).alias("n_duplicates"), F.count_if(F.col("step") > 1).alias("n_gaps"))
+
+
+def headings(docs: DataFrame, least: float = 0.3) -> DataFrame:
+    """(doc_id, line_number, title, origin, confidence): one heading a line, from structure or format, the surer of the two; those under ``least`` go."""
+    both = elements(docs).select("doc_id", "line_number", "title", F.lit("structure").alias("origin"), "confidence").unionByName(
+        format_headings(docs).select("doc_id", "line_number", "title", F.lit("format").alias("origin"), "confidence")
+    )
+    best = both.filter(F.col("confidence") >= least).groupBy("doc_id", "line_number")
+    return best.agg(F.max_by(F.struct("title", "origin", "confidence"), F.struct("confidence", "origin")).alias("x")).select("doc_id", "line_number", "x.*")
+
+
+def numbering_statistics(found: DataFrame) -> DataFrame:
+    """(doc_id, n_numbers, depth, avg_level, n_types, main_type): of a document's numbered elements; the most frequent type, the first in the alphabet among equals."""
+    counts = found.groupBy("doc_id", "numbering_type").agg(F.count("*").alias("n"), F.max("level").alias("deepest"), F.sum("level").alias("levels"))
+    return counts.groupBy("doc_id").agg(
+        F.sum("n").alias("n_numbers"), (F.max("deepest") + 1).alias("depth"), F.round(F.sum("levels") / F.sum("n"), 6).alias("avg_level"), F.count("*").alias("n_types"),
+        F.min_by("numbering_type", F.struct(-F.col("n"), "numbering_type")).alias("main_type"),
+    )
+
+
+def coverage(counts: DataFrame) -> DataFrame:
+    """(category, n_patterns, n_used, n_matches) of :func:`pattern_counts`."""
+    return counts.groupBy("category").agg(F.count("*").alias("n_patterns"), F.count_if(F.col("n_matches") > 0).alias("n_used"), F.sum("n_matches").alias("n_matches"))

@@ -97,3 +97,29 @@ def statistics(found: DataFrame, of: DataFrame) -> DataFrame:
         F.round(F.avg(F.when(F.col("n_children") > 0, F.col("n_children"))), 6).alias("avg_branching"),
         F.round(F.floor(F.log2(F.count("*"))) / F.greatest(F.lit(1), F.max("depth")), 6).alias("balance"),
     )
+
+
+def common_prefix(found: DataFrame, groups: DataFrame) -> DataFrame:
+    """(group, ancestors): the nodes, from the root on, that the paths of all of a group's nodes (group, node) share."""
+    lists = groups.join(found.select("node", "path"), "node").groupBy("group").agg(F.min("path").alias("a"), F.max("path").alias("b"))
+    # What the least and the greatest path share, all between them share.
+    shared = F.filter(F.col("a"), lambda x, i: F.slice(F.col("a"), F.lit(1), i + 1) == F.slice(F.col("b"), F.lit(1), i + 1))
+    return lists.select("group", shared.alias("ancestors"))
+
+
+def appended(first: DataFrame, second: DataFrame, root: int) -> DataFrame:
+    """Both forests under a new root, the second behind the first."""
+    def under(nodes: DataFrame, place: int) -> DataFrame:
+        return nodes.select("node", F.coalesce("parent", F.lit(root).cast("long")).alias("parent"), F.when(F.col("parent").isNull(), F.col("ord") + place).otherwise(F.col("ord")).alias("ord"))
+
+    top = first.limit(1).select(F.lit(root).cast("long").alias("node"), F.lit(None).cast("long").alias("parent"), F.lit(0).cast("long").alias("ord"))
+    return top.unionByName(under(first, 0)).unionByName(under(second, 1 << 32))
+
+
+def split(nodes: DataFrame, condition) -> tuple[DataFrame, DataFrame]:
+    """The nodes that meet a condition and the others; a node whose parent is on the other side becomes a root."""
+    def rebuilt(part: DataFrame) -> DataFrame:
+        own = part.select(F.col("node").alias("own"))
+        return part.join(own, part["parent"] == own["own"], "left").select("node", F.col("own").alias("parent"), "ord")
+
+    return rebuilt(nodes.filter(condition)), rebuilt(nodes.filter(~condition))

@@ -178,3 +178,47 @@ def validate_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{WINDOWS} SELECT doc_id, chunk_index, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index) - 1 AS seq FROM c WHERE length(trim(content)) >= 100")
 def chunk_size_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.size_filter(windows(spark, sf_dir)).select("doc_id", "chunk_index", "seq")
+
+
+@query(
+    r"""WITH t AS (SELECT doc_id, 'head' || chr(10) || 'Section 1 ' || source || chr(10) || '§ 2 ' || lang AS text FROM documents), p AS (SELECT doc_id, string_split_regex(text, '(?i)\n\s*(?:section|§)\s*\d+') AS parts FROM t),
+    x AS (SELECT doc_id, generate_subscripts(parts, 1) - 1 AS section, unnest(parts) AS part FROM p) SELECT doc_id, section, length(part) // 4 AS tokens, CASE WHEN length(part) > 50 THEN left(part, 50) || '...' ELSE part END AS preview FROM x"""
+)
+def section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(F.lit("head\nSection 1 "), "source", F.lit("\n§ 2 "), "lang")
+    return chunks.section_tokens(table(spark, sf_dir, "documents").select("doc_id", text.alias("text")))
+
+
+@query(
+    f"""{WINDOWS} SELECT d.lang AS kind, count(*) AS n_chunks, count(*) FILTER (length(content) < 500) AS n_small, count(*) FILTER (length(content) BETWEEN 500 AND 1499) AS n_medium, count(*) FILTER (length(content) >= 1500) AS n_large,
+    sum(length(content) // 4)::BIGINT AS total_tokens FROM c JOIN documents d USING (doc_id) GROUP BY d.lang"""
+)
+def chunk_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    return chunks.distribution(windows(spark, sf_dir).join(docs, "doc_id"), F.col("lang"))
+
+
+@query()
+def chunk_hierarchical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = legal(spark, sf_dir)
+    found = structure.elements(texts).select("doc_id", F.col("start_char").alias("pos"))
+    return chunks.hierarchical(texts.select("doc_id", "text"), found)
+
+
+@query()
+def heading_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.headings(legal(spark, sf_dir))
+
+
+NUMBERED = ELEMENTS + r""", k AS (SELECT doc_id, CASE WHEN regexp_matches(value, '^\d+(\.\d+)*$') THEN 'decimal' WHEN regexp_matches(value, '^[IVXLCDM]+$') THEN 'roman_upper' WHEN regexp_matches(value, '^[ivxlcdm]+$') THEN 'roman_lower' WHEN regexp_matches(value, '^[A-Z]$') THEN 'letter_upper'
+WHEN regexp_matches(value, '^[a-z]$') THEN 'letter_lower' ELSE 'mixed' END AS t, CASE WHEN element_type IN ('article', 'chapter') THEN 0 WHEN element_type = 'section' THEN len(string_split(value, '.')) ELSE 3 END AS level FROM e WHERE element_type IS NOT NULL)"""
+
+
+@query(f"{NUMBERED} SELECT doc_id, count(*) AS n_numbers, max(level) + 1 AS depth, round(avg(level), 6) AS avg_level, count(DISTINCT t) AS n_types, min(t) AS main_type FROM k GROUP BY doc_id")
+def numbering_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.numbering_statistics(structure.elements(legal(spark, sf_dir)))
+
+
+@query(f"SELECT category, count(*) AS n_patterns, count(*) FILTER (n_matches > 0) AS n_used, sum(n_matches)::BIGINT AS n_matches FROM ({_pattern_sql()}) GROUP BY category")
+def pattern_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.coverage(structure.pattern_counts(legal(spark, sf_dir)))

@@ -172,3 +172,14 @@ def graph_validate_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def graph_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"))
     return graphs.merged(part.filter("id % 3 < 2").withColumn("origin", F.lit("first")), part.filter("id % 3 > 0").withColumn("origin", F.lit("second")), "id")
+
+
+@query(
+    f"""SELECT n_nationkey::BIGINT AS "group", CASE WHEN count(c_custkey) = 1 THEN n_regionkey || '/' || ({NATION} + n_nationkey) || '/' || ({CUSTOMER} + max(c_custkey)) ELSE n_regionkey || '/' || ({NATION} + n_nationkey) END AS ancestors
+    FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey, n_regionkey"""
+)
+def graph_common_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("group"), (F.col("c_custkey").cast("long") + CUSTOMER).alias("node"))
+    out = trees.common_prefix(found(spark, sf_dir), groups)
+    return out.select("group", F.array_join(F.transform("ancestors", lambda x: x.cast("string")), "/").alias("ancestors"))
+

@@ -173,3 +173,9 @@ def file_type_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id, 1.0::DOUBLE AS score, length(text) AS n FROM documents")
 def decoding_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", tx.decoding_score(F.col("text")).cast(T.DoubleType()).alias("score"), F.length("text").cast("long").alias("n"))
+
+
+@query()
+def markdown_html_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clean = tx.clean_markdown_html(F.col("html"))
+    return table(spark, sf_dir, "pages").select("page_id", F.sha2(clean, 256).alias("clean_hash"), F.length(clean).cast("long").alias("n_chars"))
