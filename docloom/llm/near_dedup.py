@@ -100,7 +100,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     kept = ["doc_id", *ID]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(batches, limit=2 << 20):
             for at in range(0, part.num_rows, 1 << ROW_BITS):
                 batch = part.slice(at, 1 << ROW_BITS)
                 elements, counts, weights = shingles(batch["text"])
