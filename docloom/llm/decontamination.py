@@ -69,7 +69,7 @@ def _template_windows(rows: DataFrame, key: str, bits=None) -> DataFrame:
     """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=4 << 20):
             counts, own, kind, codes, words = templates(batch["text"])
             hashes, n = windows(own, counts, WIDTH)
             row = np.repeat(np.arange(len(n)), n)
