@@ -92,7 +92,7 @@ def find_splitters(keyed: DataFrame, shards: int, tolerance: float, probes_each:
     return sorted(c for c in chosen if c is not None)
 
 
-def shard_rows(docs: DataFrame, shards: int = 8, tolerance: float = 0.002, parts: int = 16) -> DataFrame:
+def shard_rows(docs: DataFrame, shards: int = 8, tolerance: float = 0.01, parts: int = 16) -> DataFrame:
     """Put every row in a shard so that shards hold near-equal bytes; all columns stay and size, shard and slot are added.
 
     A row's size is the UTF-8 bytes of its text (null: none) plus 1. Slots count from 0 in each shard, in the order (hash of the text, doc_id).
