@@ -114,7 +114,7 @@ def _filter_of(items: DataFrame) -> np.ndarray:
     return out.view(np.uint8)
 
 
-def find_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5) -> DataFrame:
+def find_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.4) -> DataFrame:
     """Which documents hold which benchmark items: (doc_id, item_id, n_windows, n_found, coverage, n_slots, changed_slots).
 
     A pair is returned if at least ``coverage`` of the item's windows are in the document with consistent slots. ``changed_slots`` counts the item's values that stand for another value in the document: above 0 for a question with new parameters.
