@@ -54,3 +54,17 @@ def span_text(cases: DataFrame, corpus: DataFrame) -> DataFrame:
     joined = cases.join(corpus.select("doc_id", "text"), "doc_id", "left")
     cut = F.substring("text", F.col("start_char") + 1, F.col("end_char") - F.col("start_char"))
     return joined.select("case_id", "doc_id", F.coalesce(cut, F.col("expected")).alias("truth"), (cut == F.col("expected")).alias("agrees"))
+
+
+def first_cases(cases: DataFrame, corpus: DataFrame, each: int = 10, most: int = 20) -> DataFrame:
+    """Of (suite, case_id, doc_id), the first ``each`` of a suite whose document exists, ``most`` in all, in the order of suite and case."""
+    from pyspark.sql import Window
+
+    there = cases.join(corpus.select("doc_id"), "doc_id", "left_semi")
+    ranked = there.withColumn("__n", F.row_number().over(Window.partitionBy("suite").orderBy("case_id")))
+    return ranked.filter(F.col("__n") <= each).drop("__n").orderBy("suite", "case_id").limit(most)
+
+
+def quick_scores(cases: DataFrame) -> DataFrame:
+    """(case_id, relevance): the share of the truth's words in the retrieved text where there is a truth, else the mean similarity, at most 1."""
+    return cases.select("case_id", F.when(F.col("truth").isNotNull(), F.least(F.lit(1.0), word_overlap(F.col("truth"), F.col("retrieved")))).otherwise(F.round("similarity", 6)).alias("relevance"))

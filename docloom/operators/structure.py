@@ -137,3 +137,24 @@ def numbering_statistics(found: DataFrame) -> DataFrame:
 def coverage(counts: DataFrame) -> DataFrame:
     """(category, n_patterns, n_used, n_matches) of :func:`pattern_counts`."""
     return counts.groupBy("category").agg(F.count("*").alias("n_patterns"), F.count_if(F.col("n_matches") > 0).alias("n_used"), F.sum("n_matches").alias("n_matches"))
+
+
+def pattern_positions(docs: DataFrame) -> DataFrame:
+    """(doc_id, category, pattern, start_char, match): every match of every pattern with its place, of overlapping ones of a category the longest from the left."""
+    import re
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    compiled = [(c, n, re.compile(p.removeprefix("(?m)"), re.I | re.M)) for c, names in PATTERNS.items() for n, p in names.items()]
+
+    def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [(i, c, n, m.start(), m.group()) for i, t in zip(frame["doc_id"], frame["text"], strict=True) if t for c, n, p in compiled for m in p.finditer(t)]
+            yield pd.DataFrame(rows, columns=["doc_id", "category", "pattern", "start_char", "match"])
+
+    found = docs.select("doc_id", "text").mapInPandas(find, "doc_id long, category string, pattern string, start_char long, match string")
+    # Left to right, a match stays if it starts behind all that began before it, the longest first among those that start together.
+    order = Window.partitionBy("doc_id", "category").orderBy("start_char", F.desc(F.length("match")), "pattern")
+    before = F.max(F.col("start_char") + F.length("match")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    return found.withColumn("__before", before).filter(F.col("__before").isNull() | (F.col("start_char") >= F.col("__before"))).drop("__before")

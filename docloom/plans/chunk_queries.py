@@ -222,3 +222,8 @@ def numbering_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT category, count(*) AS n_patterns, count(*) FILTER (n_matches > 0) AS n_used, sum(n_matches)::BIGINT AS n_matches FROM ({_pattern_sql()}) GROUP BY category")
 def pattern_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.coverage(structure.pattern_counts(legal(spark, sf_dir)))
+
+
+@query()
+def pattern_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.pattern_positions(legal(spark, sf_dir))

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docloom.operators import corpus, quality, spans
+from docloom.functions import text as tx
+from docloom.operators import corpus, evaluate, quality, spans
 from docloom.plans.base import registry, table
 from docloom.sources import files
+from docloom.streaming import ingest
 
 QUERIES, SQL, query = registry()
 
@@ -132,3 +134,50 @@ def semi_join_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 def window_rank_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("c_nationkey").orderBy(F.desc("c_acctbal"), "c_custkey")
     return table(spark, sf_dir, "customer").withColumn("rank", F.row_number().over(order)).filter("rank <= 3").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("nation"), "rank")
+
+
+@query(
+    "SELECT user_id, string_agg(event_type || '=' || n, ',' ORDER BY event_type) AS histogram FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY user_id, event_type) GROUP BY user_id"
+)
+def histogram_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    maps = counts.groupBy("user_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("event_type", "n")))).alias("m"))
+    return maps.select("user_id", F.array_join(F.transform(F.map_entries("m"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",").alias("histogram"))
+
+
+@query("SELECT event_id, event_type, value, json_extract(props, '$.k')::BIGINT AS k FROM events")
+def json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = table(spark, sf_dir, "events").select(F.to_json(F.struct("event_id", "event_type", "value", "props")).alias("j"))
+    back = packed.select(F.from_json("j", "event_id long, event_type string, value double, props string").alias("r")).select("r.*")
+    return back.select("event_id", "event_type", "value", F.from_json("props", "k long")["k"].alias("k"))
+
+
+@query(
+    """SELECT suite, case_id FROM (SELECT item_id % 4 AS suite, item_id AS case_id, row_number() OVER (PARTITION BY item_id % 4 ORDER BY item_id) AS n FROM benchmark WHERE item_id IN (SELECT doc_id FROM documents)) WHERE n <= 10 ORDER BY suite, case_id LIMIT 20"""
+)
+def benchmark_first_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cases = table(spark, sf_dir, "benchmark").select((F.col("item_id") % 4).alias("suite"), F.col("item_id").alias("case_id"), F.col("item_id").alias("doc_id"))
+    return evaluate.first_cases(cases, table(spark, sf_dir, "documents")).select("suite", "case_id")
+
+
+@query("SELECT p_partkey AS id, (row_number() OVER (PARTITION BY p_brand ORDER BY CASE WHEN p_size > 25 THEN 1 ELSE 0 END, p_size, p_partkey))::INT AS place FROM part")
+def numbering_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers in order of level, then of their parts compared in turn."""
+    parts = F.when(F.col("p_size") > 25, F.array("p_size", F.col("p_partkey").cast("int"))).otherwise(F.array("p_size"))
+    rows = table(spark, sf_dir, "part").withColumn("parts", parts)
+    order = Window.partitionBy("p_brand").orderBy(F.size("parts"), "parts", "p_partkey")
+    return rows.select(F.col("p_partkey").alias("id"), F.row_number().over(order).alias("place"))
+
+
+@query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def status_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The streaming counts, run over the whole table as a batch."""
+    counts = ingest.status_counts(table(spark, sf_dir, "events"))
+    return counts.select(F.col("window.start").alias("hour"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("SELECT page_id AS doc_id, 'stored' AS status FROM pages WHERE length(html) > 0")
+def ingest_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages stripped, cleaned and hashed as an ingest step would store them."""
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), tx.clean_text(tx.strip_tags(F.col("html"))).alias("text"))
+    return pages.withColumn("content_hash", tx.content_hash(F.col("text"))).filter("content_hash IS NOT NULL").select("doc_id", F.lit("stored").alias("status"))
