@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import slices, strings, word_codes, word_hashes
+from docloom.llm.common import group_sums, materialise, slices, word_codes, word_hashes
 from docloom.llm.tokens import PUNCTUATION
 
 #: Lengths of a word's starts that are terms of their own.
@@ -128,31 +128,40 @@ def _places(kept: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return at, kept[at] == terms
 
 
-def train(docs: DataFrame, labels: DataFrame, train_on=None, max_rows: int = 20_000, **options) -> Machine:
+def train(docs: DataFrame, labels: DataFrame, train_on=None, max_rows: int = 20_000, least_spread: float = 6.0, **options) -> Machine:
     """Fit on at most ``max_rows`` labelled rows: those whose ids have the smallest hashes, all of them if there are fewer.
 
     ``labels`` has doc_id and toxic; a document with several labels takes the largest, null labels and ids are left out. ``train_on`` is a condition on doc_id that a teaching row must meet.
-    The driver receives the term hashes of the chosen rows only, a bounded number.
+    Spark counts each term's texts by label first; terms in fewer than three texts, and those whose share of toxic texts lies within ``least_spread`` squared deviations of the common one, go. The driver receives the other terms of the chosen rows only, a bounded number.
     """
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     if train_on is not None:
         known = known.filter(train_on)
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    chosen = materialise(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows))
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+    def extract(batches: Iterator[pa.RecordBatch], wanted: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, limit=2 << 20):
             counts, terms = term_hashes(batch["text"])
-            ends = np.concatenate(([0], np.cumsum(counts))).astype(np.int64)
-            blobs = [terms[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["toxic"], pa.array(blobs, pa.binary())], names=["doc_id", "toxic", "terms"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    table = rows.mapInArrow(extract, f"doc_id {kind}, toxic int, terms binary").toArrow().combine_chunks().sort_by([("doc_id", "ascending"), ("terms", "ascending")])
-    blobs = table["terms"].to_pylist()
-    counts = np.array([len(b) // 8 for b in blobs], dtype=np.int64)
-    terms = np.frombuffer(b"".join(blobs), dtype=np.uint64)
+            if wanted is not None:
+                _, hit = _places(wanted, terms)
+                counts, terms = group_sums(hit, counts), terms[hit]
+            ends = pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32))
+            lists = pa.ListArray.from_arrays(ends, pa.array(terms.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["toxic"], lists], names=["doc_id", "toxic", "terms"])
+
+    schema = f"doc_id {kind}, toxic int, terms array<bigint>"
+    share = chosen.agg(F.avg("toxic")).first()[0] or 0.0
+    spread = max(share * (1 - share), 1e-9)
+    counted = rows.mapInArrow(extract, schema).select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"), F.sum("toxic").alias("k"))
+    telling = counted.filter((F.col("n") >= 3) & (F.pow(F.col("k") - F.col("n") * share, F.lit(2)) >= least_spread * spread * F.col("n")))
+    wanted = np.sort(np.asarray(telling.select("term").toArrow()["term"].combine_chunks()).view(np.uint64))
+    table = rows.mapInArrow(lambda batches: extract(batches, wanted), schema).toArrow().sort_by([("doc_id", "ascending")])
+    lists = table["terms"].combine_chunks()
+    counts = np.asarray(pc.list_value_length(lists), dtype=np.int64)
+    terms = np.asarray(lists.flatten(), dtype=np.int64).view(np.uint64)
     return fit(counts, terms, np.asarray(table["toxic"], dtype=np.float64), **options)
 
 
