@@ -27,17 +27,22 @@ def shared_dir(spark: SparkSession) -> str:
     return spark._docloom_scratch
 
 
+def shared_path(spark: SparkSession, name: str = "scratch") -> str:
+    """A new path in the shared folder. Its files go when the session's JVM ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write a frame to the shared folder once and read it back: cut lineage that survives lost executors.
 
     The files go when the session's JVM ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
+    path = shared_path(spark)
     df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -12,11 +12,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.llm import tokens
-from docloom.llm.common import materialise, mix, partitions, slices
+from docloom.llm.common import materialise, mix, partitions, shared_path, slices
 
 
 def feistel(numbers: np.ndarray, size: int, key: int, rounds: int = 6) -> np.ndarray:
@@ -35,12 +36,12 @@ def feistel(numbers: np.ndarray, size: int, key: int, rounds: int = 6) -> np.nda
 
 
 def sequences(docs: DataFrame, stride: int, path: str, end_id: int, pad_id: int) -> DataFrame:
-    """Pieces of every document: doc_id, piece, n_tokens, ids as little-endian 32-bit words padded to the stride, and their crc32."""
+    """Pieces of every document: doc_id, piece, n_tokens, ids as planes of 32-bit words padded to the stride, their crc32 and a hash."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokens.encoder(path)
-        for batch in slices(batches):
+        for batch in slices(batches, limit=2 << 20):
             counts, ids = encoder.encode(batch["text"])
             total = counts + 1
             n = -(-total // stride)
@@ -50,28 +51,49 @@ def sequences(docs: DataFrame, stride: int, path: str, end_id: int, pad_id: int)
             base = (np.cumsum(n) - n) * stride
             out[np.repeat(base - (np.cumsum(counts) - counts), counts) + np.arange(len(ids))] = ids
             out[base + counts] = end_id
-            offsets = pa.array(np.arange(len(row) + 1, dtype=np.int32) * (4 * stride))
-            blobs = pa.Array.from_buffers(pa.binary(), len(row), [None, offsets.buffers()[1], pa.py_buffer(out)])
             view, size = memoryview(out).cast("B"), 4 * stride
             sums = pa.array([zlib.crc32(view[at : at + size]) for at in range(0, len(view), size)], pa.int64())
+            marks = pa.array([xxhash.xxh3_64_intdigest(view[at : at + size]) for at in range(0, len(view), size)], pa.uint64()).view(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"].take(pa.array(row)), pa.array(piece), pa.array(np.minimum(stride, total[row] - piece * stride)), blobs, sums],
-                names=["doc_id", "piece", "n_tokens", "ids", "ids_crc32"],
+                [batch["doc_id"].take(pa.array(row)), pa.array(piece), pa.array(np.minimum(stride, total[row] - piece * stride)), fixed_blobs(planes(out, stride).reshape(-1), size), sums, marks],
+                names=["doc_id", "piece", "n_tokens", "planes", "ids_crc32", "mark"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(cut, f"doc_id {kind}, piece long, n_tokens long, ids binary, ids_crc32 long")
+    return docs.select("doc_id", "text").mapInArrow(cut, f"doc_id {kind}, piece long, n_tokens long, planes binary, ids_crc32 long, mark long")
 
 
-def training_order(docs: DataFrame, key: int = 20_240_501, stride: int = 512, shard_rows: int = 8192, end_id: int = 1, pad_id: int = 0, path: str | None = None) -> DataFrame:
-    """Every sequence with its number, its slot in training order and its place in the shards.
+def planes(ids: np.ndarray, stride: int) -> np.ndarray:
+    """Rows of 32-bit ids with their first bytes first, then their second bytes and so on: high bytes are runs of zeros, which any codec shrinks."""
+    return np.ascontiguousarray(ids.view(np.uint8).reshape(-1, stride, 4).transpose(0, 2, 1))
 
-    Columns: doc_id, piece, n_tokens, ids, ids_crc32, sequence, slot, shard, shard_row, byte_offset. A null or empty text is one sequence of the end id.
-    Sequences are numbered by (doc_id, piece, ids), nulls first, so numbers do not depend on how the input was partitioned; identical rows are alike whichever comes first.
-    Numbering is a range exchange of small keys, a count for each range and a row number within it. An empty table gives no rows.
+
+def from_planes(data: np.ndarray, stride: int) -> np.ndarray:
+    """The bytes of the ids again, row by row."""
+    return np.ascontiguousarray(data.reshape(-1, 4, stride).transpose(0, 2, 1)).reshape(-1, 4 * stride)
+
+
+def blob_bytes(column: pa.Array) -> np.ndarray:
+    """The bytes of a column of binary values without nulls, without a copy."""
+    ends = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]]
+
+
+def fixed_blobs(data: np.ndarray, size: int) -> pa.Array:
+    """A binary column of values of one size from their bytes."""
+    n = data.size // size
+    offsets = pa.array(np.arange(n + 1, dtype=np.int32) * size)
+    return pa.Array.from_buffers(pa.binary(), n, [None, offsets.buffers()[1], pa.py_buffer(data)])
+
+
+def in_order(docs: DataFrame, key: int, stride: int, end_id: int, pad_id: int, path: str | None) -> tuple[DataFrame, int]:
+    """Rows of doc_id, piece, n_tokens, planes, ids_crc32, sequence and slot, and their number.
+
+    Only keys are sorted and numbered; a row number that is written with the sequences brings the slot to the ids.
     """
     spark = docs.sparkSession
-    cut = materialise(sequences(docs, stride, path or tokens.default_path(), end_id, pad_id).withColumn("mark", F.xxhash64("ids")))
-    keys = cut.select("doc_id", "piece", "mark")
+    made = sequences(docs, stride, path or tokens.default_path(), end_id, pad_id)
+    cut = materialise(made.withColumn("row", F.monotonically_increasing_id()))
+    keys = cut.select("doc_id", "piece", "mark", "row")
     ranged = materialise(keys.repartitionByRange(partitions(spark), "doc_id", "piece", "mark").withColumn("range", F.spark_partition_id()))
     sizes = ranged.groupBy("range").agg(F.count("*").alias("n"))
     counts = {r["range"]: r["n"] for r in sizes.collect()}  # a number for each partition
@@ -79,19 +101,31 @@ def training_order(docs: DataFrame, key: int = 20_240_501, stride: int = 512, sh
     for part in sorted(counts):
         before[part], size = size, size + counts[part]
     first = spark.createDataFrame(list(before.items()) or [(0, 0)], "range int, first long")
-    order = Window.partitionBy("range").orderBy("doc_id", "piece", "mark")
+    order = Window.partitionBy("range").orderBy("doc_id", "piece", "mark", "row")
     numbered = ranged.withColumn("own", F.row_number().over(order)).join(F.broadcast(first), "range")
-    same = Window.partitionBy("doc_id", "piece", "mark").orderBy("sequence")
-    numbered = numbered.select("doc_id", "piece", "mark", (F.col("first") + F.col("own") - 1).alias("sequence")).withColumn("copy", F.row_number().over(same))
-    cut = cut.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id", "piece", "mark").orderBy("n_tokens")))
 
     @F.pandas_udf("long")
     def slot(sequence: pd.Series) -> pd.Series:
         return pd.Series(feistel(sequence.to_numpy(), size, key))
 
-    a, b = cut.alias("a"), numbered.alias("b")
-    joined = a.join(b, F.expr("a.doc_id <=> b.doc_id AND a.piece = b.piece AND a.mark = b.mark AND a.copy = b.copy"))
-    out = joined.select("a.doc_id", "a.piece", "a.n_tokens", "a.ids", "a.ids_crc32", "b.sequence", slot("b.sequence").alias("slot"))
+    numbered = numbered.select("row", (F.col("first") + F.col("own") - 1).alias("sequence")).withColumn("slot", slot("sequence"))
+    return cut.join(numbered, "row").select("doc_id", "piece", "n_tokens", "planes", "ids_crc32", "sequence", "slot"), size
+
+
+def training_order(docs: DataFrame, key: int = 20_240_501, stride: int = 512, shard_rows: int = 8192, end_id: int = 1, pad_id: int = 0, path: str | None = None) -> DataFrame:
+    """Every sequence with its number, its slot in training order and its place in the shards.
+
+    Columns: doc_id, piece, n_tokens, ids, ids_crc32, sequence, slot, shard, shard_row, byte_offset. A null or empty text is one sequence of the end id.
+    Sequences are numbered by (doc_id, piece, ids), nulls first, so numbers do not depend on how the input was partitioned; identical rows are alike whichever comes first.
+    Numbering is a range exchange of small keys, a count for each range and a row number within it. An empty table gives no rows.
+    """
+    ordered, _ = in_order(docs, key, stride, end_id, pad_id, path)
+
+    @F.pandas_udf("binary")
+    def ids(data: pd.Series) -> pd.Series:
+        return pd.Series([from_planes(np.frombuffer(x, np.uint8), stride).tobytes() for x in data])
+
+    out = ordered.select("doc_id", "piece", "n_tokens", ids("planes").alias("ids"), "ids_crc32", "sequence", "slot")
     return out.withColumns(
         {
             "shard": F.expr(f"slot div {shard_rows}"),
@@ -101,21 +135,63 @@ def training_order(docs: DataFrame, key: int = 20_240_501, stride: int = 512, sh
     )
 
 
-def write_shards(ordered: DataFrame, path: str, shard_rows: int = 8192, block_rows: int = 512) -> None:
+def write_shards(ordered: DataFrame, path: str, shard_rows: int = 8192, block_rows: int = 512, size: int | None = None, stride: int | None = None) -> None:
     """Write slots in order as Parquet blocks of a fixed number of fixed-stride rows, range-partitioned by slot.
 
     Block k holds the slots from k * block_rows on; each of its rows takes the same number of bytes, so a reader finds any slot by arithmetic.
-    ``block_rows`` must divide ``shard_rows``. The last block may be shorter.
+    Beside its bytes a block lists the doc_id, piece, n_tokens and sequence of its rows. ``block_rows`` must divide ``shard_rows``. The last block may be shorter.
+    Slots are 0 to ``size`` - 1, so the bounds of the ranges need no sample. Rows have ids, or their planes with the ``stride`` given.
     """
-
-    def block(table: pa.Table) -> pa.Table:
-        table = table.sort_by("slot")
-        shard, number = table["shard"][0], table["block"][0]
-        return pa.table({"shard": pa.array([shard.as_py()], pa.int64()), "block": pa.array([number.as_py()], pa.int64()), "n_rows": pa.array([table.num_rows], pa.int64()), "data": pa.array([b"".join(table["ids"].to_pylist())], pa.binary())})
-
-    blocks = ordered.select("shard", F.expr(f"slot div {block_rows}").alias("block"), "slot", "ids").groupBy("block")
-    made = blocks.applyInArrow(block, "shard long, block long, n_rows long, data binary")
-    made.repartitionByRange(partitions(ordered.sparkSession), "block").sortWithinPartitions("block").write.mode("overwrite").parquet(path)
+    column = "ids" if stride is None else "planes"
+    about = ["doc_id", "piece", "n_tokens", "sequence"]
+    kinds = {c: ordered.schema[c].dataType.simpleString() for c in about}
+
+    def made(rows: pa.Table) -> pa.RecordBatch:
+        data = blob_bytes(rows[column].combine_chunks())
+        data = data if stride is None else from_planes(data, stride)
+        number = rows["slot"][0].as_py() // block_rows
+        own = [pa.array([number * block_rows // shard_rows]), pa.array([number]), pa.array([rows.num_rows]), fixed_blobs(data, data.size)]
+        lists = [pa.ListArray.from_arrays(pa.array([0, rows.num_rows], pa.int32()), rows[c].combine_chunks()) for c in about]
+        return pa.RecordBatch.from_arrays(own + lists, names=["shard", "block", "n_rows", "data", *about])
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if rest is None else pa.concat_tables([rest, rows])
+            numbers = np.asarray(rows["slot"]) // block_rows
+            starts = np.flatnonzero(np.diff(numbers, prepend=-1))
+            for start, stop in zip(starts[:-1], starts[1:], strict=True):
+                yield made(rows.slice(start, stop - start))
+            rest = rows.slice(starts[-1]) if len(starts) else None
+        if rest is not None:
+            yield made(rest)
+
+    size = ordered.count() if size is None else size
+    parts, last = partitions(ordered.sparkSession), max(1, -(-size // block_rows))
+    dealt = ordered.select("slot", column, *about).repartitionById(parts, F.expr(f"cast(slot div {block_rows} * {parts} div {last} AS int)")).sortWithinPartitions("slot")
+    out = dealt.mapInArrow(blocks, "shard long, block long, n_rows long, data binary, " + ", ".join(f"{c} array<{k}>" for c, k in kinds.items()))
+    few = {"parquet.block.size": 4 << 20, "parquet.block.row.count.limit": 4, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1}  # a reader holds a row group at once
+    out.write.mode("overwrite").option("compression", "zstd").options(**few).parquet(path)
+
+
+def placed(spark: SparkSession, path: str, shard_rows: int = 8192, block_rows: int = 512, stride: int = 512) -> DataFrame:
+    """Every sequence of the written shards, its place and checksum taken from the blocks read back: shard and bytes as stored, row and offset by a row's place in its block."""
+    width = 4 * stride
+    row = f"struct(doc_id[i] AS doc_id, piece[i] AS piece, n_tokens[i] AS n_tokens, crc32(substring(data, i * {width} + 1, {width})) AS ids_crc32, sequence[i] AS sequence, block * {block_rows} + i AS slot)"
+    rows = spark.read.parquet(path).select("shard", F.expr(f"transform(sequence(0, octet_length(data) div {width} - 1), i -> {row})").alias("rows"))
+    out = rows.select("shard", F.inline("rows"))
+    at = F.col("slot") - F.col("shard") * shard_rows
+    return out.select("doc_id", "piece", "n_tokens", "ids_crc32", "sequence", "slot", "shard", at.alias("shard_row"), (at * width).alias("byte_offset"))
+
+
+def materialised_order(docs: DataFrame, key: int = 20_240_501, stride: int = 512, shard_rows: int = 8192, block_rows: int = 512, end_id: int = 1, pad_id: int = 0, path: str | None = None) -> DataFrame:
+    """The shards written to the shared folder, and every sequence as it was found there (the columns of ``training_order`` without ids)."""
+    spark = docs.sparkSession
+    ordered, size = in_order(docs, key, stride, end_id, pad_id, path)
+    where = shared_path(spark, "shards")
+    write_shards(ordered, where, shard_rows, block_rows, size, stride)
+    return placed(spark, where, shard_rows, block_rows, stride)
 
 
 def read_slots(spark: SparkSession, path: str, start: int, count: int, stride: int = 512, block_rows: int = 512) -> np.ndarray:

@@ -43,7 +43,7 @@ def op5_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return materialisation.training_order(table(spark, sf_dir)).drop("ids")
+    return materialisation.materialised_order(table(spark, sf_dir))
 
 
 def op7_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

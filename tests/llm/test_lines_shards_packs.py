@@ -173,3 +173,21 @@ def test_training_order_round_trip(spark, docs_of, tmp_path):
     got = materialisation.read_slots(spark, str(tmp_path / "shards"), 50, 90, stride=16, block_rows=32)
     assert [x.tobytes() for x in got] == [bytes(r.ids) for r in rows[50:140]]
     assert materialisation.training_order(docs_of([])).count() == 0
+
+
+def test_training_order_query_is_read_from_written_shards(spark, docs_of, tmp_path):
+    rows = materialisation.training_order(docs_of(ODD), stride=16, shard_rows=64).drop("ids").collect()
+    found = materialisation.materialised_order(docs_of(ODD), stride=16, shard_rows=64, block_rows=32)
+    assert Counter(map(tuple, found.collect())) == Counter(map(tuple, rows))
+    assert found.columns == rows[0].__fields__
+    out = queries.op6_training_order(spark, SF)
+    files = out.inputFiles()
+    assert files and all("shards-" in f for f in files)
+    own = {r.slot: r for r in out.collect()}
+    blocks = spark.read.parquet(*files).select("block", "shard", "data").collect()
+    assert sum(len(b.data) for b in blocks) == 2048 * len(own)
+    for b in blocks:
+        for i in range(len(b.data) // 2048):
+            r = own[b.block * 512 + i]
+            assert (r.shard, r.byte_offset, r.ids_crc32) == (b.shard, r.shard_row * 2048, zlib.crc32(b.data[i * 2048 : (i + 1) * 2048]))
+    assert materialisation.materialised_order(docs_of([])).count() == 0
