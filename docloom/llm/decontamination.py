@@ -2,6 +2,7 @@
 
 Numbers, names and units become typed placeholders, so a question with other values keeps its template. Windows of template words of the texts meet those of the benchmark in a hash join; a bit filter of fixed size, sent to the tasks, keeps windows that cannot match out of the exchange.
 An item counts as found where enough of its windows occur and its placeholders take values consistently: one value of the item always stands for one value of the text.
+Windows as written go through the same filter and join, so that items of many placeholders or few words, and copies in another letter case, are found literally.
 """
 
 from __future__ import annotations
@@ -62,40 +63,51 @@ def templates(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return np.bincount(row, minlength=len(counts)), own, kind, codes, lower
 
 
-def _template_windows(rows: DataFrame, key: str, bits=None) -> DataFrame:
-    """(key, h, at, n_windows, slots) of each window with more literals than placeholders; with ``bits``, of those that the filter lets pass.
+def _all_windows(rows: DataFrame, key: str, widths: tuple[int, ...], bits=None) -> DataFrame:
+    """(key, h, at, width, n_windows, slots) of each window; with ``bits``, of those that the filter lets pass.
 
-    A text of fewer words than a window has none. ``slots`` are the values at the placeholders, in order.
+    Width 0 stands for template windows, those of five words with more literals than placeholders; ``slots`` are the values at the placeholders, in order.
+    The other widths are runs of so many words as they are written, but for case and punctuation at their ends. Without ``bits`` a text under five words has one run, the whole of it, and a text of placeholders alone none.
     """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=4 << 20):
             counts, own, kind, codes, words = templates(batch["text"])
-            hashes, n = windows(own, counts, WIDTH)
-            row = np.repeat(np.arange(len(n)), n)
-            at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            start = np.repeat(np.cumsum(counts) - counts, n) + at
+            plain = word_hashes(words)[codes] if widths else own
             held = np.concatenate(([0], np.cumsum(kind != LITERAL)))
-            slots = held[np.minimum(start + WIDTH, len(kind))] - held[start]
-            keep = (np.repeat(counts, n) >= WIDTH) & (2 * slots < WIDTH)
-            total = np.bincount(row[keep], minlength=len(n))
-            if bits is not None:
-                table = bits.value
-                for salt in (1, 2):
-                    place = (mix(hashes, salt) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-                    keep &= (table[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
-            took = np.flatnonzero(keep)
-            values: list[list[str]] = [[] for _ in took]
-            for i in np.flatnonzero(slots[took]):
-                a = start[took[i]]
-                values[i] = strings(words.take(pa.array(codes[a : a + WIDTH][kind[a : a + WIDTH] != LITERAL])))
-            yield pa.RecordBatch.from_arrays(
-                [batch[key].take(pa.array(row[took])), pa.array(hashes[took].view(np.int64)), pa.array(at[took]), pa.array(total[row[took]]), pa.array(values, pa.list_(pa.string()))],
-                names=[key, "h", "at", "n_windows", "slots"],
-            )
+            ends = np.cumsum(counts)
+            worded = held[ends] - held[ends - counts] < counts
+            for width in (0, *widths):
+                hashes, n = windows(plain if width else own, counts, width or WIDTH)
+                row = np.repeat(np.arange(len(n)), n)
+                at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                start = np.repeat(ends - counts, n) + at
+                keep = np.repeat(counts, n) >= (width or WIDTH)
+                if width:
+                    hashes, slots = mix(hashes, 100 + width), np.zeros(len(row), dtype=np.int64)
+                    if bits is None:
+                        keep &= np.repeat(worded & ((counts == width) | (width == WIDTH)), n)
+                else:
+                    slots = held[np.minimum(start + WIDTH, len(kind))] - held[start]
+                    keep &= 2 * slots < WIDTH
+                total = np.bincount(row[keep], minlength=len(n))
+                if bits is not None:
+                    table = bits.value
+                    for salt in (1, 2):
+                        place = (mix(hashes, salt) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+                        keep &= (table[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+                took = np.flatnonzero(keep)
+                values: list[list[str]] = [[] for _ in took]
+                for i in np.flatnonzero(slots[took]):
+                    a = start[took[i]]
+                    values[i] = strings(words.take(pa.array(codes[a : a + WIDTH][kind[a : a + WIDTH] != LITERAL])))
+                yield pa.RecordBatch.from_arrays(
+                    [batch[key].take(pa.array(row[took])), pa.array(hashes[took].view(np.int64)), pa.array(at[took]), pa.array(np.full(len(took), width, dtype=np.int32)), pa.array(total[row[took]]), pa.array(values, pa.list_(pa.string()))],
+                    names=[key, "h", "at", "width", "n_windows", "slots"],
+                )
 
     kind_of = rows.schema[key].dataType.simpleString()
-    return rows.select(key, "text").mapInArrow(find, f"{key} {kind_of}, h long, at long, n_windows long, slots array<string>")
+    return rows.select(key, "text").mapInArrow(find, f"{key} {kind_of}, h long, at long, width int, n_windows long, slots array<string>")
 
 
 def _filter_of(items: DataFrame) -> np.ndarray:
@@ -114,36 +126,46 @@ def _filter_of(items: DataFrame) -> np.ndarray:
     return out.view(np.uint8)
 
 
-def find_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.4) -> DataFrame:
+def find_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.4, literal_coverage: float = 0.6) -> DataFrame:
     """Which documents hold which benchmark items: (doc_id, item_id, n_windows, n_found, coverage, n_slots, changed_slots).
 
-    A pair is returned if at least ``coverage`` of the item's windows are in the document with consistent slots. ``changed_slots`` counts the item's values that stand for another value in the document: above 0 for a question with new parameters.
+    A pair is returned if at least ``coverage`` of the item's template windows, or of its windows as written, are in the document with consistent slots: an old value has one new value, which others may share. From ``literal_coverage`` of the windows as written on, slots do not matter.
+    An item under five words is found where all of it is. ``changed_slots`` counts the item's values that stand for another value in the document: above 0 for a question with new parameters.
     Windows on the diagonal (place in the document less place in the item) where most of them lie decide which values belong together.
-    Null and empty texts, and texts under five words, hold nothing; items under five words, or of placeholders alone, match nothing. Repeated rows count once; rows sharing a doc_id (null too) are one document. Empty tables give no rows.
+    Null and empty texts hold nothing; items of placeholders alone match nothing. Repeated rows count once; rows sharing a doc_id (null too) are one document. Empty tables give no rows.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id"), "text").filter(F.col("item_id").isNotNull())
-    items = materialise(_template_windows(items, "item_id").dropDuplicates(["item_id", "at", "h"]))
+    items = materialise(_all_windows(items, "item_id", tuple(range(1, WIDTH + 1))).dropDuplicates(["item_id", "at", "width", "h"]))
+    widths = tuple(sorted(r["width"] for r in items.filter("width > 0").select("width").distinct().collect()))  # at most five
     bits = spark.sparkContext.broadcast(_filter_of(items))
-    found = _template_windows(docs.select("doc_id", "text"), "doc_id", bits)
+    found = _all_windows(docs.select("doc_id", "text"), "doc_id", widths, bits)
     a, b = found.alias("a"), items.alias("b")
-    pairs = a.join(b, "h").select("a.doc_id", "b.item_id", "b.n_windows", F.col("a.at").alias("doc_at"), F.col("b.at").alias("item_at"), F.arrays_zip(F.col("b.slots").alias("old"), F.col("a.slots").alias("new")).alias("slots"))
+    pairs = a.join(b, ["h", "width"]).select(
+        "a.doc_id", "b.item_id", "b.n_windows", F.col("a.at").alias("doc_at"), F.col("b.at").alias("item_at"), F.col("width").cast("boolean").alias("plain"), F.arrays_zip(F.col("b.slots").alias("old"), F.col("a.slots").alias("new")).alias("slots")
+    )
     pairs = pairs.withColumn("diagonal", F.col("doc_at") - F.col("item_at"))
+    kinds = {"": ~F.col("plain"), "plain_": F.col("plain")}
     lines = pairs.groupBy("doc_id", "item_id", "diagonal").agg(
-        F.max("n_windows").alias("n_windows"), F.collect_set("item_at").alias("at"), F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots")
+        *[F.max(F.when(own, F.col("n_windows"))).alias(f"{k}n_windows") for k, own in kinds.items()],
+        *[F.collect_set(F.when(own, F.col("item_at"))).alias(f"{k}at") for k, own in kinds.items()],
+        F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots"),
     )
     whole = lines.groupBy("doc_id", "item_id").agg(
-        F.max("n_windows").alias("n_windows"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("long").alias("n_found"),
+        *[F.max(f"{k}n_windows").alias(f"{k}n_windows") for k in kinds],
+        *[F.size(F.array_distinct(F.flatten(F.collect_list(f"{k}at")))).cast("long").alias(f"{k}n_found") for k in kinds],
         F.max_by("slots", F.struct(F.size("at"), -F.col("diagonal"))).alias("slots"),
     )
-    olds, news = F.transform("slots", lambda s: s["old"]), F.transform("slots", lambda s: s["new"])
+    olds = F.transform("slots", lambda s: s["old"])
     whole = whole.withColumns(
         {
-            "coverage": F.col("n_found") / F.col("n_windows"),
+            "coverage": F.coalesce(F.col("n_found") / F.col("n_windows"), F.lit(0.0)),
+            "plain_coverage": F.coalesce(F.col("plain_n_found") / F.col("plain_n_windows"), F.lit(0.0)),
             "n_slots": F.size(F.array_distinct(olds)).cast("long"),
             "changed_slots": F.size(F.array_distinct(F.filter("slots", lambda s: s["old"] != s["new"]))).cast("long"),
         }
     )
-    consistent = (F.size("slots") == F.col("n_slots")) & (F.size(F.array_distinct(news)) == F.col("n_slots"))
-    return whole.filter((F.col("coverage") >= coverage) & consistent).drop("slots")
+    by_template = (F.col("coverage") >= coverage) & (F.size("slots") == F.col("n_slots"))
+    as_written = (F.col("plain_coverage") >= literal_coverage) | ((F.col("plain_coverage") >= coverage) & (F.size("slots") == F.col("n_slots")))
+    shown = [F.when(by_template, F.col(c)).otherwise(F.col(f"plain_{c}")).alias(c) for c in ("n_windows", "n_found", "coverage")]
+    return whole.filter(by_template | as_written).select("doc_id", "item_id", *shown, "n_slots", "changed_slots")

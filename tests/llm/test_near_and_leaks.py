@@ -140,6 +140,19 @@ def test_decontamination(spark, docs_of):
     assert decontamination.find_contaminated(docs_of(rows), benchmark.filter("item_id > 99")).count() == 0
 
 
+def test_decontamination_finds_items_literally(spark, docs_of):
+    benchmark = spark.createDataFrame([(1, ITEM), (2, "Compute 12 + 7 * 3 - 4"), (3, "Name seven prime numbers"), (4, "12 13 14 15 16 17 18"), (5, "How far is it from Rome to Bari by the old road if 3 trains and 5 buses go there each day")], "item_id long, text string")
+    filler = "nothing of this is in any benchmark at all so it stays clean whatever it says "
+    rows = [
+        (1, filler + "Compute 12 + 7 * 3 - 4 " + filler), (2, filler + "please name seven prime numbers. " + filler), (3, filler + ITEM.upper() + " " + filler),
+        (4, filler + ITEM.replace("12 apples", "13 apples") + " " + filler), (5, filler + "how far is it from Rome to Bari by the old road if 4 trains and 4 buses go there each day " + filler),
+        (6, filler + "Compute 12 + 7 * 3 - 5 name seven prime " + filler), (7, "12 13 14 15 16 17 18 " + filler),
+    ]
+    found = {(r.doc_id, r.item_id): r for r in decontamination.find_contaminated(docs_of(rows), benchmark).collect()}
+    assert set(found) == {(1, 2), (2, 3), (3, 1), (4, 1), (5, 5)}
+    assert found[1, 2].coverage == found[2, 3].coverage == 1.0 and found[5, 5].changed_slots == 2
+
+
 def test_verbatim_leaks_in_the_table(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
