@@ -63,6 +63,38 @@ def _nearest_block(rows: DataFrame, ids: np.ndarray, given: np.ndarray, k: int,
     return rows.select(F.col(key).cast("long").alias(key), "embedding").filter(F.col("embedding").isNotNull()).mapInArrow(search, f"query_id long, {key} long, similarity double")
 
 
+def within_each(queries: DataFrame, rows: DataFrame, at_least: float, key: str = "vec_id", block: int = 512) -> DataFrame:
+    """(query_id, key, similarity): for every query all rows but itself whose cosine, to six digits, is at least the threshold (above 0).
+
+    Queries go out in blocks of bounded size; every task compares a block with its share of the rows.
+    """
+    asked = queries.select(F.col(key).cast("long").alias("query_id"), "embedding").filter(F.col("embedding").isNotNull()).orderBy("query_id")
+    out = rows.sparkSession.createDataFrame([], f"query_id long, {key} long, similarity double")
+    for start in range(0, asked.count(), block):
+        part = asked.offset(start).limit(block).toArrow()
+        given = np.stack([np.asarray(v, dtype=np.float64) for v in part["embedding"].to_pylist()])
+        given /= np.maximum(np.linalg.norm(given, axis=1, keepdims=True), 1e-300)
+        out = out.unionByName(_within_block(rows, np.asarray(part["query_id"]), given, at_least, key))
+    return out
+
+
+def _within_block(rows: DataFrame, ids: np.ndarray, given: np.ndarray, at_least: float, key: str) -> DataFrame:
+    sent = rows.sparkSession.sparkContext.broadcast((ids, given))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, given = sent.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            matrix = np.asarray(batch["embedding"].flatten(), dtype=np.float64).reshape(batch.num_rows, -1)
+            matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
+            alike, names = np.round(given @ matrix.T, 6), np.asarray(batch[key], dtype=np.int64)
+            q, r = np.nonzero((alike >= at_least) & (ids[:, None] != names))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(names[r]), pa.array(alike[q, r])], names=["query_id", key, "similarity"])
+
+    return rows.select(F.col(key).cast("long").alias(key), "embedding").filter(F.col("embedding").isNotNull()).mapInArrow(search, f"query_id long, {key} long, similarity double")
+
+
 def confidence(similarity: Column, status: Column, content: Column) -> Column:
     """Similarity raised for finished documents and long passages, lowered for unfinished ones and short passages, at most 1."""
     by_status = F.when(status.isin("completed", "processed"), 1.1).when(status == "processing", 0.9).otherwise(1.0)

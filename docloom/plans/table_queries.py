@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as tx
-from docloom.operators import corpus, evaluate, quality, spans
+from docloom.operators import corpus, evaluate, quality, search, spans
 from docloom.plans.base import registry, table
 from docloom.sources import files
 from docloom.streaming import ingest
@@ -62,6 +62,16 @@ def near_dup_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.redundant(left.join(rows.select(F.col("vec_id").alias("b"), F.col("embedding").alias("eb"), "label"), "label").filter("a <> b"), 0.3)
 
 
+@query(
+    """SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+    WHERE round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) >= 0.3"""
+)
+def near_dup_cosine_all_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links of the same query set to the whole table, whatever the labels."""
+    rows = table(spark, sf_dir, "embeddings")
+    return search.within_each(rows.filter("vec_id % 50 = 0"), rows, 0.3).select(F.col("query_id").alias("a"), F.col("vec_id").alias("b"), "similarity")
+
+
 @query(
     """SELECT conv_id, count(*) AS n_messages, arg_min(left(trim(text), 50), turn) FILTER (role = 'user') AS title FROM conversations GROUP BY conv_id ORDER BY conv_id DESC LIMIT 20"""
 )

@@ -119,6 +119,22 @@ def test_nearest_each_equals_brute_force(spark):
     assert [r.vec_id for r in one.collect()] == [r.vec_id for r in got.filter("query_id = 0").orderBy("rank").collect()]
 
 
+def test_near_vectors_of_other_labels(spark):
+    import numpy as np
+
+    from docloom.plans import table_queries
+
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", "label", "embedding").collect()
+    matrix = np.array([r.embedding for r in rows], dtype=np.float64)
+    matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
+    alike = np.round(matrix @ matrix.T, 6)
+    want = {(rows[i].vec_id, rows[k].vec_id) for i, k in zip(*np.nonzero(alike >= 0.3), strict=True) if i != k and rows[i].vec_id % 50 == 0}
+    got = [(r.a, r.b) for r in table_queries.near_dup_cosine_all_labels(spark, "/root/testdata/sf0.01").collect()]
+    label = {r.vec_id: r.label for r in rows}
+    assert len(got) == len(set(got)) and set(got) == want and any(label[a] != label[b] for a, b in got)
+    assert search.within_each(spark.createDataFrame([], "vec_id long, embedding array<double>"), spark.createDataFrame([(1, [1.0])], "vec_id long, embedding array<double>"), 0.3).count() == 0
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes("grüße".encode())
     (tmp_path / "b.md").write_bytes("wide".encode("utf-16"))
