@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,10 +19,12 @@ SLICE_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is named."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only a local master, whose tasks run in the driver, may do without and takes a temporary one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not getattr(spark, "_docloom_scratch", None):
         spark._docloom_scratch = tempfile.mkdtemp(prefix="docloom-")
     return spark._docloom_scratch
@@ -35,14 +38,18 @@ def shared_path(spark: SparkSession, name: str = "scratch") -> str:
     return path
 
 
-def materialise(df: DataFrame) -> DataFrame:
+#: Parquet options for rows of a megabyte or so: a reader holds a row group at once.
+LARGE_ROWS = {"parquet.block.size": 4 << 20, "parquet.block.row.count.limit": 4, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1}
+
+
+def materialise(df: DataFrame, **options) -> DataFrame:
     """Write a frame to the shared folder once and read it back: cut lineage that survives lost executors.
 
-    The files go when the session's JVM ends.
+    The files go when the session's JVM ends. ``options`` go to the writer.
     """
     spark = df.sparkSession
     path = shared_path(spark)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

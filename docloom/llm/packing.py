@@ -26,7 +26,7 @@ Pattern = tuple[tuple[int, ...], int]
 def pack_histogram(histogram: dict[int, int], capacity: int) -> list[Pattern]:
     """Patterns (lengths in order of placing) and how often each is used.
 
-    Lengths go longest first. A length goes on the packs with the fewest ids so far, if it fits there; what fits nowhere opens new packs.
+    Lengths go longest first. A length goes on the packs with the fewest ids so far, if it fits there; what fits nowhere opens new packs, and a new pack takes as many pieces of that length as fit.
     Work depends on the number of lengths and patterns, not on the counts.
     """
     filled: dict[int, list[list]] = {}
@@ -43,10 +43,13 @@ def pack_histogram(histogram: dict[int, int], capacity: int) -> list[Pattern]:
         filled[used].append([pattern, count])
 
     for length in sorted(histogram, reverse=True):
-        left, fresh = histogram[length], []
+        left = histogram[length]
         while left:
             if not levels or levels[0] + length > capacity:
-                fresh.append(((length,), length, left))
+                each = capacity // length
+                for copies, count in ((each, left // each), (left % each, 1)):
+                    if copies and count:
+                        put((length,) * copies, length * copies, count)
                 break
             used = levels[0]
             entries = filled[used]
@@ -61,8 +64,6 @@ def pack_histogram(histogram: dict[int, int], capacity: int) -> list[Pattern]:
                 entries[-1][1] -= taken
             put((*pattern, length), used + length, taken)
             left -= taken
-        for new in fresh:
-            put(*new)
     return [(pattern, count) for used in levels for pattern, count in filled[used]]
 
 

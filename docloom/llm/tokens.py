@@ -2,6 +2,7 @@
 
 The default vocabulary drops white space and never joins letters to the punctuation behind them, so a text's ids are those of its words in turn.
 Words repeat, so each worker encodes a distinct word once and gathers the ids by code.
+The few texts that hold the string of a special token go to the tokenizer whole.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._forget()
 
     def _forget(self) -> None:
@@ -68,6 +69,20 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The number of ids of each text, and all ids in turn."""
+        texts = pc.fill_null(texts, "")
+        whole = np.zeros(len(texts), dtype=bool)
+        for token in self.special:
+            whole |= np.asarray(pc.match_substring(texts, token, ignore_case=True), dtype=bool)
+        if not whole.any():
+            return self._encode(texts)
+        counts, ids = self._encode(pc.if_else(pa.array(whole), "", texts))
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(strings(texts.filter(pa.array(whole))), add_special_tokens=False)]
+        parts = np.split(ids, np.cumsum(counts)[:-1])
+        for at, own in zip(np.flatnonzero(whole).tolist(), found, strict=True):
+            parts[at], counts[at] = np.array(own, dtype=ids.dtype), len(own)
+        return counts, np.concatenate(parts)
+
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if len(self.known) > REMEMBERED:
             self._forget()
         counts, codes, words = word_codes(texts)

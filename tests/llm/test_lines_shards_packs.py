@@ -150,6 +150,42 @@ def test_word_encoder_equals_the_tokenizer():
         at += n
 
 
+def test_encoder_equals_a_fresh_tokenizer():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(tokens.default_path())
+    odd = ["x <|startoftext|> <|endoftext|>", "a<|endoftext|>b", "<|EndOfText|> c", None, "", "plain words, 12,5 kg", "<|endoftext|>" * 3, "word " * 3000 + "<|endoftext|>"]
+    counts, ids = tokens.WordEncoder(tokens.default_path()).encode(pa.array(odd, pa.string()))
+    want = [fresh.encode(t or "", add_special_tokens=False).ids for t in odd]
+    assert want[0] == [343, 49406, 49407]
+    assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
+@pytest.mark.parametrize("histogram", [{100: 1000}, {700: 10, 100: 1000}, {1: 5000}, {2048: 3, 1: 1}, {1025: 7, 1023: 7}])
+def test_equal_lengths_share_packs(histogram):
+    patterns = packing.pack_histogram(histogram, 2048)
+    ideal = -(-sum(k * n for k, n in histogram.items()) // 2048)
+    assert sum(n for _, n in patterns) <= 1.05 * ideal + 1
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.dictionaries(st.integers(1, 64), st.integers(1, 40), min_size=1, max_size=12))
+def test_pack_histogram_equals_one_piece_at_a_time(histogram):
+    """Shortest-pack-first by hand: each piece goes on the pack with the fewest ids, or opens one."""
+    packs = []
+    for length in sorted(histogram, reverse=True):
+        for _ in range(histogram[length]):
+            at = min(range(len(packs)), key=packs.__getitem__, default=None)
+            if at is None or packs[at] + length > 64:
+                packs.append(length)
+            else:
+                packs[at] += length
+    patterns = packing.pack_histogram(histogram, 64)
+    assert sorted(f for p, n in patterns for f in [sum(p)] * n) == sorted(packs)
+    assert Counter({k: sum(p.count(k) * n for p, n in patterns) for k in histogram}) == histogram
+
+
 @pytest.mark.parametrize("size", [1, 2, 3, 17, 64, 1000])
 def test_feistel_permutes(size):
     assert sorted(materialisation.feistel(np.arange(size), size, 5).tolist()) == list(range(size))
