@@ -7,17 +7,18 @@ A slot's place in the output follows from arithmetic alone: shard, row and byte
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import tokens
-from docloom.llm.common import materialise, mix, partitions, shared_path, slices
+from docloom.llm.common import LARGE_ROWS, materialise, mix, partitions, shared_path, slices
 
 
 def feistel(numbers: np.ndarray, size: int, key: int, rounds: int = 6) -> np.ndarray:
@@ -35,12 +36,16 @@ def feistel(numbers: np.ndarray, size: int, key: int, rounds: int = 6) -> np.nda
     return out.astype(np.int64)
 
 
-def sequences(docs: DataFrame, stride: int, path: str, end_id: int, pad_id: int) -> DataFrame:
-    """Pieces of every document: doc_id, piece, n_tokens, ids as planes of 32-bit words padded to the stride, their crc32 and a hash."""
+Batches = Iterator[pa.RecordBatch]
+ABOUT = ("doc_id", "piece", "n_tokens", "sequence", "slot")
+
+
+def chunks(docs: DataFrame, stride: int, path: str, end_id: int, pad_id: int) -> DataFrame:
+    """Pieces of every document, some megabytes of text a row: the task, the number of pieces it made before, doc_id, piece and n_tokens of each piece, and the ids, padded to the stride and compressed."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = tokens.encoder(path)
+    def cut(batches: Batches) -> Batches:
+        encoder, part, first = tokens.encoder(path), TaskContext.get().partitionId(), 0
         for batch in slices(batches, limit=2 << 20):
             counts, ids = encoder.encode(batch["text"])
             total = counts + 1
@@ -51,31 +56,17 @@ def sequences(docs: DataFrame, stride: int, path: str, end_id: int, pad_id: int)
             base = (np.cumsum(n) - n) * stride
             out[np.repeat(base - (np.cumsum(counts) - counts), counts) + np.arange(len(ids))] = ids
             out[base + counts] = end_id
-            view, size = memoryview(out).cast("B"), 4 * stride
-            sums = pa.array([zlib.crc32(view[at : at + size]) for at in range(0, len(view), size)], pa.int64())
-            marks = pa.array([xxhash.xxh3_64_intdigest(view[at : at + size]) for at in range(0, len(view), size)], pa.uint64()).view(pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"].take(pa.array(row)), pa.array(piece), pa.array(np.minimum(stride, total[row] - piece * stride)), fixed_blobs(planes(out, stride).reshape(-1), size), sums, marks],
-                names=["doc_id", "piece", "n_tokens", "planes", "ids_crc32", "mark"],
-            )
-
-    return docs.select("doc_id", "text").mapInArrow(cut, f"doc_id {kind}, piece long, n_tokens long, planes binary, ids_crc32 long, mark long")
-
-
-def planes(ids: np.ndarray, stride: int) -> np.ndarray:
-    """Rows of 32-bit ids with their first bytes first, then their second bytes and so on: high bytes are runs of zeros, which any codec shrinks."""
-    return np.ascontiguousarray(ids.view(np.uint8).reshape(-1, stride, 4).transpose(0, 2, 1))
-
+            lists = [listed(x) for x in (batch["doc_id"].take(pa.array(row)), pa.array(piece), pa.array(np.minimum(stride, total[row] - piece * stride)))]
+            data = pa.array([zstandard.compress(out.tobytes())], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([first]), pa.array([len(row)]), *lists, data], names=["part", "first", "n", *ABOUT[:3], "data"])
+            first += len(row)
 
-def from_planes(data: np.ndarray, stride: int) -> np.ndarray:
-    """The bytes of the ids again, row by row."""
-    return np.ascontiguousarray(data.reshape(-1, 4, stride).transpose(0, 2, 1)).reshape(-1, 4 * stride)
+    return docs.select("doc_id", "text").mapInArrow(cut, f"part int, first long, n long, doc_id array<{kind}>, piece array<long>, n_tokens array<long>, data binary")
 
 
-def blob_bytes(column: pa.Array) -> np.ndarray:
-    """The bytes of a column of binary values without nulls, without a copy."""
-    ends = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1]
-    return np.frombuffer(column.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]]
+def listed(values: pa.Array) -> pa.ListArray:
+    """One list that holds all the values."""
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
 def fixed_blobs(data: np.ndarray, size: int) -> pa.Array:
@@ -85,119 +76,150 @@ def fixed_blobs(data: np.ndarray, size: int) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), n, [None, offsets.buffers()[1], pa.py_buffer(data)])
 
 
-def in_order(docs: DataFrame, key: int, stride: int, end_id: int, pad_id: int, path: str | None) -> tuple[DataFrame, int]:
-    """Rows of doc_id, piece, n_tokens, planes, ids_crc32, sequence and slot, and their number.
+def numbered(docs: DataFrame, key: int, stride: int, end_id: int, pad_id: int, path: str | None) -> tuple[DataFrame, Callable[[Batches], Batches], int]:
+    """The written chunks, a function that turns them into rows (doc_id, piece, n_tokens, sequence, slot, ids) in a task, and the number of sequences.
 
-    Only keys are sorted and numbered; a row number that is written with the sequences brings the slot to the ids.
+    A sequence's number is its place in the written chunks: the number of sequences of the tasks before, one figure a task, and its place in its own task.
     """
-    spark = docs.sparkSession
-    made = sequences(docs, stride, path or tokens.default_path(), end_id, pad_id)
-    cut = materialise(made.withColumn("row", F.monotonically_increasing_id()))
-    keys = cut.select("doc_id", "piece", "mark", "row")
-    ranged = materialise(keys.repartitionByRange(partitions(spark), "doc_id", "piece", "mark").withColumn("range", F.spark_partition_id()))
-    sizes = ranged.groupBy("range").agg(F.count("*").alias("n"))
-    counts = {r["range"]: r["n"] for r in sizes.collect()}  # a number for each partition
+    cut = materialise(chunks(docs, stride, path or tokens.default_path(), end_id, pad_id), **LARGE_ROWS)
+    sums = {r["part"]: r["n"] for r in cut.groupBy("part").agg(F.sum("n").alias("n")).collect()}  # a number for each partition
     size, before = 0, {}
-    for part in sorted(counts):
-        before[part], size = size, size + counts[part]
-    first = spark.createDataFrame(list(before.items()) or [(0, 0)], "range int, first long")
-    order = Window.partitionBy("range").orderBy("doc_id", "piece", "mark", "row")
-    numbered = ranged.withColumn("own", F.row_number().over(order)).join(F.broadcast(first), "range")
+    for part in sorted(sums):
+        before[part], size = size, size + sums[part]
+    sent = docs.sparkSession.sparkContext.broadcast(before)
 
-    @F.pandas_udf("long")
-    def slot(sequence: pd.Series) -> pd.Series:
-        return pd.Series(feistel(sequence.to_numpy(), size, key))
+    def rows(batches: Batches) -> Batches:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                sequence = sent.value[batch["part"][at].as_py()] + batch["first"][at].as_py() + np.arange(batch["n"][at].as_py())
+                ids = np.frombuffer(zstandard.decompress(batch["data"][at].as_py()), dtype=np.uint8)
+                lists = [batch[c][at].values for c in ABOUT[:3]]
+                yield pa.RecordBatch.from_arrays([*lists, pa.array(sequence), pa.array(feistel(sequence, size, key)), fixed_blobs(ids, 4 * stride)], names=[*ABOUT, "ids"])
 
-    numbered = numbered.select("row", (F.col("first") + F.col("own") - 1).alias("sequence")).withColumn("slot", slot("sequence"))
-    return cut.join(numbered, "row").select("doc_id", "piece", "n_tokens", "planes", "ids_crc32", "sequence", "slot"), size
+    return cut, rows, size
 
 
 def training_order(docs: DataFrame, key: int = 20_240_501, stride: int = 512, shard_rows: int = 8192, end_id: int = 1, pad_id: int = 0, path: str | None = None) -> DataFrame:
     """Every sequence with its number, its slot in training order and its place in the shards.
 
-    Columns: doc_id, piece, n_tokens, ids, ids_crc32, sequence, slot, shard, shard_row, byte_offset. A null or empty text is one sequence of the end id.
-    Sequences are numbered by (doc_id, piece, ids), nulls first, so numbers do not depend on how the input was partitioned; identical rows are alike whichever comes first.
-    Numbering is a range exchange of small keys, a count for each range and a row number within it. An empty table gives no rows.
+    Columns: doc_id, piece, n_tokens, ids, ids_crc32, sequence, slot, shard, shard_row, byte_offset. A null or empty text is one sequence of the end id; rows alike are sequences of their own.
+    Sequences are numbered as they lie in the input, partition by partition: the same partitions give the same order. Only one count a partition reaches the driver. An empty table gives no rows.
     """
-    ordered, _ = in_order(docs, key, stride, end_id, pad_id, path)
+    cut, rows, _ = numbered(docs, key, stride, end_id, pad_id, path)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    out = cut.mapInArrow(rows, f"doc_id {kind}, piece long, n_tokens long, sequence long, slot long, ids binary")
+    return out.select(
+        "doc_id", "piece", "n_tokens", "ids", F.crc32("ids").alias("ids_crc32"), "sequence", "slot",
+        F.expr(f"slot div {shard_rows} AS shard"), F.expr(f"slot % {shard_rows} AS shard_row"), F.expr(f"(slot % {shard_rows}) * {4 * stride}L AS byte_offset"),
+    )
+
+
+def parcels(batches: Batches, shard_rows: int) -> Batches:
+    """Rows of (doc_id, piece, n_tokens, sequence, slot, ids), gathered by shard within each batch, ids compressed."""
+    for batch in batches:
+        shard = np.asarray(batch["slot"]) // shard_rows
+        order = np.argsort(shard, kind="stable")
+        batch, shard = batch.take(pa.array(order)), shard[order]
+        starts = np.flatnonzero(np.diff(shard, prepend=-1))
+        ends = np.append(starts[1:], len(shard))
+        ids = blob_bytes(batch["ids"])
+        width = len(ids) // max(1, len(shard))
+        lists = [pa.ListArray.from_arrays(pa.array(np.append(starts, len(shard)).astype(np.int32)), batch[c]) for c in ABOUT]
+        data = [zstandard.compress(ids[a * width : b * width].tobytes()) for a, b in zip(starts, ends, strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(shard[starts]), *lists, pa.array(data, pa.binary())], names=["shard", *ABOUT, "data"])
 
-    @F.pandas_udf("binary")
-    def ids(data: pd.Series) -> pd.Series:
-        return pd.Series([from_planes(np.frombuffer(x, np.uint8), stride).tobytes() for x in data])
 
-    out = ordered.select("doc_id", "piece", "n_tokens", ids("planes").alias("ids"), "ids_crc32", "sequence", "slot")
-    return out.withColumns(
-        {
-            "shard": F.expr(f"slot div {shard_rows}"),
-            "shard_row": F.expr(f"slot % {shard_rows}"),
-            "byte_offset": F.expr(f"(slot % {shard_rows}) * {4 * stride}L"),
-        }
-    )
+def blob_bytes(column: pa.Array) -> np.ndarray:
+    """The bytes of a column of binary values without nulls, without a copy."""
+    ends = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]]
 
 
-def write_shards(ordered: DataFrame, path: str, shard_rows: int = 8192, block_rows: int = 512, size: int | None = None, stride: int | None = None) -> None:
+def write_shards(ordered: DataFrame, path: str, shard_rows: int = 8192, block_rows: int = 512, rows: Callable[[Batches], Batches] | None = None, size: int | None = None) -> None:
     """Write slots in order as Parquet blocks of a fixed number of fixed-stride rows, range-partitioned by slot.
 
+    ``ordered`` has the rows of ``training_order``, or what the function ``rows`` turns into such rows within a task. Slots are 0 to ``size`` - 1.
     Block k holds the slots from k * block_rows on; each of its rows takes the same number of bytes, so a reader finds any slot by arithmetic.
     Beside its bytes a block lists the doc_id, piece, n_tokens and sequence of its rows. ``block_rows`` must divide ``shard_rows``. The last block may be shorter.
-    Slots are 0 to ``size`` - 1, so the bounds of the ranges need no sample. Rows have ids, or their planes with the ``stride`` given.
+    Sequences move once, those of a batch bound for one shard as one compressed parcel; a task holds one shard at a time.
     """
-    column = "ids" if stride is None else "planes"
-    about = ["doc_id", "piece", "n_tokens", "sequence"]
-    kinds = {c: ordered.schema[c].dataType.simpleString() for c in about}
-
-    def made(rows: pa.Table) -> pa.RecordBatch:
-        data = blob_bytes(rows[column].combine_chunks())
-        data = data if stride is None else from_planes(data, stride)
-        number = rows["slot"][0].as_py() // block_rows
-        own = [pa.array([number * block_rows // shard_rows]), pa.array([number]), pa.array([rows.num_rows]), fixed_blobs(data, data.size)]
-        lists = [pa.ListArray.from_arrays(pa.array([0, rows.num_rows], pa.int32()), rows[c].combine_chunks()) for c in about]
-        return pa.RecordBatch.from_arrays(own + lists, names=["shard", "block", "n_rows", "data", *about])
-
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for batch in batches:
-            rows = pa.Table.from_batches([batch])
-            rows = rows if rest is None else pa.concat_tables([rest, rows])
-            numbers = np.asarray(rows["slot"]) // block_rows
-            starts = np.flatnonzero(np.diff(numbers, prepend=-1))
-            for start, stop in zip(starts[:-1], starts[1:], strict=True):
-                yield made(rows.slice(start, stop - start))
-            rest = rows.slice(starts[-1]) if len(starts) else None
-        if rest is not None:
-            yield made(rest)
-
     size = ordered.count() if size is None else size
-    parts, last = partitions(ordered.sparkSession), max(1, -(-size // block_rows))
-    dealt = ordered.select("slot", column, *about).repartitionById(parts, F.expr(f"cast(slot div {block_rows} * {parts} div {last} AS int)")).sortWithinPartitions("slot")
-    out = dealt.mapInArrow(blocks, "shard long, block long, n_rows long, data binary, " + ", ".join(f"{c} array<{k}>" for c, k in kinds.items()))
-    few = {"parquet.block.size": 4 << 20, "parquet.block.row.count.limit": 4, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1}  # a reader holds a row group at once
-    out.write.mode("overwrite").option("compression", "zstd").options(**few).parquet(path)
+    if rows is None:
+        ordered = ordered.select(*ABOUT, "ids")
+        types = [ordered.schema[c].dataType.simpleString() for c in ABOUT]
+    else:
+        types = [ordered.schema["doc_id"].dataType.elementType.simpleString(), "bigint", "bigint", "bigint", "bigint"]
+    lists = {c: f"{c} array<{t}>" for c, t in zip(ABOUT, types, strict=True)}
+
+    def pack(batches: Batches) -> Batches:
+        return parcels(rows(batches) if rows else batches, shard_rows)
+
+    def blocks(table: pa.Table) -> Batches:
+        shard, slots = table["shard"][0].as_py(), np.concatenate([np.asarray(x.values) for x in table["slot"]])
+        ids = np.frombuffer(b"".join(zstandard.decompress(x.as_py()) for x in table["data"]), dtype=np.uint8).reshape(len(slots), -1)
+        order = np.argsort(slots)
+        flat = {c: pc.list_flatten(table[c].combine_chunks()).take(pa.array(order)) for c in ABOUT[:4]}
+        for at in range(0, len(slots), block_rows):
+            own = order[at : at + block_rows]
+            head = [pa.array([shard]), pa.array([int(slots[own[0]]) // block_rows]), pa.array([len(own)]), pa.array([ids[own].tobytes()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(head + [listed(x.slice(at, block_rows)) for x in flat.values()], names=["shard", "block", "n_rows", "data", *flat])
+
+    def shards(batches: Batches) -> Batches:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            own = np.asarray(batch["shard"])
+            cuts = [0, *np.flatnonzero(np.diff(own)) + 1, len(own)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if held and b > a and held[0]["shard"][0] != batch["shard"][a]:
+                    yield from blocks(pa.Table.from_batches(held))
+                    held = []
+                if b > a:
+                    held.append(batch.slice(a, b - a))
+        if held:
+            yield from blocks(pa.Table.from_batches(held))
+
+    parts, n_shards = partitions(ordered.sparkSession), max(1, -(-size // shard_rows))
+    packed = ordered.mapInArrow(pack, f"shard long, {', '.join(lists.values())}, data binary")
+    dealt = packed.repartitionById(parts, F.expr(f"cast(shard * {parts} div {n_shards} AS int)")).sortWithinPartitions("shard")
+    out = dealt.mapInArrow(shards, f"shard long, block long, n_rows long, data binary, {', '.join(lists[c] for c in ABOUT[:4])}")
+    out.write.mode("overwrite").option("compression", "zstd").options(**LARGE_ROWS).parquet(path)
 
 
 def placed(spark: SparkSession, path: str, shard_rows: int = 8192, block_rows: int = 512, stride: int = 512) -> DataFrame:
     """Every sequence of the written shards, its place and checksum taken from the blocks read back: shard and bytes as stored, row and offset by a row's place in its block."""
     width = 4 * stride
-    row = f"struct(doc_id[i] AS doc_id, piece[i] AS piece, n_tokens[i] AS n_tokens, crc32(substring(data, i * {width} + 1, {width})) AS ids_crc32, sequence[i] AS sequence, block * {block_rows} + i AS slot)"
-    rows = spark.read.parquet(path).select("shard", F.expr(f"transform(sequence(0, octet_length(data) div {width} - 1), i -> {row})").alias("rows"))
-    out = rows.select("shard", F.inline("rows"))
-    at = F.col("slot") - F.col("shard") * shard_rows
-    return out.select("doc_id", "piece", "n_tokens", "ids_crc32", "sequence", "slot", "shard", at.alias("shard_row"), (at * width).alias("byte_offset"))
+    stored = spark.read.parquet(path)
+    kind = stored.schema["doc_id"].dataType.elementType.simpleString()
+
+    def rows(batches: Batches) -> Batches:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                data, n = batch["data"][at].as_buffer(), batch["n_rows"][at].as_py()
+                view = memoryview(data)
+                sums = pa.array([zlib.crc32(view[i * width : (i + 1) * width]) for i in range(n)], pa.int64())
+                slot = batch["block"][at].as_py() * block_rows + np.arange(n)
+                row = slot - batch["shard"][at].as_py() * shard_rows
+                lists = [batch[c][at].values for c in ABOUT[:4]]
+                shard = pa.array(np.full(n, batch["shard"][at].as_py()))
+                yield pa.RecordBatch.from_arrays([*lists[:3], sums, lists[3], pa.array(slot), shard, pa.array(row), pa.array(row * width)], names=names)
+
+    names = ["doc_id", "piece", "n_tokens", "ids_crc32", "sequence", "slot", "shard", "shard_row", "byte_offset"]
+    return stored.mapInArrow(rows, f"doc_id {kind}, " + ", ".join(f"{c} long" for c in names[1:]))
 
 
 def materialised_order(docs: DataFrame, key: int = 20_240_501, stride: int = 512, shard_rows: int = 8192, block_rows: int = 512, end_id: int = 1, pad_id: int = 0, path: str | None = None) -> DataFrame:
     """The shards written to the shared folder, and every sequence as it was found there (the columns of ``training_order`` without ids)."""
     spark = docs.sparkSession
-    ordered, size = in_order(docs, key, stride, end_id, pad_id, path)
+    cut, rows, size = numbered(docs, key, stride, end_id, pad_id, path)
     where = shared_path(spark, "shards")
-    write_shards(ordered, where, shard_rows, block_rows, size, stride)
+    write_shards(cut, where, shard_rows, block_rows, rows, size)
     return placed(spark, where, shard_rows, block_rows, stride)
 
 
-def read_slots(spark: SparkSession, path: str, start: int, count: int, stride: int = 512, block_rows: int = 512) -> np.ndarray:
-    """The ids of so many slots from a slot on, as a matrix: a resumed run reads only the blocks it needs."""
+def read_slots(spark: SparkSession, path: str, start: int, count: int, stride: int = 512, block_rows: int = 512) -> Iterator[np.ndarray]:
+    """The ids of so many slots from a slot on, one after the other: a resumed run reads only the blocks it needs, and holds one partition of them at a time."""
     first, last = start // block_rows, (start + count - 1) // block_rows
-    rows = spark.read.parquet(path).filter(F.col("block").between(first, last)).orderBy("block").select("data").collect()
-    ids = np.frombuffer(b"".join(r["data"] for r in rows), dtype="<u4").reshape(-1, stride)
-    return ids[start - first * block_rows :][:count]
-
+    for r in spark.read.parquet(path).filter(F.col("block").between(first, last)).orderBy("block").select("block", "data").toLocalIterator():
+        ids = np.frombuffer(r["data"], dtype="<u4").reshape(-1, stride)
+        at = r["block"] * block_rows
+        yield from ids[max(0, start - at) : start + count - at]
