@@ -32,7 +32,8 @@ def op3_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.judge_urls(pages, URL_RULES, url_filter.content_labels(pages))
 
 
 def op5_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
