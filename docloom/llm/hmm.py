@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,8 +30,8 @@ def code_blocks(docs: DataFrame, held_out: Column) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rng = np.random.default_rng()
-        for batch in slices(batches):
+        first = TaskContext.get().partitionId() << 40
+        for number, batch in enumerate(slices(batches)):
             counts, codes, words = word_codes(batch["text"])
             held = np.asarray(pc.fill_null(batch["held_out"], False))
             freq = np.bincount(codes, minlength=len(words))
@@ -43,7 +44,7 @@ def code_blocks(docs: DataFrame, held_out: Column) -> DataFrame:
             one = [batch["doc_id"], pa.array(held), pa.array(counts), pa.array(place[codes]), words, pa.array(taught), pa.array(classes)]
             blob = pa.array([place[codes].tobytes()], pa.binary())
             lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (one[0], one[1], one[2], one[4], one[5], one[6])]
-            block = pa.array([int(rng.integers(1 << 62))], pa.int64())
+            block = pa.array([first + number], pa.int64())
             yield pa.RecordBatch.from_arrays([block, *lists[:3], blob, *lists[3:]], names=["block", "doc_ids", "held", "lengths", "codes", "words", "taught", "classes"])
 
     rows = docs.select("doc_id", "text", held_out.alias("held_out"))
@@ -159,18 +160,18 @@ def _prepare(blocks: DataFrame, counts: DataFrame, totals: tuple, ends: int) ->
 def _expect(coded: DataFrame, model: tuple) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
     """One pass of Baum-Welch over the training documents: log10 likelihood and expected counts.
 
-    Each task adds up its blocks; tasks' sums are added in two steps, so no task receives more than the square root of their number.
+    Each task adds up its blocks; tasks' sums are added in rounds of sixteen, so no group receives more, however many tasks there are.
     """
+    parts = max(1, coded.rdd.getNumPartitions())
     sent = coded.sparkSession.sparkContext.broadcast(model)
     states = len(model[0])
 
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, part = None, 0
+        total, part = None, TaskContext.get().partitionId() // 16
         for batch in batches:
             for at in range(batch.num_rows):
                 lengths, held = np.asarray(batch["lengths"][at].values, dtype=np.int64), np.asarray(batch["held"][at].values)
                 classes = np.frombuffer(batch["classes"][at].as_py(), dtype=np.uint16)
-                part = (part * 31 + len(classes)) % 64
                 classes, lengths = classes[np.repeat(~held, lengths)].astype(np.int64), lengths[~held]
                 logs, starts, moves, emissions = _forward(*sent.value, _windows(lengths), classes, backward=True)
                 own = np.concatenate(([logs.sum()], starts, moves.ravel(), emissions.ravel()))
@@ -180,11 +181,14 @@ def _expect(coded: DataFrame, model: tuple) -> tuple[float, np.ndarray, np.ndarr
 
     def add(table: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(b.as_py(), dtype=np.float64) for chunk in table["sums"].chunks for b in chunk)
-        return pa.table({"part": pa.array([0], pa.int32()), "sums": pa.array([total.tobytes()], pa.binary())})
+        return pa.table({"part": pa.array([table["part"][0].as_py() // 16], pa.int32()), "sums": pa.array([total.tobytes()], pa.binary())})
 
     schema = "part int, sums binary"
     added = coded.select("lengths", "held", "classes").mapInArrow(expect, schema).groupBy("part").applyInArrow(add, schema)
-    rows = added.groupBy("part").applyInArrow(add, schema).collect()  # one row
+    parts = -(-parts // 16)
+    while parts > 1:
+        added, parts = added.groupBy("part").applyInArrow(add, schema), -(-parts // 16)
+    rows = added.collect()  # one row
     total = np.frombuffer(rows[0]["sums"], dtype=np.float64) if rows else np.zeros(1 + states + states**2 + states * (END + 1))
     starts, moves, emissions = np.split(total[1:], [states, states + states**2])
     return float(total[0]), starts, moves.reshape(states, states), emissions.reshape(states, -1)

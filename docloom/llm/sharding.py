@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import materialise
+from docloom.llm.common import materialise, partitions
 
 Key = tuple[int, int]
 LOW, HIGH = -(1 << 63), (1 << 63) - 1
@@ -92,15 +92,17 @@ def find_splitters(keyed: DataFrame, shards: int, tolerance: float, probes_each:
     return sorted(c for c in chosen if c is not None)
 
 
-def shard_rows(docs: DataFrame, shards: int = 8, tolerance: float = 0.01, parts: int = 16) -> DataFrame:
+def shard_rows(docs: DataFrame, shards: int = 8, tolerance: float = 0.01, parts: int | None = None) -> DataFrame:
     """Put every row in a shard so that shards hold near-equal bytes; all columns stay and size, shard and slot are added.
 
     A row's size is the UTF-8 bytes of its text (null: none) plus 1. Slots count from 0 in each shard, in the order (hash of the text, doc_id).
     Equal texts lie side by side; a splitter falls inside a group of them only where the group is too large for the tolerance. Rows equal in text and doc_id stay together; a null doc_id orders first and null texts are one group. An empty table gives no rows.
-    Every shard is cut into ``parts`` ranges of near-equal bytes, the units of the one exchange; their counts give the slots' offsets.
+    Every shard is cut into ``parts`` ranges of near-equal bytes, the units of the one exchange; their counts give the slots' offsets. Left out, a range has about a gigabyte, but a shard 16 ranges at least and 4,096 at most, since the driver holds their splitters.
     """
     keyed = docs.withColumns({"__h": F.coalesce(F.xxhash64("text"), F.lit(0)), "__i": F.coalesce(F.col("doc_id").cast("long"), F.lit(LOW + 1)), "__size": _size()})
     keys = materialise(keyed.select("__h", "__i", "__size"))
+    if parts is None:
+        parts = min(4096, max(16, -(-(keys.agg(F.sum("__size")).first()[0] or 0) // (shards << 30))))
     fine = find_splitters(keys, shards * parts, tolerance * parts)
     edges = find_splitters(keys, shards, tolerance)
     cuts = sorted({*fine, *edges})
@@ -122,5 +124,5 @@ def _size() -> Column:
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
-    """One folder a shard, in slot order."""
-    sharded.repartition("shard").sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)
+    """One folder a shard, its files and their rows in slot order: ranges of (shard, slot) are the units, so a shard is written by many tasks."""
+    sharded.repartitionByRange(partitions(sharded.sparkSession), "shard", "slot").sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)
