@@ -183,3 +183,62 @@ def test_pipeline_stages(spark):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, LARGER)
     assert {r.doc_id for r in packed.select("doc_id").collect()} == seen
     assert len(seen) > 700
+
+
+def brute_rules(rows, min_urls, share, confidence, most):
+    """Token sets of at most so many tokens that tell a label, by counting every set."""
+    from itertools import combinations
+
+    sets, right = Counter(), Counter()
+    for tokens, label in rows:
+        for k in range(1, most + 1):
+            for own in combinations(sorted(tokens), k):
+                sets[own] += 1
+                right[own, label] += 1
+    floor = max(min_urls, share * len(rows))
+    return {(own, label): n / sets[own] for (own, label), n in right.items() if n >= floor and n / sets[own] >= confidence}
+
+
+def test_mined_rules_equal_counting_every_set(spark):
+    rng = random.Random(5)
+    rows = []
+    for _ in range(600):
+        tokens = {t for t in "abcdef" if rng.random() < 0.5}
+        rows.append((sorted(tokens), "block" if {"a", "b"} <= tokens and rng.random() < 0.97 else "allow"))
+    want = brute_rules(rows, 20, 0.002, 0.9, 3)
+    found = url_filter.mine_rules(spark.createDataFrame(rows, "url_tokens array<string>, label string")).collect()
+    assert {(tuple(r.tokens), r.verdict) for r in found} == set(want) and any(label == "block" for _, label in want)
+    assert all(r.confidence == pytest.approx(want[tuple(r.tokens), r.verdict]) for r in found)
+
+
+def test_long_fixed_paths_are_one_item(spark):
+    rows = [([f"p{k}" for k in range(40)], "block")] * 50 + [([f"q{k % 7}", f"r{k % 5}"], "allow") for k in range(100)]
+    found = url_filter.mine_rules(spark.createDataFrame(rows, "url_tokens array<string>, label string"), min_support=0.1).collect()
+    assert [(len(r.tokens), r.confidence) for r in found if r.verdict == "block"] == [(40, 1.0)]
+
+
+def test_content_labels(spark):
+    plain = "a page with quite a few different words so that it has something to say to its many readers of today and tomorrow"
+    pages = [(1, f"<p>{plain}</p>"), (2, "<p>few words</p><script>" + plain + "</script>"), (3, "BUY NOWW!! CHEAP!! PILLS!! " * 10), (4, "again and " * 30), (5, None)]
+    out = url_filter.content_labels(spark.createDataFrame([(f"http://h/{i}", h) for i, h in pages], "url string, html string")).collect()
+    assert [r.label for r in out] == ["allow", "block", "block", "block", "block"]
+
+
+def test_words_that_speak_only_in_pairs(spark):
+    """Toxic if an insult meets a group; both words are neutral alone, as so many texts without either are toxic that 0.3 of all texts and of those with either word are. Held-out texts of the same making."""
+    rng = random.Random(9)
+    rows, labels, kinds = [], [], {}
+    for i in range(4000):
+        insult, group = rng.random() < 0.3, rng.random() < 0.3
+        toxic = insult and group or (not insult and not group and rng.random() < 0.4286)
+        words = ["insult"] * insult + ["group"] * group + [f"w{rng.randrange(200)}" for _ in range(12)]
+        rng.shuffle(words)
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+        kinds[i] = insult + group
+    share = lambda k: sum(y for i, y in labels if kinds[i] == k) / sum(n == k for n in kinds.values())
+    assert share(1) == 0 and share(2) == 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    machine = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), F.col("doc_id") < 3000)
+    out = [(kinds[r.doc_id], r.predicted) for r in toxicity.score(docs.filter("doc_id >= 3000"), machine).collect()]
+    assert np.mean([p for k, p in out if k == 2]) > 0.9 and np.mean([p for k, p in out if k == 1]) < 0.1

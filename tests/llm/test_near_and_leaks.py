@@ -9,6 +9,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
 from cases import ODD  # noqa: E402
@@ -222,3 +223,42 @@ def test_fingerprints_of_the_table(spark):
     for i, t in rows:
         by[t or ""].add(out[i].fingerprint)
     assert all(len(x) == 1 for x in by.values())
+
+
+def textbook_likeness(a, b, sketches=64):
+    """Order MinHash as published: for each sketch the two least occurrence-numbered k-mers under its own hash, in text order."""
+    import xxhash
+
+    def marks(words):
+        seen, elements = Counter(), []
+        for at in range(len(words)):
+            kmer = tuple(words[at : at + 3])
+            seen[kmer] += 1
+            elements.append((repr((kmer, seen[kmer])), at))
+        out = []
+        for j in range(sketches):
+            least = sorted(elements, key=lambda e: xxhash.xxh64_intdigest(e[0], j))[:2]
+            out.append(tuple(e[0] for e in sorted(least, key=lambda e: e[1])))
+        return out
+
+    return sum(x == y for x, y in zip(marks(a), marks(b), strict=True)) / sketches
+
+
+@pytest.mark.parametrize("n_words", [20, 50, 100, 400])
+def test_order_likeness_is_near_the_textbook_one(spark, n_words):
+    """Texts against themselves with their halves swapped, and with a word in ten changed."""
+    rng = random.Random(n_words)
+    rows, want = [], {"swapped": [], "changed": []}
+    for i in range(24):
+        words = [f"w{rng.randrange(3000)}" for _ in range(n_words)]
+        swapped = words[n_words // 2 :] + words[: n_words // 2]
+        changed = [w if rng.random() > 0.1 else f"x{k}" for k, w in enumerate(words)]
+        rows += [(i, "own", " ".join(words)), (i, "swapped", " ".join(swapped)), (i, "changed", " ".join(changed))]
+        want["swapped"].append(textbook_likeness(words, swapped))
+        want["changed"].append(textbook_likeness(words, changed))
+    marks = fingerprints.order_minhash(spark.createDataFrame(rows, "i int, kind string, text string"), ["i", "kind"], "text").cache()
+    own = marks.filter("kind = 'own'").select("i", F.col("pairs").alias("own"))
+    got = {r.kind: r.near for r in marks.join(own, "i").groupBy("kind").agg(F.avg(fingerprints.likeness(F.col("own"), F.col("pairs"))).alias("near")).collect()}
+    assert got["own"] == 1.0
+    for kind, each in want.items():
+        assert got[kind] == pytest.approx(sum(each) / len(each), abs=0.1)
