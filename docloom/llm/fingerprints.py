@@ -2,6 +2,7 @@
 
 A text's k-mers are runs of three tokens; a token is up to 16 characters of a word with the white space before it. Equal k-mers are numbered in text order, so a k-mer and its number occur once.
 A hash deals them into the cells of the sketches. A sketch is made of the least element of each of its two cells, taken in the order in which they stand in the text, so it changes when words change and when they change places.
+A cell that stays empty borrows from the next filled one (the two cells of a sketch never the same element if there are two), so sketches of short texts hold pairs as well. No cell of a text of some thousand tokens is empty.
 """
 
 from __future__ import annotations
@@ -38,11 +39,50 @@ def order_minhash(rows: DataFrame, keys: Sequence[str], text: str, dealt: bool =
     least = hashed.groupBy(*keys, F.col("__h").bitwiseAND(F.lit(SKETCHES - 1)).alias("__j")).agg(
         F.min(F.when(~second, element)).alias("__a"), F.min(F.when(second, element)).alias("__b")
     )
-    a, b = F.shiftright("__a", AT_BITS), F.shiftright("__b", AT_BITS)
-    a_first = F.col("__b").isNull() | (F.col("__a").bitwiseAND(F.lit(low)) < F.col("__b").bitwiseAND(F.lit(low)))
-    tuple_hash = F.when(F.col("__a").isNotNull() & a_first, F.hash(a, b)).otherwise(F.hash(b, a))
-    pair = F.shiftleft(F.col("__j").cast("int"), HASH_BITS).bitwiseOR(tuple_hash.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
-    return least.select(*keys, pair.alias("__pair")).groupBy(*keys).agg(F.sort_array(F.collect_list("__pair")).alias("pairs"))
+    cell = F.struct(F.col("__j").cast("int").alias("j"), F.col("__a").alias("a"), F.col("__b").alias("b"))
+    cells = F.filter(F.collect_list(cell), lambda c: c["j"].isNotNull())
+    halves = lambda k, side: F.transform(F.filter("__cells", lambda c: c[side].isNotNull()), lambda c: F.struct((2 * c["j"] + k).alias("i"), c[side].alias("e")))
+    short = F.exists("__cells", lambda c: c["a"].isNull() | c["b"].isNull()) | (F.size("__cells") < SKETCHES)
+    filled = F.when(short, F.map_from_entries(F.concat(halves(0, "a"), halves(1, "b"))))
+    ring = F.transform(F.sequence(F.lit(0), F.lit(4 * SKETCHES - 1)), lambda i: F.try_element_at("__filled", F.pmod(i, F.lit(2 * SKETCHES))))
+    # Columns of their own: within a lambda they would be made anew for every cell.
+    out = least.groupBy(*keys).agg(cells.alias("__cells")).withColumn("__filled", filled).withColumn("__ring", F.when(F.col("__filled").isNotNull(), ring))
+    return out.select(*keys, F.array_sort(_sketches("__cells", F.col("__ring"))).alias("pairs"))
+
+
+def _sketches(cells: str, ring: Column) -> Column:
+    """The sketches of a text, as integers, from its cells (j, a, b) and the ring of all cells' elements, twice around, which is null where no cell is empty."""
+    low = F.lit((1 << AT_BITS) - 1)
+
+    def following(i: Column) -> Column:
+        return F.array_compact(F.slice(ring, i + 1, F.lit(2 * SKETCHES)))
+
+    def borrowed(i: Column, but: Column) -> Column:
+        """The element of the next filled cell that is not ``but``; ``but`` if there is no other."""
+        return F.coalesce(F.get(F.array_remove(following(i), but), 0), but)
+
+    def sketch(j: Column, a: Column, b: Column) -> Column:
+        a_first = a.bitwiseAND(low) <= b.bitwiseAND(low)
+        x, y = F.shiftright(F.when(a_first, a).otherwise(b), AT_BITS), F.shiftright(F.when(a_first, b).otherwise(a), AT_BITS)
+        return F.shiftleft(j, HASH_BITS).bitwiseOR(F.hash(x, y).bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
+
+    def halved(c: Column) -> Column:
+        own = F.coalesce(c["a"], c["b"])
+        missing = 2 * c["j"] + F.when(c["a"].isNull(), 0).otherwise(1)
+        return sketch(c["j"], own, borrowed(missing, own))
+
+    def lacking(j: Column) -> Column:
+        a = F.get(following(2 * j), 0)
+        # A one-element array binds the first element, so that it is sought once.
+        return F.element_at(F.transform(F.array(a), lambda x: sketch(j, x, borrowed(2 * j + 1, x))), 1)
+
+    pair = lambda c: sketch(c["j"], c["a"], c["b"])
+    both = F.filter(cells, lambda c: c["a"].isNotNull() & c["b"].isNotNull())
+    half = F.filter(cells, lambda c: c["a"].isNull() | c["b"].isNull())
+    none = F.array_except(F.sequence(F.lit(0), F.lit(SKETCHES - 1)), F.transform(cells, lambda c: c["j"]))
+    whole = F.transform(both, pair)
+    rest = F.concat(F.transform(half, halved), F.transform(none, lacking))
+    return F.when(F.size(cells) == 0, F.array().cast("array<int>")).when(ring.isNull(), F.transform(cells, pair)).otherwise(F.concat(whole, rest))
 
 
 def as_text(pairs: Column) -> Column:
