@@ -49,15 +49,16 @@ def related_chunks(chunks: DataFrame, refs: DataFrame, edges: DataFrame, hops: i
     return found.join(other, "element").filter(F.col("related") != F.col("chunk")).select("chunk", "related", "element", "distance")
 
 
-def on_cycles(parents: DataFrame, most: int = 10_000) -> DataFrame:
-    """(node): the nodes whose way up (node, parent) never ends. Nodes whose parent is settled settle, a level a round; those left are on a cycle or below one."""
+def on_cycles(parents: DataFrame) -> DataFrame:
+    """(node): the nodes whose way up (node, parent) never ends. Nodes whose parent is settled settle, a level a round, until a round settles none; those left are on a cycle or below one."""
     known = parents.select("node")
-    left = parents.filter("parent IS NOT NULL").join(known.select(F.col("node").alias("parent")), "parent", "left_semi").select("node", "parent")
-    for _ in range(most):
-        fewer = written(left.join(left.select(F.col("node").alias("parent")), "parent", "left_semi").select("node", "parent"))
-        if fewer.count() == left.count():
+    left = written(parents.filter("parent IS NOT NULL").join(known.select(F.col("node").alias("parent")), "parent", "left_semi").select("node", "parent"))
+    n = left.count()
+    while n:
+        left = written(left.join(left.select(F.col("node").alias("parent")), "parent", "left_semi").select("node", "parent"))
+        n, before = left.count(), n
+        if n == before:
             break
-        left = fewer
     return left.select("node")
 
 

@@ -60,14 +60,14 @@ def tree_preorder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.preorder(found(spark, sf_dir)).select("node", "depth", F.array_join(F.transform("places", lambda x: x.cast("string")), ".").alias("place"))
 
 
-@query(f"{PATHS} SELECT node, depth FROM p")
+@query(f"{PATHS} SELECT node, depth, array_to_string(places, '.') AS place FROM p")
 def tree_levelorder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trees.levelorder(found(spark, sf_dir)).select("node", "depth")
+    return trees.levelorder(found(spark, sf_dir)).select("node", "depth", F.array_join(F.transform("places", lambda x: x.cast("string")), ".").alias("place"))
 
 
-@query(f"{PATHS} SELECT node, depth FROM p")
+@query(f"{PATHS} SELECT node, depth, array_to_string(places, '.') || '.2147483647' AS place FROM p")
 def tree_postorder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trees.postorder(found(spark, sf_dir)).select("node", "depth")
+    return trees.postorder(found(spark, sf_dir)).select("node", "depth", F.array_join(F.transform("places", lambda x: x.cast("string")), ".").alias("place"))
 
 
 @query(
