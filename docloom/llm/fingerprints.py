@@ -1,8 +1,8 @@
 """Order MinHash fingerprints in DataFrame operations only.
 
 A text's k-mers are runs of three tokens; a token is up to 16 characters of a word with the white space before it. Equal k-mers are numbered in text order, so a k-mer and its number occur once.
-A hash deals them into the cells of the sketches. A sketch is made of the least element of each of its two cells, taken in the order in which they stand in the text, so it changes when words change and when they change places.
-A cell that stays empty borrows from the next filled one (the two cells of a sketch never the same element if there are two), so sketches of short texts hold pairs as well. No cell of a text of some thousand tokens is empty.
+Each sketch ranks them by a hash of its own and selects two minimal ones, the least of each of two halves that a bit of the k-mer's hash makes, another bit for each sketch. Their hash in the order in which they stand in the text is the sketch, so it changes when words change and when they change places.
+A sketch one of whose halves is empty, which a text of n k-mers has once in 2 ** (n - 1) sketches, is that of its only least k-mer.
 """
 
 from __future__ import annotations
@@ -16,8 +16,9 @@ from docloom.llm.common import materialise, partitions
 
 #: Fixed value: a token of a text.
 TOKEN = r"(?s)\s*\S{1,16}|\s+"
-#: A sketch is kept as 6 bits of its number and 26 bits of its hash.
-SKETCHES, HASH_BITS, AT_BITS = 64, 26, 28
+#: A sketch is kept as 6 bits of its number and 26 bits of its hash; a place in the text has 28 bits.
+SKETCHES, HASH_BITS, AT_BITS, GROUP = 64, 26, 28, 8
+_LOW = (1 << AT_BITS) - 1
 
 
 def order_minhash(rows: DataFrame, keys: Sequence[str], text: str, dealt: bool = False) -> DataFrame:
@@ -33,56 +34,29 @@ def order_minhash(rows: DataFrame, keys: Sequence[str], text: str, dealt: bool =
     # The hash stands first in the order, where it decides nearly every comparison.
     number = F.row_number().over(Window.partitionBy("__kmer", *keys).orderBy("__at"))
     hashed = kmers.select(*keys, "__at", F.when(F.col("__at").isNotNull(), F.xxhash64("__kmer", number)).alias("__h"))
-    low = (1 << AT_BITS) - 1
-    element = F.col("__h").bitwiseAND(F.lit(~low)).bitwiseOR(F.col("__at").cast("long"))
-    second = F.shiftright("__h", 6).bitwiseAND(F.lit(1)) == 1
-    least = hashed.groupBy(*keys, F.col("__h").bitwiseAND(F.lit(SKETCHES - 1)).alias("__j")).agg(
-        F.min(F.when(~second, element)).alias("__a"), F.min(F.when(second, element)).alias("__b")
-    )
-    cell = F.struct(F.col("__j").cast("int").alias("j"), F.col("__a").alias("a"), F.col("__b").alias("b"))
-    cells = F.filter(F.collect_list(cell), lambda c: c["j"].isNotNull())
-    halves = lambda k, side: F.transform(F.filter("__cells", lambda c: c[side].isNotNull()), lambda c: F.struct((2 * c["j"] + k).alias("i"), c[side].alias("e")))
-    short = F.exists("__cells", lambda c: c["a"].isNull() | c["b"].isNull()) | (F.size("__cells") < SKETCHES)
-    filled = F.when(short, F.map_from_entries(F.concat(halves(0, "a"), halves(1, "b"))))
-    ring = F.transform(F.sequence(F.lit(0), F.lit(4 * SKETCHES - 1)), lambda i: F.try_element_at("__filled", F.pmod(i, F.lit(2 * SKETCHES))))
-    # Columns of their own: within a lambda they would be made anew for every cell.
-    out = least.groupBy(*keys).agg(cells.alias("__cells")).withColumn("__filled", filled).withColumn("__ring", F.when(F.col("__filled").isNotNull(), ring))
-    return out.select(*keys, F.array_sort(_sketches("__cells", F.col("__ring"))).alias("pairs"))
-
-
-def _sketches(cells: str, ring: Column) -> Column:
-    """The sketches of a text, as integers, from its cells (j, a, b) and the ring of all cells' elements, twice around, which is null where no cell is empty."""
-    low = F.lit((1 << AT_BITS) - 1)
-
-    def following(i: Column) -> Column:
-        return F.array_compact(F.slice(ring, i + 1, F.lit(2 * SKETCHES)))
-
-    def borrowed(i: Column, but: Column) -> Column:
-        """The element of the next filled cell that is not ``but``; ``but`` if there is no other."""
-        return F.coalesce(F.get(F.array_remove(following(i), but), 0), but)
-
-    def sketch(j: Column, a: Column, b: Column) -> Column:
-        a_first = a.bitwiseAND(low) <= b.bitwiseAND(low)
-        x, y = F.shiftright(F.when(a_first, a).otherwise(b), AT_BITS), F.shiftright(F.when(a_first, b).otherwise(a), AT_BITS)
-        return F.shiftleft(j, HASH_BITS).bitwiseOR(F.hash(x, y).bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
-
-    def halved(c: Column) -> Column:
-        own = F.coalesce(c["a"], c["b"])
-        missing = 2 * c["j"] + F.when(c["a"].isNull(), 0).otherwise(1)
-        return sketch(c["j"], own, borrowed(missing, own))
-
-    def lacking(j: Column) -> Column:
-        a = F.get(following(2 * j), 0)
-        # A one-element array binds the first element, so that it is sought once.
-        return F.element_at(F.transform(F.array(a), lambda x: sketch(j, x, borrowed(2 * j + 1, x))), 1)
-
-    pair = lambda c: sketch(c["j"], c["a"], c["b"])
-    both = F.filter(cells, lambda c: c["a"].isNotNull() & c["b"].isNotNull())
-    half = F.filter(cells, lambda c: c["a"].isNull() | c["b"].isNull())
-    none = F.array_except(F.sequence(F.lit(0), F.lit(SKETCHES - 1)), F.transform(cells, lambda c: c["j"]))
-    whole = F.transform(both, pair)
-    rest = F.concat(F.transform(half, halved), F.transform(none, lacking))
-    return F.when(F.size(cells) == 0, F.array().cast("array<int>")).when(ring.isNull(), F.transform(cells, pair)).otherwise(F.concat(whole, rest))
+    # A k-mer goes through its sketches in groups: one row for all of them makes code too wide to compile, one for each sketch costs a look-up each.
+    grouped = hashed.withColumn("__g", F.explode(F.array([F.lit(g) for g in range(0, SKETCHES, GROUP)])))
+    least = [F.expr(f"min(CASE WHEN {_second(i)} = {bit} THEN {_element(i)} END)").alias(f"__{half}{i}") for i in range(GROUP) for half, bit in (("a", 0), ("b", 1))]
+    part = F.expr(f"CASE WHEN __a0 IS NULL AND __b0 IS NULL THEN cast(array() AS array<int>) ELSE array({', '.join(map(_sketch, range(GROUP)))}) END")
+    parts = grouped.groupBy(*keys, "__g").agg(*least).select(*keys, part.alias("__part"))
+    return parts.groupBy(*keys).agg(F.array_sort(F.flatten(F.collect_list("__part"))).alias("pairs"))
+
+
+def _second(i: int) -> str:
+    """1 if a k-mer is in the second half of the group's sketch ``i``: one bit of its hash, another for each sketch."""
+    return f"getbit(__h, __g + {i})"
+
+
+def _element(i: int) -> str:
+    """A k-mer's rank under the hash of the group's sketch ``i`` in the high bits, its place in the text in the low ones."""
+    return f"(xxhash64(__h ^ (__g + {i + 1})) & {~_LOW}L | __at)"
+
+
+def _sketch(i: int) -> str:
+    """The hash of the two halves' least elements in text order, or of the only one, as an integer with the sketch's number."""
+    a, b = f"shiftright(__a{i}, {AT_BITS})", f"shiftright(__b{i}, {AT_BITS})"
+    mark = f"if(__b{i} IS NULL OR (__a{i} & {_LOW}) <= (__b{i} & {_LOW}), hash({a}, {b}), hash({b}, {a}))"
+    return f"shiftleft(__g + {i}, {HASH_BITS}) | ({(1 << HASH_BITS) - 1} & {mark})"
 
 
 def as_text(pairs: Column) -> Column:
