@@ -1,7 +1,7 @@
 """Order MinHash fingerprints in DataFrame operations only.
 
 A text's k-mers are runs of three tokens; a token is up to 16 characters of a word with the white space before it. Equal k-mers are numbered in text order, so a k-mer and its number occur once.
-Each sketch ranks them by a hash of its own and selects two minimal ones, the least of each of two halves that a bit of the k-mer's hash makes, another bit for each sketch. Their hash in the order in which they stand in the text is the sketch, so it changes when words change and when they change places.
+A hash deals the k-mers among the sketches; each sketch ranks its own first, then all others, by a hash of its own, so long texts are sampled evenly and short ones fill every sketch. It selects two minimal ones, the least of each of two halves that a bit of the k-mer's hash makes, another bit for each sketch. Their hash in the order in which they stand in the text is the sketch, so it changes when words change and when they change places.
 A sketch one of whose halves is empty, which a text of n k-mers has once in 2 ** (n - 1) sketches, is that of its only least k-mer.
 """
 
@@ -48,8 +48,9 @@ def _second(i: int) -> str:
 
 
 def _element(i: int) -> str:
-    """A k-mer's rank under the hash of the group's sketch ``i`` in the high bits, its place in the text in the low ones."""
-    return f"(xxhash64(__h ^ (__g + {i + 1})) & {~_LOW}L | __at)"
+    """A k-mer's rank for the group's sketch ``i`` in the high bits (those of its own cell first, then by the sketch's hash), its place in the text in the low ones."""
+    ranked = f"xxhash64(__h ^ (__g + {i + 1}))"
+    return f"(if(shiftrightunsigned(__h, 58) = __g + {i}, {ranked} | shiftleft(1L, 63), {ranked} & {(1 << 63) - 1}L) & {~_LOW}L | __at)"
 
 
 def _sketch(i: int) -> str:
