@@ -78,6 +78,13 @@ def within_each(queries: DataFrame, rows: DataFrame, at_least: float, key: str =
     return out
 
 
+def redundancy(queries: DataFrame, rows: DataFrame, at_least: float = 0.95, key: str = "vec_id") -> DataFrame:
+    """(key, n_links, redundant) for every query: how many other rows are that near, and whether one of them has a smaller key. A null vector has no links."""
+    links = within_each(queries, rows, at_least, key).groupBy("query_id").agg(F.count("*").alias("n_links"), F.min(key).alias("__first"))
+    found = queries.select(key).join(links.withColumnRenamed("query_id", key), key, "left")
+    return found.select(key, F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce(F.col("__first") < F.col(key), F.lit(False)).alias("redundant"))
+
+
 def _within_block(rows: DataFrame, ids: np.ndarray, given: np.ndarray, at_least: float, key: str) -> DataFrame:
     sent = rows.sparkSession.sparkContext.broadcast((ids, given))
 

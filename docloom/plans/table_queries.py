@@ -72,6 +72,17 @@ def near_dup_cosine_all_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.within_each(rows.filter("vec_id % 50 = 0"), rows, 0.3).select(F.col("query_id").alias("a"), F.col("vec_id").alias("b"), "similarity")
 
 
+@query(
+    """WITH near AS (SELECT a.vec_id, b.vec_id AS other FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+    WHERE round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) >= 0.95)
+    SELECT e.vec_id, count(near.other) AS n_links, coalesce(min(near.other) < e.vec_id, false) AS redundant FROM embeddings e LEFT JOIN near ON near.vec_id = e.vec_id WHERE e.vec_id % 50 = 0 GROUP BY e.vec_id"""
+)
+def redundancy_filter_095(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each vector of the query set its links to the whole table, and whether an earlier vector makes it redundant."""
+    rows = table(spark, sf_dir, "embeddings")
+    return search.redundancy(rows.filter("vec_id % 50 = 0"), rows, 0.95)
+
+
 @query(
     """SELECT conv_id, count(*) AS n_messages, arg_min(left(trim(text), 50), turn) FILTER (role = 'user') AS title FROM conversations GROUP BY conv_id ORDER BY conv_id DESC LIMIT 20"""
 )

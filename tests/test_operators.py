@@ -164,3 +164,11 @@ def test_streaming(spark, tmp_path):
     stream = ingest.fresh_documents(ingest.read_documents(spark, str(tmp_path / "in")))
     ingest.start_ingest(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(120)
     assert sorted(r.text for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["other", "same text"]
+
+
+def test_redundancy_against_all_rows(spark):
+    vectors = [(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [2.0, 0.01]), (4, [0.01, 1.0]), (5, [1.0, 1.0]), (6, None), (7, [1.0, 0.0])]
+    rows = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
+    got = {r.vec_id: (r.n_links, r.redundant) for r in search.redundancy(rows.filter("vec_id <> 4"), rows).collect()}
+    assert got == {1: (2, False), 2: (1, False), 3: (2, True), 5: (0, False), 6: (0, False), 7: (2, True)}
+    assert search.redundancy(rows.limit(0), rows).count() == 0
