@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from docloom.functions import text as tx
 from docloom.functions import vectors
 
+#: Room of a block of vectors, and vectors multiplied at once.
+BLOCK_BYTES, TILE = 32 << 20, 1024
+
 
 def nearest(chunks: DataFrame, query: Sequence[float], k: int, tenant: str | None = None, threshold: float = 0.0, key: str = "vec_id") -> DataFrame:
     """The k rows of a tenant most alike to a vector by cosine, by key among equals; then those of at least the threshold.
@@ -24,58 +27,69 @@ def nearest(chunks: DataFrame, query: Sequence[float], k: int, tenant: str | Non
     return top if threshold <= 0 else top.filter(F.col("similarity") >= threshold)
 
 
-def nearest_each(queries: DataFrame, rows: DataFrame, k: int, key: str = "vec_id", block: int = 512) -> DataFrame:
+def nearest_each(queries: DataFrame, rows: DataFrame, k: int, key: str = "vec_id", block: int | None = None) -> DataFrame:
     """(query_id, key, similarity, rank): for every query its k nearest rows.
 
-    Queries go out in blocks of bounded size. A task keeps k rows a query from its share, so what is exchanged does not grow with the table; a window ranks them.
+    Blocks of queries meet blocks of rows in one job (see ``_meet``). A meeting keeps k rows a query, so what is ranked at the end does not grow with the vectors' length; a window ranks them.
     """
-    asked = queries.select(F.col(key).cast("long").alias("query_id"), "embedding").orderBy("query_id")
-    out = None
-    for start in range(0, asked.count(), block):
-        part = asked.offset(start).limit(block).toArrow()
-        ids = np.asarray(part["query_id"])
-        given = np.stack([np.asarray(v, dtype=np.float64) for v in part["embedding"].to_pylist()])
-        given /= np.maximum(np.linalg.norm(given, axis=1, keepdims=True), 1e-300)
-        found = _nearest_block(rows, ids, given, k, key)
-        out = found if out is None else out.unionByName(found)
+
+    def best_of(ids: np.ndarray, given: np.ndarray, names: np.ndarray, matrix: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for i in range(0, len(ids), TILE):
+            found, best = np.zeros((len(ids[i : i + TILE]), 0), dtype=np.int64), np.zeros((len(ids[i : i + TILE]), 0))
+            for j in range(0, len(names), TILE):
+                best = np.hstack([best, np.round(given[i : i + TILE] @ matrix[j : j + TILE].T, 9)])
+                found = np.hstack([found, np.broadcast_to(names[j : j + TILE], (len(found), len(names[j : j + TILE])))])
+                order = np.lexsort((found, -best), axis=1)[:, :k]
+                best, found = np.take_along_axis(best, order, 1), np.take_along_axis(found, order, 1)
+            yield np.repeat(ids[i : i + TILE], found.shape[1]), found.ravel(), best.ravel()
+
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), key)
-    return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return _meet(queries, rows, key, block, best_of).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
 
+def within_each(queries: DataFrame, rows: DataFrame, at_least: float, key: str = "vec_id", block: int | None = None) -> DataFrame:
+    """(query_id, key, similarity): for every query all rows but itself whose cosine, to six digits, is at least the threshold (above 0).
 
-def _nearest_block(rows: DataFrame, ids: np.ndarray, given: np.ndarray, k: int, key: str) -> DataFrame:
-    sent = rows.sparkSession.sparkContext.broadcast((ids, given))
+    Blocks of queries meet blocks of rows in one job (see ``_meet``).
+    """
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, given = sent.value
-        names, best = np.zeros((len(ids), 0), dtype=np.int64), np.zeros((len(ids), 0))
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            matrix = np.asarray(batch["embedding"].flatten(), dtype=np.float64).reshape(batch.num_rows, -1)
-            matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-            best = np.hstack([best, np.round(given @ matrix.T, 9)])
-            names = np.hstack([names, np.broadcast_to(np.asarray(batch[key], dtype=np.int64), (len(ids), batch.num_rows))])
-            order = np.lexsort((names, -best), axis=1)[:, :k]
-            best, names = np.take_along_axis(best, order, 1), np.take_along_axis(names, order, 1)
-        if names.size:
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, names.shape[1])), pa.array(names.ravel()), pa.array(best.ravel())], names=["query_id", key, "similarity"])
+    def alike_of(ids: np.ndarray, given: np.ndarray, names: np.ndarray, matrix: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for i in range(0, len(ids), TILE):
+            for j in range(0, len(names), TILE):
+                alike = np.round(given[i : i + TILE] @ matrix[j : j + TILE].T, 6)
+                q, r = np.nonzero((alike >= at_least) & (ids[i : i + TILE, None] != names[j : j + TILE]))
+                yield ids[i + q], names[j + r], alike[q, r]
 
-    return rows.select(F.col(key).cast("long").alias(key), "embedding").filter(F.col("embedding").isNotNull()).mapInArrow(search, f"query_id long, {key} long, similarity double")
+    return _meet(queries, rows, key, block, alike_of)
 
 
-def within_each(queries: DataFrame, rows: DataFrame, at_least: float, key: str = "vec_id", block: int = 512) -> DataFrame:
-    """(query_id, key, similarity): for every query all rows but itself whose cosine, to six digits, is at least the threshold (above 0).
+def _meet(queries: DataFrame, rows: DataFrame, key: str, block: int | None, compare: Callable[..., Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]]) -> DataFrame:
+    """(query_id, key, similarity) as ``compare`` finds them for every block of queries and every block of rows.
 
-    Queries go out in blocks of bounded size; every task compares a block with its share of the rows.
+    Both sides are dealt by a hash into blocks of about ``block`` vectors (by default as many as fill ``BLOCK_BYTES``), and each pair of blocks is one unit. A row moves once for each block of queries and the other way round, so blocks of equal size move least; nothing passes the driver but two counts and a length. Rows without a key or a vector are left out; keys are taken to be distinct.
     """
-    asked = queries.select(F.col(key).cast("long").alias("query_id"), "embedding").filter(F.col("embedding").isNotNull()).orderBy("query_id")
-    out = rows.sparkSession.createDataFrame([], f"query_id long, {key} long, similarity double")
-    for start in range(0, asked.count(), block):
-        part = asked.offset(start).limit(block).toArrow()
-        given = np.stack([np.asarray(v, dtype=np.float64) for v in part["embedding"].to_pylist()])
-        given /= np.maximum(np.linalg.norm(given, axis=1, keepdims=True), 1e-300)
-        out = out.unionByName(_within_block(rows, np.asarray(part["query_id"]), given, at_least, key))
-    return out
+    spark = rows.sparkSession
+    asked, given = (side.filter(F.col("embedding").isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long").alias(name), F.col("embedding").alias("__vector")) for side, name in ((queries, "query_id"), (rows, key)))
+    if block is None:
+        one = given.select(F.size("__vector")).first()
+        block = max(TILE, BLOCK_BYTES // (8 * max(1, one[0] if one else 1)))
+    across, down = max(1, -(-asked.count() // block)), max(spark.sparkContext.defaultParallelism, -(-given.count() // block))
+    asked = asked.withColumns({"__q": F.pmod(F.xxhash64("query_id"), F.lit(across)), "__r": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(down - 1).cast("long")))})
+    given = given.withColumns({"__r": F.pmod(F.xxhash64(key), F.lit(down)), "__q": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(across - 1).cast("long")))})
+
+    def unit(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = list(compare(*_directions(left, "query_id"), *_directions(right, key))) if left.num_rows and right.num_rows else []
+        ids, names, alike = (np.concatenate([f[c] for f in found]) if found else np.zeros(0) for c in range(3))
+        return pa.table({"query_id": pa.array(ids.astype(np.int64)), key: pa.array(names.astype(np.int64)), "similarity": pa.array(alike)})
+
+    return asked.groupBy("__q", "__r").cogroup(given.groupBy("__q", "__r")).applyInArrow(unit, f"query_id long, {key} long, similarity double")
+
+
+def _directions(table: pa.Table, key: str) -> tuple[np.ndarray, np.ndarray]:
+    """The keys and the vectors of a block, at length one; a vector without a direction stays at nought."""
+    vectors = table["__vector"].combine_chunks()
+    matrix = np.asarray(vectors.flatten(), dtype=np.float64).reshape(table.num_rows, -1)
+    return np.asarray(table[key], dtype=np.int64), matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
 
 
 def redundancy(queries: DataFrame, rows: DataFrame, at_least: float = 0.95, key: str = "vec_id") -> DataFrame:
@@ -85,23 +99,6 @@ def redundancy(queries: DataFrame, rows: DataFrame, at_least: float = 0.95, key:
     return found.select(key, F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce(F.col("__first") < F.col(key), F.lit(False)).alias("redundant"))
 
 
-def _within_block(rows: DataFrame, ids: np.ndarray, given: np.ndarray, at_least: float, key: str) -> DataFrame:
-    sent = rows.sparkSession.sparkContext.broadcast((ids, given))
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, given = sent.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            matrix = np.asarray(batch["embedding"].flatten(), dtype=np.float64).reshape(batch.num_rows, -1)
-            matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-            alike, names = np.round(given @ matrix.T, 6), np.asarray(batch[key], dtype=np.int64)
-            q, r = np.nonzero((alike >= at_least) & (ids[:, None] != names))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(names[r]), pa.array(alike[q, r])], names=["query_id", key, "similarity"])
-
-    return rows.select(F.col(key).cast("long").alias(key), "embedding").filter(F.col("embedding").isNotNull()).mapInArrow(search, f"query_id long, {key} long, similarity double")
-
-
 def confidence(similarity: Column, status: Column, content: Column) -> Column:
     """Similarity raised for finished documents and long passages, lowered for unfinished ones and short passages, at most 1."""
     by_status = F.when(status.isin("completed", "processed"), 1.1).when(status == "processing", 0.9).otherwise(1.0)
