@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import decontamination, fingerprints, hmm, line_dedup, materialisation, near_dedup, packing, sharding, toxicity, url_filter
+from docloom.llm import centroids, conversation_repair, decontamination, fingerprints, hmm, license_scan, line_dedup, materialisation, near_dedup, packing, sharding, toxicity, url_filter
 from docloom.llm.common import doc_number
+from docloom.llm.turn_and_centroid_sql import CENTROIDS_SQL, REPAIR_SQL
 
 #: The rules of the URL contract: verdict, host, start of the path.
 URL_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -66,6 +67,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, machine).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan_documents(table(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return conversation_repair.repair_all(conversations, conversation_repair.damage(conversations))
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
@@ -81,6 +96,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_hidden_markov": op8_hidden_markov,
         "op9_packed_sequences": op9_packed_sequences,
         "op10_toxicity": op10_toxicity,
+        "op11_license_scan": op11_license_scan,
+        "op12_conversation_repair": op12_conversation_repair,
+        "op13_centroid_clusters": op13_centroid_clusters,
     }
 
 
@@ -93,5 +111,5 @@ sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (newest IS NULL OR
 
 
 def oracle_sql() -> dict[str, str]:
-    """Line dedup alone: the other methods (hash order, models, packing, a tokenizer) have no SQL form."""
-    return {"op2_line_dedup": LINES_SQL}
+    """Line dedup, conversation repair and centroid clustering: the other methods (hash order, models, packing, a tokenizer, rarities) have no SQL form."""
+    return {"op2_line_dedup": LINES_SQL, "op12_conversation_repair": REPAIR_SQL, "op13_centroid_clusters": CENTROIDS_SQL}
