@@ -10,6 +10,14 @@ LOADERS = {"pdf": [".pdf"], "word": [".doc", ".docx"], "text": [".txt", ".md", "
 #: Tags whose content is dropped with them.
 DANGEROUS_TAGS = ("script", "style", "iframe", "object", "embed", "form", "input", "button", "select", "textarea", "link", "meta", "base", "applet", "frame", "frameset", "noscript")
 
+#: The white space that goes at the ends of a line.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
+def strip(text: Column) -> Column:
+    """The text without white space of any alphabet at its ends."""
+    return F.btrim(text, F.lit(WHITE))
+
 
 def clean_text(text: Column) -> Column:
     """Trim lines, collapse white space in them, keep one blank line between content, drop CR, NUL and U+FFFD, trim the whole."""

@@ -7,18 +7,116 @@ from pyspark.sql import functions as F
 
 from docloom.functions import numbering
 
-#: Patterns by category and name. Lines start and end at \n only; letter case does not count but in all_caps.
+_NUMBER = r"\d+(?:\.\d+)*"
+_ROMAN = r"(?:[IVXLCDM]+|\d+(?:\.\d+)*)"
+_TITLE = r"\s*[:\-–—]\s*[^\n\r]*"
+
+#: Patterns by category and name; what a category's words have in common is written once above. Lines start and end at \n only; letter case does not count but in all_caps.
 PATTERNS: dict[str, dict[str, str]] = {
-    "section_symbols": {"basic_section": r"§\s*\d+(?:\.\d+)*", "section_range": r"§§\s*\d+(?:\.\d+)*\s*-\s*\d+(?:\.\d+)*"},
-    "articles": {"article_basic": r"\barticle\s+(?:[IVXLCDM]+|\d+(?:\.\d+)*)\b", "article_period": r"\barticle\s+(?:[IVXLCDM]+|\d+(?:\.\d+)*)\.\s*[^\n\r]*"},
-    "sections": {"section_basic": r"\bsection\s+\d+(?:\.\d+)*\b", "section_parentheses": r"\(section\s+\d+(?:\.\d+)*\)"},
-    "chapters": {"chapter_basic": r"\bchapter\s+(?:[IVXLCDM]+|\d+(?:\.\d+)*)\b"},
-    "subsections": {"subsection_basic": r"\bsubsection\s+\d+(?:\.\d+)*\b"},
-    "decimal_numbering": {"decimal_parentheses": r"(?m)^[ \t]*\d+(?:\.\d+)*\)[ \t]*[^\n\r]*", "decimal_bracket": r"(?m)^[ \t]*\(\d+(?:\.\d+)*\)[ \t]*[^\n\r]*"},
-    "clauses": {"clause_basic": r"\bclause\s+\d+(?:\.\d+)*\b", "paragraph_basic": r"\bparagraph\s+\d+(?:\.\d+)*\b"},
-    "legal_terms": {"whereas": r"\bwhereas\b", "provided_that": r"\bprovided\s+that\b", "subject_to": r"\bsubject\s+to\b", "notwithstanding": r"\bnotwithstanding\b"},
-    "cross_references": {"see_section": r"\bsee\s+section\s+\d+(?:\.\d+)*", "pursuant_to": r"\bpursuant\s+to\s+section\s+\d+(?:\.\d+)*"},
+    "section_symbols": {
+        "basic_section": rf"§\s*{_NUMBER}",
+        "section_with_text": rf"§\s*{_NUMBER}\s*[^\n\r]*",
+        "section_range": rf"§§\s*{_NUMBER}\s*-\s*{_NUMBER}",
+        "section_list": rf"§\s*{_NUMBER}(?:\s*,\s*{_NUMBER})*",
+    },
+    "articles": {
+        "article_basic": rf"\barticle\s+{_ROMAN}\b",
+        "article_with_title": rf"\barticle\s+{_ROMAN}{_TITLE}",
+        "article_standalone": rf"^\s*article\s+{_ROMAN}\s*$",
+        "article_period": rf"\barticle\s+{_ROMAN}\.\s*[^\n\r]*",
+    },
+    "sections": {
+        "section_basic": rf"\bsection\s+{_NUMBER}\b",
+        "section_with_title": rf"\bsection\s+{_NUMBER}{_TITLE}",
+        "section_space_title": rf"\bsection\s+{_NUMBER}\s+[^\n\r]+",
+        "section_period": rf"\bsection\s+{_NUMBER}\.\s*[^\n\r]*",
+        "section_parentheses": rf"\(section\s+{_NUMBER}\)",
+    },
+    "chapters": {
+        "chapter_basic": rf"\bchapter\s+{_ROMAN}\b",
+        "chapter_with_title": rf"\bchapter\s+{_ROMAN}{_TITLE}",
+        "chapter_period": rf"\bchapter\s+{_ROMAN}\.\s*[^\n\r]*",
+    },
+    "subsections": {
+        "subsection_basic": rf"\bsubsection\s+{_NUMBER}\b",
+        "subsection_with_title": rf"\bsubsection\s+{_NUMBER}{_TITLE}",
+        "subsection_parentheses": rf"\(subsection\s+{_NUMBER}\)",
+    },
+    "decimal_numbering": {
+        "standalone_decimal": rf"^\s*{_NUMBER}\s*$",
+        "decimal_with_text": rf"^\s*{_NUMBER}\s+[^\n\r]+",
+        "decimal_period": rf"^\s*{_NUMBER}\.\s*[^\n\r]*",
+        "decimal_parentheses": rf"^\s*{_NUMBER}\)\s*[^\n\r]*",
+        "decimal_bracket": rf"^\s*\({_NUMBER}\)\s*[^\n\r]*",
+    },
+    "roman_numerals": {
+        "roman_upper": r"^\s*[IVXLCDM]+\s*\.?\s*[^\n\r]*",
+        "roman_lower": r"^\s*[ivxlcdm]+\s*\.?\s*[^\n\r]*",
+        "roman_parentheses": r"^\s*\([IVXLCDM]+\)\s*[^\n\r]*",
+    },
+    "letter_numbering": {
+        "letter_upper": r"^\s*[A-Z]\s*\.?\s*[^\n\r]*",
+        "letter_lower": r"^\s*[a-z]\s*\.?\s*[^\n\r]*",
+        "letter_parentheses": r"^\s*\([A-Z]\)\s*[^\n\r]*",
+    },
+    "clauses": {
+        "clause_basic": rf"\bclause\s+{_NUMBER}\b",
+        "clause_with_title": rf"\bclause\s+{_NUMBER}{_TITLE}",
+        "paragraph_basic": rf"\bparagraph\s+{_NUMBER}\b",
+        "paragraph_with_title": rf"\bparagraph\s+{_NUMBER}{_TITLE}",
+    },
+    "list_items": {
+        "bullet_dash": r"^\s*[-–—]\s*[^\n\r]+",
+        "bullet_asterisk": r"^\s*\*\s*[^\n\r]+",
+        "bullet_dot": r"^\s*•\s*[^\n\r]+",
+        "numbered_list": r"^\s*\d+\.\s*[^\n\r]+",
+        "lettered_list": r"^\s*[A-Z]\.\s*[^\n\r]+",
+    },
+    "headings": {
+        "all_caps": r"^\s*[A-Z][A-Z\s]{2,}[A-Z]\s*$",
+        "title_case": r"^\s*[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\s*$",
+        "underlined": r"^[^\n\r]+\n[-=_]{3,}",
+        "numbered_heading": rf"^\s*{_NUMBER}\s+[A-Z][^\n\r]*",
+        "centered": r"^\s{10,}[^\n\r]+\s{10,}$",
+    },
+    "legal_terms": {
+        "whereas": r"\bwhereas\b",
+        "therefore": r"\btherefore\b",
+        "provided_that": r"\bprovided\s+that\b",
+        "subject_to": r"\bsubject\s+to\b",
+        "notwithstanding": r"\bnotwithstanding\b",
+        "in_accordance_with": r"\bin\s+accordance\s+with\b",
+    },
+    "cross_references": {
+        "see_section": rf"\bsee\s+section\s+{_NUMBER}",
+        "see_article": rf"\bsee\s+article\s+{_ROMAN}",
+        "pursuant_to": rf"\bpursuant\s+to\s+section\s+{_NUMBER}",
+        "in_section": rf"\bin\s+section\s+{_NUMBER}",
+        "under_section": rf"\bunder\s+section\s+{_NUMBER}",
+    },
+    "formatting": {
+        "double_newline": r"\n\s*\n",
+        "indentation": r"^\s{4,}[^\n\r]+",
+        "tab_indented": r"^\t+[^\n\r]+",
+        "line_breaks": r"\n+",
+        "whitespace_only": r"^\s*$",
+    },
 }
+#: A text that lacks this, in any case, has no match of the category or pattern.
+NEEDED = {
+    "section_symbols": "§", "articles": "article", "sections": "section", "chapters": "chapter", "subsections": "subsection", "clause_basic": "clause", "clause_with_title": "clause", "paragraph_basic": "paragraph", "paragraph_with_title": "paragraph",
+    "bullet_asterisk": "*", "bullet_dot": "•", "whereas": "whereas", "therefore": "therefore", "provided_that": "provided", "subject_to": "subject", "notwithstanding": "notwithstanding", "in_accordance_with": "accordance",
+    "see_section": "section", "see_article": "article", "pursuant_to": "pursuant", "in_section": "section", "under_section": "under", "tab_indented": "\t",
+}
+
+
+def pattern_flags(name: str) -> str:
+    """Inline flags of a pattern, without the one for line ends."""
+    return "(?m)" if name == "all_caps" else "(?im)"
+
+
+def pattern_supported(category: str, name: str | None = None) -> bool:
+    return category in PATTERNS and (name is None or name in PATTERNS[category])
 
 
 def legal_view(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -29,9 +127,35 @@ def legal_view(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return docs.withColumn("text", F.concat(head, body, F.coalesce("text", F.lit(""))))
 
 
-def pattern_counts(docs: DataFrame) -> DataFrame:
-    """(category, pattern, n_docs, n_matches) over a table of texts, in one scan."""
-    counts = [F.struct(F.lit(c).alias("category"), F.lit(n).alias("pattern"), F.regexp_count("text", F.lit("(?i)" + p if not p.startswith("(?m)") else "(?imd)" + p[4:])).cast("long").alias("n")) for c, names in PATTERNS.items() for n, p in names.items()]
+def _java(name: str, pattern: str) -> str:
+    """The pattern for Spark: lines end at \n only, and a line may begin at the very end of the text."""
+    start = r"(?:\A|(?<=\n))" if name == "whitespace_only" else ""
+    return pattern_flags(name).replace("m)", "md)") + (start + pattern[1:] if start else pattern)
+
+
+def _title_runs(text: Column) -> Column:
+    """Matches of title_case: runs of lines made of words of two or more ASCII letters, blank lines between them or not.
+
+    The pattern itself would recurse once a word.
+    """
+    full = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"\S"))
+    words = F.transform(full, lambda x: x.rlike(r"^[A-Za-z\s]+$") & ~x.rlike(r"(?<![A-Za-z])[A-Za-z](?![A-Za-z])"))
+    return F.size(F.filter(F.transform(words, lambda x, i: x & ~F.coalesce(F.get(words, i - 1), F.lit(False))), lambda x: x))
+
+
+def pattern_count(text: Column, category: str, name: str) -> Column:
+    """Matches of one pattern in a text; the pattern itself is tried only where the text holds what it needs."""
+    if not pattern_supported(category, name):
+        raise ValueError(f"no such pattern: {category}.{name}")
+    found = _title_runs(text) if name == "title_case" else F.regexp_count(text, F.lit(_java(name, PATTERNS[category][name])))
+    needed = NEEDED.get(name, NEEDED.get(category))
+    return (F.when(F.contains(F.lower(text), F.lit(needed)), found).otherwise(0) if needed else found).cast("long")
+
+
+def pattern_counts(docs: DataFrame, categories: list[str] | None = None) -> DataFrame:
+    """(category, pattern, n_docs, n_matches) over a table of texts, in one scan; of some categories or all."""
+    wanted = {c: PATTERNS[c] for c in (categories or PATTERNS)}
+    counts = [F.struct(F.lit(c).alias("category"), F.lit(n).alias("pattern"), F.coalesce(pattern_count(F.col("text"), c, n), F.lit(0)).alias("n")) for c, names in wanted.items() for n in names]
     rows = docs.select(F.explode(F.array(*counts)).alias("x")).select("x.*")
     return rows.groupBy("category", "pattern").agg(F.count_if(F.col("n") > 0).alias("n_docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_matches"))
 
@@ -146,7 +270,7 @@ def pattern_positions(docs: DataFrame) -> DataFrame:
 
     import pandas as pd
 
-    compiled = [(c, n, re.compile(p.removeprefix("(?m)"), re.I | re.M)) for c, names in PATTERNS.items() for n, p in names.items()]
+    compiled = [(c, n, re.compile(p, re.M if n == "all_caps" else re.I | re.M)) for c, names in PATTERNS.items() for n, p in names.items()]
 
     def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

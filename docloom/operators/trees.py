@@ -11,14 +11,14 @@ from docloom.scratch import written
 def paths(nodes: DataFrame) -> DataFrame:
     """(node, root, depth, path, places): each node's way from its root, as nodes and as ordinals.
 
-    A level a round, roots first; a round joins the last level with its children only, so every edge is used once. Nodes that no root reaches (cycles, missing parents) have no row.
+    A level a round, roots first; a round joins the last level with its children only, so every edge is used once. Nodes that no root reaches (cycles, missing parents) have no row. A node with several parents has a row for each way, but no way comes back to a node that it has passed.
     """
     level = nodes.filter("parent IS NULL").select("node", F.col("node").alias("root"), F.lit(0).cast("long").alias("depth"), F.array("node").alias("path"), F.array("ord").alias("places"))
     out = level
     edges = nodes.filter("parent IS NOT NULL").select(F.col("node").alias("child"), F.col("parent").alias("above"), F.col("ord").alias("place"))
     while True:
         level = written(
-            level.join(edges, level["node"] == edges["above"]).select(
+            level.join(edges, level["node"] == edges["above"]).filter(~F.array_contains("path", F.col("child"))).select(
                 F.col("child").alias("node"), "root", (F.col("depth") + 1).alias("depth"), F.array_append("path", F.col("child")).alias("path"), F.array_append("places", F.col("place")).alias("places")
             )
         )

@@ -85,8 +85,12 @@ def _pattern_sql() -> str:
     parts = []
     for category, names in structure.PATTERNS.items():
         for name, pattern in names.items():
-            flagged = "(?i)" + pattern if not pattern.startswith("(?m)") else "(?im)" + pattern[4:]
-            found = f"len(regexp_extract_all(text, '{flagged}'))"
+            found = f"len(regexp_extract_all(text, '{structure.pattern_flags(name)}{pattern}'))"
+            if name == "whitespace_only":  # of a run of blank lines the last one counts by itself if it is empty; empty matches differ between engines
+                blank, line = "NOT regexp_matches({}, '\\S')".format, "string_split(text, chr(10))"
+                first = f"(i = 1 OR NOT coalesce({blank('x[i - 1]')}, false))"
+                last = f"(x[i] = '' AND i > 1 AND {blank('x[i - 1]')} AND (i = len(x) OR NOT {blank('x[i + 1]')}))"
+                found = f"list_sum(list_transform([{line}], lambda x: list_sum(list_transform(range(1, len(x) + 1), lambda i: ({blank('x[i]')} AND {first})::INT + {last}::INT))))"
             parts.append(f"SELECT '{category}' AS category, '{name}' AS pattern, count(*) FILTER ({found} > 0) AS n_docs, sum({found})::BIGINT AS n_matches FROM legal")
     return LEGAL + " UNION ALL ".join(parts)
 
