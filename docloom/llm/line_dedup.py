@@ -174,12 +174,11 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Data
     marked = docs.withColumn("__mark", F.xxhash64("text"))
     lost = repeated_lines(marked, min_chars, min_docs).withColumnsRenamed({"doc_id": "__lost_id", "__mark": "__lost_mark"})
     joined = marked.join(lost, F.col("doc_id").eqNullSafe(F.col("__lost_id")) & (F.col("__mark") == F.col("__lost_mark")), "left")
-    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    n_dropped = F.coalesce(F.size("__dropped"), F.lit(0))
-    n_dropped = F.when(F.col("__dropped").isNull(), 0).otherwise(n_dropped).cast("long")
-    kept = F.when(F.col("__dropped").isNull(), F.coalesce("text", F.lit(""))).otherwise(
-        F.array_join(F.filter(lines, lambda line, at: ~F.array_contains(F.col("__dropped"), at)), "\n")
-    )
+    joined = joined.withColumn("__lines", F.split(F.coalesce("text", F.lit("")), "\n", -1))
+    n_dropped = F.when(F.col("__dropped").isNull(), 0).otherwise(F.size("__dropped")).cast("long")
+    # The places that stay, by one hashed difference, so a text's cost does not grow with lines times lost lines.
+    places = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__dropped"))
+    kept = F.when(F.col("__dropped").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.transform(places, lambda at: F.get("__lines", at)), "\n"))
     return joined.select(
-        *[F.col(c) for c in docs.columns if c not in ("text", "n_lines", "n_dropped")], kept.alias("text"), F.size(lines).cast("long").alias("n_lines"), n_dropped.alias("n_dropped")
+        *[F.col(c) for c in docs.columns if c not in ("text", "n_lines", "n_dropped")], kept.alias("text"), F.size("__lines").cast("long").alias("n_lines"), n_dropped.alias("n_dropped")
     ).select(*[c for c in docs.columns if c not in ("n_lines", "n_dropped")], "n_lines", "n_dropped")

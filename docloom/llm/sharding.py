@@ -58,6 +58,10 @@ def _between(low: Key, high: Key, n: int) -> list[Key]:
     return sorted(out)
 
 
+#: How far a range's splitter may lie from its place, as a share of the range; probes counted in a round at most.
+RANGE_TOLERANCE, MOST_PROBES = 0.25, 1 << 18
+
+
 def find_splitters(keyed: DataFrame, shards: int, tolerance: float, probes_each: int = 24) -> list[Key]:
     """Keys that cut the rows into shards of near-equal bytes, and no group of equal texts if the tolerance allows.
 
@@ -103,7 +107,7 @@ def shard_rows(docs: DataFrame, shards: int = 8, tolerance: float = 0.01, parts:
     keys = materialise(keyed.select("__h", "__i", "__size"))
     if parts is None:
         parts = min(4096, max(16, -(-(keys.agg(F.sum("__size")).first()[0] or 0) // (shards << 30))))
-    fine = find_splitters(keys, shards * parts, tolerance * parts)
+    fine = find_splitters(keys, shards * parts, RANGE_TOLERANCE, max(2, min(24, MOST_PROBES // (shards * parts))))
     edges = find_splitters(keys, shards, tolerance)
     cuts = sorted({*fine, *edges})
     rank = {p: bisect_right(edges, cuts[p - 1]) if p else 0 for p in range(len(cuts) + 1)}

@@ -3,6 +3,7 @@
 import hashlib
 import sys
 import zlib
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from pathlib import Path
 
@@ -81,6 +82,20 @@ def test_sharding(docs_of, copies):
     assert max(sizes) - min(sizes) <= long + 0.01 * sum(sizes)
 
 
+def test_ranges_are_as_small_as_asked(spark):
+    keys = spark.range(40_000).selectExpr("xxhash64(id) AS __h", "id AS __i", "10L AS __size")
+    cuts = sharding.find_splitters(keys, 8 * 64, sharding.RANGE_TOLERANCE)
+    rows = sorted((r[0], r[1]) for r in keys.select("__h", "__i").collect())
+    at = [0, *[bisect_left(rows, c) for c in cuts], len(rows)]
+    assert len(set(cuts)) == 511 and max(b - a for a, b in zip(at, at[1:], strict=False)) <= 1.5 * 40_000 / 512 + 1
+
+
+def test_many_lost_lines_cost_no_square(docs_of):
+    lines = "\n".join(f"a line that all of them hold, number {k}" for k in range(60_000))
+    out = {r.doc_id: (r.n_lines, r.n_dropped, r.text) for r in line_dedup.dedup_lines(docs_of([(i, lines + f"\nown line {i}") for i in range(3)])).collect()}
+    assert out == {0: (60_001, 60_000, "own line 0"), 1: (60_001, 60_000, "own line 1"), 2: (60_001, 0, lines + "\nown line 2")}
+
+
 def test_sharding_of_nothing(docs_of):
     assert sharding.shard_rows(docs_of([])).count() == 0
 
