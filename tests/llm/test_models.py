@@ -186,7 +186,7 @@ def test_pipeline_stages(spark):
 
 
 def brute_rules(rows, min_urls, share, confidence, most):
-    """Token sets of at most so many tokens that tell a label, by counting every set."""
+    """Token sets of at most so many tokens that tell a label beyond its frequency and chance, by counting every set."""
     from itertools import combinations
 
     sets, right = Counter(), Counter()
@@ -196,7 +196,13 @@ def brute_rules(rows, min_urls, share, confidence, most):
                 sets[own] += 1
                 right[own, label] += 1
     floor = max(min_urls, share * len(rows))
-    return {(own, label): n / sets[own] for (own, label), n in right.items() if n >= floor and n / sets[own] >= confidence}
+    out = {}
+    for (own, label), n in right.items():
+        share = sum(x == label for _, x in rows) / len(rows)
+        even = n / share / (n / share + (sets[own] - n) / (1 - share))
+        if n >= floor and even >= confidence and (n - sets[own] * share) / (sets[own] * share * (1 - share)) ** 0.5 >= 3:
+            out[own, label] = even
+    return out
 
 
 def test_mined_rules_equal_counting_every_set(spark):
@@ -211,6 +217,12 @@ def test_mined_rules_equal_counting_every_set(spark):
     assert all(r.confidence == pytest.approx(want[tuple(r.tokens), r.verdict]) for r in found)
 
 
+def test_rules_tell_more_than_a_labels_frequency(spark):
+    rng = random.Random(6)
+    rows = [([f"t{rng.randrange(4)}", f"u{rng.randrange(3)}"], "allow" if rng.random() < 0.93 else "block") for _ in range(2000)]
+    assert url_filter.mine_rules(spark.createDataFrame(rows, "url_tokens array<string>, label string")).count() == 0
+
+
 def test_long_fixed_paths_are_one_item(spark):
     rows = [([f"p{k}" for k in range(40)], "block")] * 50 + [([f"q{k % 7}", f"r{k % 5}"], "allow") for k in range(100)]
     found = url_filter.mine_rules(spark.createDataFrame(rows, "url_tokens array<string>, label string"), min_support=0.1).collect()
