@@ -2,7 +2,8 @@
 
 Numbers, names and units become typed placeholders, so a question with other values keeps its template. Windows of template words of the texts meet those of the benchmark in a hash join; a bit filter of fixed size, sent to the tasks, keeps windows that cannot match out of the exchange.
 An item counts as found where enough of its windows occur and its placeholders take values consistently: one value of the item always stands for one value of the text.
-Windows as written go through the same filter and join, so that items of many placeholders or few words, and copies in another letter case, are found literally.
+An item of seven words or more, all of whose windows are rich in placeholders, has wider ones in their place, of up to ten words.
+Windows as written go through the same filter and join, so that items of few words, and copies in another letter case, are found literally.
 """
 
 from __future__ import annotations
@@ -29,7 +30,9 @@ NUMBER_WORDS = (
     "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
     "twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion"
 ).split()
-WIDTH, FILTER_BITS = 5, 25
+WIDTH, WIDE, WIDEST, FILTER_BITS = 5, 7, 10, 25
+#: An item of fewer words counts only as a whole text: a single word stands in too many.
+LEAST_WORDS = 3
 LITERAL, NUMBER, NAME, UNIT = 0, 1, 2, 3
 
 
@@ -63,11 +66,24 @@ def templates(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return np.bincount(row, minlength=len(counts)), own, kind, codes, lower
 
 
+def _led_windows(plain: np.ndarray, own: np.ndarray, kind: np.ndarray, start: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of template windows whose first word, if a name, stands as it is written: an item's first word has its capital from its place. Also where that is so."""
+    if not len(own):
+        return np.zeros(len(start), dtype=np.uint64), np.zeros(len(start), dtype=np.int64)
+    last, out = len(own) - 1, np.zeros(len(start), dtype=np.uint64)
+    named = kind[np.minimum(start, last)] == NAME
+    with np.errstate(over="ignore"):
+        for k in range(size):
+            at = np.minimum(start + k, last)
+            out = mix(out ^ (np.where(named, plain[at], own[at]) if k == 0 else own[at]), 200 + size)
+    return out, named.astype(np.int64)
+
+
 def _all_windows(rows: DataFrame, key: str, widths: tuple[int, ...], bits=None) -> DataFrame:
     """(key, h, at, width, n_windows, slots) of each window; with ``bits``, of those that the filter lets pass.
 
-    Width 0 stands for template windows, those of five words with more literals than placeholders; ``slots`` are the values at the placeholders, in order.
-    The other widths are runs of so many words as they are written, but for case and punctuation at their ends. Without ``bits`` a text under five words has one run, the whole of it, and a text of placeholders alone none.
+    Width 0 stands for template windows, those of five words with more literals than placeholders; ``slots`` are the values at the placeholders, in order. A negative width stands for template windows of so many words with a literal in them: without ``bits`` only a text has them that has none of width 0, of ten words, or of all its words if they are fewer.
+    The other widths are runs of so many words as they are written, but for case and punctuation at their ends. Without ``bits`` a text under five words has one run, the whole of it, and a text of placeholders alone none; with ``bits`` a run under three words must be all of its text.
     """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,19 +93,30 @@ def _all_windows(rows: DataFrame, key: str, widths: tuple[int, ...], bits=None)
             held = np.concatenate(([0], np.cumsum(kind != LITERAL)))
             ends = np.cumsum(counts)
             worded = held[ends] - held[ends - counts] < counts
+            plainly = np.ones(len(counts), dtype=bool)  # texts without a template window of five
             for width in (0, *widths):
-                hashes, n = windows(plain if width else own, counts, width or WIDTH)
+                size = abs(width) or WIDTH
+                hashes, n = windows(plain if width > 0 else own, counts, size)
                 row = np.repeat(np.arange(len(n)), n)
                 at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
                 start = np.repeat(ends - counts, n) + at
-                keep = np.repeat(counts, n) >= (width or WIDTH)
-                if width:
-                    hashes, slots = mix(hashes, 100 + width), np.zeros(len(row), dtype=np.int64)
+                keep = np.repeat(counts, n) >= size
+                slots = np.zeros(len(row), dtype=np.int64) if width > 0 else held[np.minimum(start + size, len(kind))] - held[start]
+                if width > 0:
+                    hashes = mix(hashes, 100 + width)
                     if bits is None:
                         keep &= np.repeat(worded & ((counts == width) | (width == WIDTH)), n)
+                    elif width < LEAST_WORDS:
+                        keep &= np.repeat(counts == width, n)
+                elif width:
+                    hashes, named = _led_windows(plain, own, kind, start, size)
+                    slots = slots - named
+                    keep &= slots < size
+                    if bits is None:
+                        keep &= np.repeat(plainly & (np.minimum(counts, WIDEST) == size), n)
                 else:
-                    slots = held[np.minimum(start + WIDTH, len(kind))] - held[start]
                     keep &= 2 * slots < WIDTH
+                    plainly[row[keep]] = False
                 total = np.bincount(row[keep], minlength=len(n))
                 if bits is not None:
                     table = bits.value
@@ -99,8 +126,8 @@ def _all_windows(rows: DataFrame, key: str, widths: tuple[int, ...], bits=None)
                 took = np.flatnonzero(keep)
                 values: list[list[str]] = [[] for _ in took]
                 for i in np.flatnonzero(slots[took]):
-                    a = start[took[i]]
-                    values[i] = strings(words.take(pa.array(codes[a : a + WIDTH][kind[a : a + WIDTH] != LITERAL])))
+                    a = start[took[i]] + (1 if width < 0 and kind[start[took[i]]] == NAME else 0)
+                    values[i] = strings(words.take(pa.array(codes[a : start[took[i]] + size][kind[a : start[took[i]] + size] != LITERAL])))
                 yield pa.RecordBatch.from_arrays(
                     [batch[key].take(pa.array(row[took])), pa.array(hashes[took].view(np.int64)), pa.array(at[took]), pa.array(np.full(len(took), width, dtype=np.int32)), pa.array(total[row[took]]), pa.array(values, pa.list_(pa.string()))],
                     names=[key, "h", "at", "width", "n_windows", "slots"],
@@ -130,19 +157,19 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = 0
     """Which documents hold which benchmark items: (doc_id, item_id, n_windows, n_found, coverage, n_slots, changed_slots).
 
     A pair is returned if at least ``coverage`` of the item's template windows, or of its windows as written, are in the document with consistent slots: an old value has one new value, which others may share. From ``literal_coverage`` of the windows as written on, slots do not matter.
-    An item under five words is found where all of it is. ``changed_slots`` counts the item's values that stand for another value in the document: above 0 for a question with new parameters.
+    An item under five words is found where all of it is, one under three where it is the whole text. ``changed_slots`` counts the item's values that stand for another value in the document: above 0 for a question with new parameters.
     Windows on the diagonal (place in the document less place in the item) where most of them lie decide which values belong together.
     Null and empty texts hold nothing; items of placeholders alone match nothing. Repeated rows count once; rows sharing a doc_id (null too) are one document. Empty tables give no rows.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id"), "text").filter(F.col("item_id").isNotNull())
-    items = materialise(_all_windows(items, "item_id", tuple(range(1, WIDTH + 1))).dropDuplicates(["item_id", "at", "width", "h"]))
-    widths = tuple(sorted(r["width"] for r in items.filter("width > 0").select("width").distinct().collect()))  # at most five
+    items = materialise(_all_windows(items, "item_id", (*range(1, WIDTH + 1), *range(-WIDEST, -WIDE + 1))).dropDuplicates(["item_id", "at", "width", "h"]))
+    widths = tuple(sorted(r["width"] for r in items.filter("width <> 0").select("width").distinct().collect()))  # at most eleven
     bits = spark.sparkContext.broadcast(_filter_of(items))
     found = _all_windows(docs.select("doc_id", "text"), "doc_id", widths, bits)
     a, b = found.alias("a"), items.alias("b")
     pairs = a.join(b, ["h", "width"]).select(
-        "a.doc_id", "b.item_id", "b.n_windows", F.col("a.at").alias("doc_at"), F.col("b.at").alias("item_at"), F.col("width").cast("boolean").alias("plain"), F.arrays_zip(F.col("b.slots").alias("old"), F.col("a.slots").alias("new")).alias("slots")
+        "a.doc_id", "b.item_id", "b.n_windows", F.col("a.at").alias("doc_at"), F.col("b.at").alias("item_at"), (F.col("width") > 0).alias("plain"), F.arrays_zip(F.col("b.slots").alias("old"), F.col("a.slots").alias("new")).alias("slots")
     )
     pairs = pairs.withColumn("diagonal", F.col("doc_at") - F.col("item_at"))
     kinds = {"": ~F.col("plain"), "plain_": F.col("plain")}

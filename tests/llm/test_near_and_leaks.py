@@ -154,6 +154,17 @@ def test_decontamination_finds_items_literally(spark, docs_of):
     assert found[1, 2].coverage == found[2, 3].coverage == 1.0 and found[5, 5].changed_slots == 2
 
 
+def test_decontamination_of_items_rich_in_placeholders(spark, docs_of):
+    benchmark = spark.createDataFrame([(1, "Compute 12 + 7 * 3 - 4 + 9 / 2"), (2, "Add 3 kg and 5 kg to 9 kg"), (3, "Rome"), (4, "Is Rome")], "item_id long, text string")
+    filler = "nothing of this is in any benchmark at all so it stays clean whatever it says "
+    rows = [
+        (1, filler + "Compute 15 + 8 * 2 - 6 + 1 / 3 " + filler), (2, "Add 4 kg and 6 kg to 8 kg"), (3, filler + "all roads lead to Rome and so is Rome " + filler), (4, " rome. "), (5, "Compute 12 + 12 * 3 - 4 + 9 / 2"),
+        (6, filler + "Measure 15 + 8 * 2 - 6 + 1 / 3"), (7, "Add 4 kg and 6 lb of 8 kg"), (8, "compute 1 2 3 four"), (9, "is Rome"),
+    ]
+    found = {(r.doc_id, r.item_id): r.changed_slots for r in decontamination.find_contaminated(docs_of(rows), benchmark).collect()}
+    assert found == {(1, 1): 6, (2, 2): 3, (4, 3): 0, (5, 1): 1, (9, 4): 0}
+
+
 def test_verbatim_leaks_in_the_table(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
