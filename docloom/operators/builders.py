@@ -35,22 +35,24 @@ def _sweep(group: str, key: str, level: str, closed: bool):
         sizes = np.diff(np.append(starts, n))
         first = np.repeat(starts, sizes)
         levels = np.asarray(rows[level]).tolist()
-        above, stack = np.full(n, -1, dtype=np.int64), []
+        above, depths, lows, stack, low = np.full(n, -1, dtype=np.int64), np.zeros(n, dtype=np.int64), [0] * n, [], 0
         fresh = new.tolist()
         for i, own in enumerate(levels):
             if fresh[i]:
-                stack = []
+                stack, low = [], own
+            low = min(low, own)
             while stack and (levels[stack[-1]] > own if closed else levels[stack[-1]] >= own):
                 stack.pop()
             if stack:
                 above[i] = stack[-1]
+            depths[i], lows[i] = len(stack), low
             stack.append(i)
         on_stack, edge = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
         on_stack[stack] = True
         edge[[starts[-1], 0]] = True
         parent = rows[key].combine_chunks().take(pa.array(np.where(above < 0, 0, above), mask=above < 0))
         extra = {
-            "rank": pa.array(np.arange(n) - first), "total": pa.array(np.repeat(sizes, sizes)), "parent": parent, "__part": pa.array(np.full(n, TaskContext.get().partitionId(), dtype=np.int32)),
+            "rank": pa.array(np.arange(n) - first), "total": pa.array(np.repeat(sizes, sizes)), "parent": parent, "__depth": pa.array(depths), "__low": pa.array(lows, pa.int64()), "__part": pa.array(np.full(n, TaskContext.get().partitionId(), dtype=np.int32)),
             "__first": pa.array(first == 0), "__last": pa.array(first == starts[-1]), "__held": pa.array(on_stack), "__edge": pa.array(edge),
         }
         for name, column in extra.items():
@@ -87,14 +89,14 @@ def _chained(ends: list, group: str, key: str, level: str, closed: bool) -> list
 
 
 def swept(rows: DataFrame, group: str, order: Sequence[str | Column], key: str, level: str, closed: bool = False, ranges: int = 0) -> DataFrame:
-    """The rows with ``rank`` (from 0) and ``total`` in their group by ``order``, and ``parent``: the key of the nearest row before of a lower level (with ``closed`` of a lower or equal one), null without one.
+    """The rows with ``rank`` (from 0) and ``total`` in their group by ``order``, ``parent``: the key of the nearest row before of a lower level (with ``closed`` of a lower or equal one), null without one, and ``above``: the number of parents one over the other.
 
     Levels must not be null; the order of rows that tie in ``order`` is not defined. A null group is a group.
     """
     spark, names = rows.sparkSession, rows.columns
     n = max(ranges, int(spark.conf.get("spark.sql.shuffle.partitions")))
     kind = rows.schema[key].dataType
-    schema = StructType(list(rows.schema.fields)).add("rank", LongType()).add("total", LongType()).add("parent", kind).add("__part", IntegerType())
+    schema = StructType(list(rows.schema.fields)).add("rank", LongType()).add("total", LongType()).add("parent", kind).add("__depth", LongType()).add("__low", LongType()).add("__part", IntegerType())
     for flag in ("__first", "__last", "__held", "__edge"):
         schema = schema.add(flag, BooleanType())
     dealt = rows.repartitionByRange(n, group, *order).sortWithinPartitions(group, *order)
@@ -104,12 +106,15 @@ def swept(rows: DataFrame, group: str, order: Sequence[str | Column], key: str,
     carry = spark.createDataFrame(_chained(ends, group, key, level, closed), types)
     whole = local.join(F.broadcast(carry), "__part")
     lower = F.filter("__stack", lambda x: (x["level"] <= F.col(level)) if closed else (x["level"] < F.col(level)))
+    # Of the rows left by earlier ranges those still count that no row of this one has ended.
+    left = F.size(F.filter("__stack", lambda x: (x["level"] <= F.col("__low")) if closed else (x["level"] < F.col("__low"))))
     before = F.when(F.col("__first"), F.get(lower, F.size(lower) - 1)["key"])
     return whole.select(
         *names,
         (F.col("rank") + F.when(F.col("__first"), F.col("__offset")).otherwise(0)).alias("rank"),
         F.when(F.col("__first"), F.col("__t0")).when(F.col("__last"), F.col("__t1")).otherwise(F.col("total")).alias("total"),
         F.coalesce("parent", before).alias("parent"),
+        (F.col("__depth") + F.when(F.col("__first"), left).otherwise(0)).alias("above"),
     )
 
 

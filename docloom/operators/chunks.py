@@ -28,43 +28,45 @@ def fixed_windows(docs: DataFrame, size: int, overlap: int, per: int = 4) -> Dat
     )
 
 
-def _pack(pieces: Column, measure, size: int, carry: int, glue: str) -> Column:
-    """Pieces packed in order while their measures add up to at most ``size``; a new pack starts with the last ``carry`` pieces of the one before."""
-    state = "struct<done: array<struct<text: string, n: bigint, size: bigint>>, parts: array<string>, size: bigint>"
-    start = F.from_json(F.lit('{"done": [], "parts": [], "size": 0}'), state)
+def _places(size: int, carry: int):
+    """An Arrow function: first piece, number of pieces and measure of every pack of a list of measures."""
 
-    def measured(parts: Column) -> Column:
-        return F.aggregate(parts, F.lit(0).cast("long"), lambda s, p: s + measure(p))
+    def places(measures: pd.Series) -> pd.Series:
+        def one(own) -> list[tuple[int, int, int]]:
+            out, start, total = [], 0, 0
+            own = [] if own is None else [int(m) for m in own]
+            for i, m in enumerate(own):
+                if i > start and total + m > size:
+                    out.append((start, i - start, total))
+                    start = max(start, i - carry)
+                    total = sum(own[start:i])
+                total += m
+            return out + [(start, len(own) - start, total)] if own else out
 
-    def emit(acc: Column) -> Column:
-        return F.struct(F.array_join(acc["parts"], glue).alias("text"), F.size(acc["parts"]).cast("long").alias("n"), acc["size"].alias("size"))
+        return pd.Series([one(own) for own in measures])
 
-    def step(acc: Column, piece: Column) -> Column:
-        full = (F.size(acc["parts"]) > 0) & (acc["size"] + measure(piece) > size)
-        kept = F.slice(acc["parts"], F.greatest(F.lit(1), F.size(acc["parts"]) - carry + 1), F.lit(carry)) if carry else F.array().cast("array<string>")
-        parts = F.when(full, F.array_append(kept, piece)).otherwise(F.array_append(acc["parts"], piece))
-        return F.struct(
-            F.when(full, F.array_append(acc["done"], emit(acc))).otherwise(acc["done"]).alias("done"),
-            parts.alias("parts"),
-            F.when(full, measured(kept) + measure(piece)).otherwise(acc["size"] + measure(piece)).alias("size"),
-        )
+    return F.pandas_udf(places, "array<struct<start:int,n:int,size:long>>")
 
-    return F.aggregate(pieces, start, step, lambda acc: F.when(F.size(acc["parts"]) > 0, F.array_append(acc["done"], emit(acc))).otherwise(acc["done"]))
 
+def _packed(rows: DataFrame, measure, size: int, carry: int, glue: str) -> DataFrame:
+    """(doc_id, chunk_index, content, n_pieces, size) of (doc_id, pieces): pieces packed in order while their measures add up to at most ``size``; a new pack starts with the last ``carry`` pieces of the one before.
 
-def _exploded(docs: DataFrame, packed: Column) -> DataFrame:
-    rows = docs.select("doc_id", F.posexplode(packed).alias("chunk_index", "chunk"))
-    return rows.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.col("chunk.text").alias("content"), F.col("chunk.n").alias("n_pieces"), F.col("chunk.size").alias("size"))
+    Where packs begin goes through an Arrow batch of measures alone; each pack is then one slice of the pieces.
+    """
+    measured = rows.select("doc_id", "pieces", F.transform("pieces", measure).alias("measures")).filter(F.size("pieces") > 0)
+    placed = measured.withColumn("packs", _places(size, carry)("measures")).select("doc_id", "pieces", F.posexplode("packs").alias("chunk_index", "at"))
+    content = F.array_join(F.slice("pieces", F.col("at.start") + 1, F.col("at.n")), glue)
+    return placed.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), content.alias("content"), F.col("at.n").cast("long").alias("n_pieces"), F.col("at.size").alias("size"))
 
 
 def pack_paragraphs(docs: DataFrame, size: int, overlap: bool = False) -> DataFrame:
     """Paragraphs packed to ``size`` characters, separators not counted; with overlap, a chunk repeats the last paragraph before it."""
-    return _exploded(docs, _pack(tx.paragraphs(F.col("text")), lambda p: F.length(p).cast("long"), size, 1 if overlap else 0, "\n\n"))
+    return _packed(docs.select("doc_id", tx.paragraphs(F.col("text")).alias("pieces")), lambda p: F.length(p).cast("long"), size, 1 if overlap else 0, "\n\n")
 
 
 def pack_sentences(docs: DataFrame, size: int, overlap: int = 2, least: int = 11) -> DataFrame:
     """Sentences packed to ``size`` tokens; a chunk repeats the last sentences before it. Shorter sentences than ``least`` characters are left out."""
-    return _exploded(docs, _pack(tx.sentences(F.col("text"), least), tk.char_tokens, size, overlap, " "))
+    return _packed(docs.select("doc_id", tx.sentences(F.col("text"), least).alias("pieces")), tk.char_tokens, size, overlap, " ")
 
 
 def by_headings(docs: DataFrame) -> DataFrame:
@@ -209,7 +211,7 @@ def hierarchical(docs: DataFrame, boundaries: DataFrame, size: int = 400, larges
     rows = joined.withColumn("cuts", cuts)
     pieces = F.transform(F.sequence(F.lit(0), F.size("cuts") - 2), lambda i: F.substring("text", F.get("cuts", i) + 1, F.get("cuts", i + 1) - F.get("cuts", i)))
     measured = F.filter(pieces, lambda p: F.trim(p) != "")
-    packed = rows.select("doc_id", F.posexplode(_pack(measured, tk.char_tokens, size, 0, "")).alias("pos", "c")).select("doc_id", "pos", F.col("c.text").alias("content"))
+    packed = _packed(rows.select("doc_id", measured.alias("pieces")), tk.char_tokens, size, 0, "").select("doc_id", F.col("chunk_index").alias("pos"), "content")
     parts = F.greatest(F.lit(1), F.ceil(tk.char_tokens(F.col("content")) / largest)).cast("int")
     width = F.ceil(F.length("content") / parts).cast("int")
     split = F.transform(F.sequence(F.lit(0), parts - 1), lambda i: F.substring("content", i * width + 1, width))

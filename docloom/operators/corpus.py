@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from docloom.functions import text as tx
 from docloom.functions import tokens as tk
 from docloom.functions import vectors
+from docloom.scratch import written
 
 
 def with_counts(docs: DataFrame, chunks: DataFrame, tenant: str | None = None) -> DataFrame:
@@ -78,33 +78,74 @@ def latest_status(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("status"), F.max("ts").alias("since"), F.count("*").alias("n_events"))
 
 
-def merge_short(docs: DataFrame, least: int = 100, group: str = "source") -> DataFrame:
+#: No run of short documents is open; else a state is the open run's length so far.
+NOTHING = -1
+
+
+def _ending(rows: pd.DataFrame, least: int) -> pd.DataFrame:
+    """A range's first and last group, and for each state before it the state behind it and the place where the run that is open there began (none: before the range)."""
+    rows = rows.sort_values("pos")
+    groups, sizes, places = rows["group"].tolist(), rows["n"].tolist(), rows["pos"].tolist()
+    states, began = np.arange(NOTHING, least), np.full(least + 1, NOTHING)
+    for i, n in enumerate(sizes):
+        if i and groups[i] != groups[i - 1]:
+            states = np.full(least + 1, NOTHING)
+        began = np.where(states == NOTHING, places[i], began)
+        total = np.maximum(states, 0) + n
+        states = np.where((n >= least) | (total >= least), NOTHING, total)
+    return pd.DataFrame({"part": rows["part"].iloc[:1], "first": groups[:1], "last": groups[-1:], "states": [states.tolist()], "began": [began.tolist()]})
+
+
+def _numbered(before: dict[int, tuple[int, int, int]], least: int):
+    """A range's rows with their run (range and place of its first row), given the state and the open run before the range."""
+
+    def number(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("pos")
+        part = int(rows["part"].iloc[0])
+        state, *run = before[part]
+        groups, runs = rows["group"].tolist(), []
+        for i, (n, pos) in enumerate(zip(rows["n"].tolist(), rows["pos"].tolist(), strict=True)):
+            if i and groups[i] != groups[i - 1]:
+                state = NOTHING
+            if state == NOTHING or n >= least:
+                run = [part, pos]
+            runs.append(tuple(run))
+            total = max(state, 0) + n
+            state = NOTHING if n >= least or total >= least else total
+        out = rows[["group", "doc_id", "text", "part", "pos", "n"]].copy()
+        out["run_part"], out["run_pos"] = zip(*runs, strict=True)
+        return out
+
+    return number
+
+
+def merge_short(docs: DataFrame, least: int = 100, group: str = "source", ranges: int = 0) -> DataFrame:
     """(group, first_doc, n_docs, text): short documents of a group joined in the order of doc_id until they reach the least length; a long one closes the run before it.
 
-    A group's rows go through a task in order and are not held together: rows are dealt and sorted by group, and only a run of short ones is kept.
+    Rows are dealt by ranges of (group, doc_id), so a large group lies in many tasks. How a range ends hangs on the length of the run that is open where it begins, one of ``least`` states: a pass over lengths gives each range's ending for every state, the driver chains these rows, one a range, and a second pass numbers the runs. Texts of short documents alone are then brought together, by run.
+    A null text counts as empty. Documents with one doc_id in a group may go in any order.
     """
-
-    def merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple] = []
-        total, current = 0, None
-        for frame in frames:
-            out = []
-            for g, i, t in zip(frame["group"], frame["doc_id"], frame["text"].fillna(""), strict=True):
-                if held and (g != current or len(t) >= least):
-                    out.append((current, held[0][0], len(held), "\n\n".join(x[1] for x in held)))
-                    held, total = [], 0
-                current = g
-                if len(t) >= least:
-                    out.append((g, i, 1, t))
-                    continue
-                held.append((i, t))
-                total += len(t)
-                if total >= least:
-                    out.append((g, held[0][0], len(held), "\n\n".join(x[1] for x in held)))
-                    held, total = [], 0
-            yield pd.DataFrame(out, columns=["group", "first_doc", "n_docs", "text"])
-        if held:
-            yield pd.DataFrame([(current, held[0][0], len(held), "\n\n".join(x[1] for x in held))], columns=["group", "first_doc", "n_docs", "text"])
-
-    rows = docs.select(F.col(group).alias("group"), "doc_id", "text").repartition("group").sortWithinPartitions("group", "doc_id")
-    return rows.mapInPandas(merge, "group string, first_doc long, n_docs long, text string")
+    spark = docs.sparkSession
+    n = max(ranges, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.col(group).cast("string").alias("group"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.length(text).cast("long").alias("n"))
+    sorted_rows = rows.repartitionByRange(n, "group", "doc_id").sortWithinPartitions("group", "doc_id")
+    dealt = written(sorted_rows.withColumn("id", F.monotonically_increasing_id()).select("*", F.spark_partition_id().alias("part"), F.col("id").alias("pos")).drop("id"))
+    kinds = "part int, first string, last string, states array<long>, began array<long>"
+    ends = dealt.select("part", "pos", "group", "n").groupBy("part").applyInPandas(lambda x: _ending(x, least), kinds).collect()
+    before, state, run, current = {}, NOTHING, (0, 0), ()
+    for r in sorted(ends, key=lambda r: r["part"]):
+        if current != (r["first"],):
+            state = NOTHING
+        before[r["part"]] = (state, *run)
+        began = r["began"][state - NOTHING]
+        run = run if began == NOTHING else (r["part"], began)
+        state, current = r["states"][state - NOTHING], (r["last"],)
+    # Ids pass pandas as text, which keeps nulls and large numbers.
+    texts = dealt.withColumn("doc_id", F.col("doc_id").cast("string"))
+    numbered = texts.groupBy("part").applyInPandas(_numbered(before, least), "group string, doc_id string, text string, part int, pos long, n long, run_part int, run_pos long")
+    numbered = written(numbered.withColumn("doc_id", F.col("doc_id").cast("long")))
+    long = numbered.filter(F.col("n") >= least).select("group", F.col("doc_id").alias("first_doc"), F.lit(1).cast("long").alias("n_docs"), "text")
+    short = numbered.filter(F.col("n") < least).groupBy("group", "run_part", "run_pos").agg(F.array_sort(F.collect_list(F.struct("part", "pos", "doc_id", "text"))).alias("x"))
+    joined = short.select("group", F.get("x.doc_id", F.lit(0)).alias("first_doc"), F.size("x").cast("long").alias("n_docs"), F.array_join("x.text", "\n\n").alias("text"))
+    return long.unionByName(joined)

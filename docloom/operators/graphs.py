@@ -50,16 +50,19 @@ def related_chunks(chunks: DataFrame, refs: DataFrame, edges: DataFrame, hops: i
 
 
 def on_cycles(parents: DataFrame) -> DataFrame:
-    """(node): the nodes whose way up (node, parent) never ends. Nodes whose parent is settled settle, a level a round, until a round settles none; those left are on a cycle or below one."""
+    """(node): the nodes whose way up (node, parent) never ends, on a cycle or below one.
+
+    Each round a node's pointer becomes that of the node it points to, so it spans twice the way; a node whose way ends within it goes. If any way of finite length were left, one of at most the span would be too, so the first round that loses none is the last: rounds follow the logarithm of the longest way.
+    """
     known = parents.select("node")
-    left = written(parents.filter("parent IS NOT NULL").join(known.select(F.col("node").alias("parent")), "parent", "left_semi").select("node", "parent"))
-    n = left.count()
+    left = written(parents.filter("parent IS NOT NULL").join(known.select(F.col("node").alias("parent")), "parent", "left_semi").select("node", F.col("parent").alias("up")).distinct())
+    n = left.select("node").distinct().count()
     while n:
-        left = written(left.join(left.select(F.col("node").alias("parent")), "parent", "left_semi").select("node", "parent"))
-        n, before = left.count(), n
+        left = written(left.join(left.select(F.col("node").alias("up"), F.col("up").alias("next")), "up").select("node", F.col("next").alias("up")).distinct())
+        n, before = left.select("node").distinct().count(), n
         if n == before:
             break
-    return left.select("node")
+    return left.select("node").distinct()
 
 
 def problems(nodes: DataFrame, edges: DataFrame) -> DataFrame:

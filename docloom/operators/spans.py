@@ -2,25 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Characters of a stretch of text; spans meet only within one.
+STRETCH = 2000
+
+
+def _stretches(start: Column, end: Column) -> Column:
+    """Numbers of the stretches that a span has characters in."""
+    return F.sequence(F.floor(start / STRETCH), F.floor((end - 1) / STRETCH))
+
+
 def best_overlap(chunks: DataFrame, elements: DataFrame) -> DataFrame:
     """(doc_id, chunk_index, element, overlap): the element that shares most characters with a chunk, the earlier of equals; touching spans share none.
 
-    Both sides have doc_id, so the range condition is checked within a document only.
+    Both sides are dealt to stretches of the text and meet there only, so a document of many chunks and elements costs their number and not its square. A pair that meets in several stretches counts once.
     """
-    e = elements.select("doc_id", "element", F.col("start_char").alias("es"), F.col("end_char").alias("ee"))
-    pairs = chunks.join(e, "doc_id").filter((F.col("es") < F.col("end_char")) & (F.col("ee") > F.col("start_char")))
+    e = elements.select("doc_id", "element", F.col("start_char").alias("es"), F.col("end_char").alias("ee")).filter("ee > es").withColumn("stretch", F.explode(_stretches(F.col("es"), F.col("ee"))))
+    c = chunks.filter(F.col("end_char") > F.col("start_char")).withColumn("stretch", F.explode(_stretches(F.col("start_char"), F.col("end_char"))))
+    pairs = c.join(e, ["doc_id", "stretch"]).filter((F.col("es") < F.col("end_char")) & (F.col("ee") > F.col("start_char")))
     shared = F.least("ee", "end_char") - F.greatest("es", "start_char")
     return pairs.groupBy("doc_id", "chunk_index").agg(F.max_by("element", F.struct(shared, -F.col("es"))).alias("element"), F.max(shared).alias("overlap"))
 
 
 def boundary_violations(chunks: DataFrame, boundaries: DataFrame) -> DataFrame:
-    """(doc_id, chunk_index, n_violations): boundaries strictly inside a chunk; those of subsections only down to level 2."""
-    b = boundaries.filter(F.col("is_section") | (F.col("level") <= 2)).select("doc_id", "pos")
-    inside = chunks.join(b, "doc_id").filter((F.col("pos") > F.col("start_char")) & (F.col("pos") < F.col("end_char")))
+    """(doc_id, chunk_index, n_violations): boundaries strictly inside a chunk; those of subsections only down to level 2.
+
+    A boundary lies in one stretch of the text, and a chunk meets those of its own stretches.
+    """
+    b = boundaries.filter(F.col("is_section") | (F.col("level") <= 2)).select("doc_id", "pos", F.floor(F.col("pos") / STRETCH).alias("stretch"))
+    c = chunks.filter(F.col("end_char") > F.col("start_char")).select("doc_id", "chunk_index", "start_char", "end_char", F.explode(_stretches(F.col("start_char"), F.col("end_char"))).alias("stretch"))
+    inside = c.join(b, ["doc_id", "stretch"]).filter((F.col("pos") > F.col("start_char")) & (F.col("pos") < F.col("end_char")))
     return inside.groupBy("doc_id", "chunk_index").agg(F.count("*").alias("n_violations"))
 
 

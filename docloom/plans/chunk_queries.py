@@ -231,3 +231,55 @@ def pattern_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def pattern_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.pattern_positions(legal(spark, sf_dir))
+
+
+#: Elements with numbering, place and confidence, and their parents; written from the rules.
+PLACED = NUMBERED.replace("SELECT doc_id, CASE WHEN regexp_matches(value", "SELECT doc_id, line_number, title, element_type, value, CASE WHEN regexp_matches(value", 1) + r""", st AS (SELECT doc_id, line_number, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_char
+FROM (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS line_number, unnest(string_split(text, chr(10))) AS line FROM legal)),
+sc AS (SELECT k.*, start_char, round(least(1.0, CASE WHEN element_type = 'list_item' THEN 0.5 ELSE 0.8 END + CASE WHEN t = 'decimal' THEN 0.2 ELSE 0 END + CASE WHEN length(title) < 10 THEN 0.1 WHEN length(title) > 100 THEN -0.2 ELSE 0 END), 4)::DOUBLE AS confidence FROM k JOIN st USING (doc_id, line_number))"""
+
+FORMATTED = r"""fl AS (SELECT doc_id, line_number, line, lag(line) OVER w AS before, lead(line) OVER w AS after FROM (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS line_number, unnest(string_split(text, chr(10))) AS line FROM legal) WINDOW w AS (PARTITION BY doc_id ORDER BY line_number)),
+fb AS (SELECT *, trim(line, ' ') AS title, trim(coalesce(after, ''), ' ') AS under, length(line) - length(ltrim(line, ' ')) AS lead_n, length(line) - length(rtrim(line, ' ')) AS trail_n FROM fl),
+fm AS (SELECT doc_id, line_number, title, regexp_matches(title, '\p{Lu}') AND NOT regexp_matches(title, '\p{Ll}') AS is_caps, regexp_matches(title, '\p{Lu}') AND NOT regexp_matches(title, '\p{L}\p{Lu}') AND NOT regexp_matches(title, '(^|\P{L})\p{Ll}') AS is_title_case,
+lead_n > 4 AND abs(lead_n - trail_n) <= 2 AS is_centered, regexp_matches(under, '^(-+|=+|_+|~+|\*+)$') AND abs(length(under) - length(title)) <= 2 AS is_underlined, trim(coalesce(before, ''), ' ') = '' AND under = '' AS is_standalone FROM fb WHERE length(title) BETWEEN 1 AND 200),
+ff AS (SELECT *, round(least(0.9, 0.2 + is_caps::INT * 0.3 + is_title_case::INT * 0.2 + is_centered::INT * 0.2 + is_underlined::INT * 0.3 + is_standalone::INT * 0.1), 4)::DOUBLE AS confidence FROM fm WHERE is_caps OR is_title_case OR is_centered OR is_underlined)"""
+
+SQL["heading_final"] = f"""{PLACED} SELECT a.doc_id, a.line_number, a.start_char, a.title, a.element_type, a.value, a.t AS numbering_type, a.level::BIGINT AS level, a.confidence, max(b.line_number) AS parent_line
+FROM sc a LEFT JOIN sc b ON b.doc_id = a.doc_id AND b.line_number < a.line_number AND b.level < a.level GROUP BY ALL"""
+
+SQL["line_format_headings"] = f"{LEGAL}, {FORMATTED} SELECT * FROM ff"
+
+SQL["heading_candidates"] = f"""{PLACED}, {FORMATTED}, both_kinds AS (SELECT doc_id, line_number, title, 'structure' AS origin, confidence FROM sc UNION ALL SELECT doc_id, line_number, title, 'format', confidence FROM ff)
+SELECT doc_id, line_number, title, origin, confidence FROM both_kinds WHERE confidence >= 0.3 QUALIFY row_number() OVER (PARTITION BY doc_id, line_number ORDER BY confidence DESC, origin DESC) = 1"""
+
+SQL["numbering_validate_gaps"] = (
+    PLACED
+    + r""", rv AS (SELECT *, list_transform(string_split(upper(value), ''), lambda c: CASE c WHEN 'I' THEN 1 WHEN 'V' THEN 5 WHEN 'X' THEN 10 WHEN 'L' THEN 50 WHEN 'C' THEN 100 WHEN 'D' THEN 500 WHEN 'M' THEN 1000 END) AS v FROM k),
+fn AS (SELECT doc_id, element_type, CASE WHEN t = 'decimal' THEN split_part(value, '.', 1)::BIGINT WHEN t LIKE 'roman%' THEN list_sum(list_transform(range(1, len(v) + 1), lambda i: CASE WHEN v[i] < coalesce(v[i + 1], 0) THEN -v[i] ELSE v[i] END))::BIGINT WHEN t LIKE 'letter%' THEN (ord(upper(value)) - 64)::BIGINT END AS f FROM rv),
+gs AS (SELECT *, f - lag(f) OVER (PARTITION BY doc_id, element_type ORDER BY f) AS step FROM fn WHERE f IS NOT NULL) SELECT doc_id, element_type, count(*) AS n_numbers, count(*) FILTER (step = 0) AS n_duplicates, count(*) FILTER (step > 1) AS n_gaps FROM gs GROUP BY doc_id, element_type"""
+)
+
+
+def _packs_sql(pieces: str, size: int, carry: int, glue: str) -> str:
+    """Packs by a walk over a document's pieces (doc_id, i, piece, m)."""
+    kept = "m1" if carry == 1 else "m1 + CASE WHEN walk.i - 1 >= start THEN m2 ELSE 0 END"
+    return f"""WITH RECURSIVE pieces AS ({pieces}), ps AS (SELECT *, coalesce(lag(m) OVER w, 0) AS m1, coalesce(lag(m, 2) OVER w, 0) AS m2, lead(i) OVER w IS NULL AS ends FROM pieces WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+walk AS (SELECT doc_id, i, 0::BIGINT AS start, m::BIGINT AS total, ends, NULL::BIGINT AS c_start, NULL::BIGINT AS c_n, NULL::BIGINT AS c_size FROM ps WHERE i = 0
+UNION ALL SELECT ps.doc_id, ps.i, CASE WHEN total + ps.m > {size} THEN greatest(start, ps.i - {carry}) ELSE start END, CASE WHEN total + ps.m > {size} THEN {kept} + ps.m ELSE total + ps.m END, ps.ends,
+CASE WHEN total + ps.m > {size} THEN start END, CASE WHEN total + ps.m > {size} THEN ps.i - start END, CASE WHEN total + ps.m > {size} THEN total END FROM walk JOIN ps ON ps.doc_id = walk.doc_id AND ps.i = walk.i + 1),
+packs AS (SELECT doc_id, c_start AS start, c_n AS n, c_size AS size FROM walk WHERE c_start IS NOT NULL UNION ALL SELECT doc_id, start, i - start + 1, total FROM walk WHERE ends)
+SELECT k.doc_id, row_number() OVER (PARTITION BY k.doc_id ORDER BY k.start, k.n) - 1 AS chunk_index, string_agg(p.piece, {glue} ORDER BY p.i) AS content, k.n AS n_pieces, k.size FROM packs k JOIN pieces p ON p.doc_id = k.doc_id AND p.i >= k.start AND p.i < k.start + k.n GROUP BY k.doc_id, k.start, k.n, k.size"""
+
+
+SQL["chunk_paragraph_pack"] = _packs_sql(
+    "SELECT doc_id, generate_subscripts(x, 1) - 1 AS i, unnest(x) AS piece, length(unnest(x)) AS m FROM (SELECT doc_id, list_filter(list_transform(string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10) || chr(10)), lambda p: trim(p, ' ')), lambda p: p <> '') AS x FROM documents)", 1500, 1, "chr(10) || chr(10)"
+)
+SQL["chunk_semantic_pack"] = _packs_sql(
+    r"SELECT doc_id, generate_subscripts(x, 1) - 1 AS i, unnest(x) AS piece, length(unnest(x)) // 4 AS m FROM (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])[\s\x0b]+', '\1' || chr(1), 'g'), chr(1)), lambda p: trim(p, ' ')), lambda p: length(p) >= 11) AS x FROM documents)", 200, 2, "' '"
+)
+
+SQL["chunk_split_large"] = r"""WITH RECURSIVE w AS (SELECT doc_id, text, 0::BIGINT AS chunk_index, 0::BIGINT AS s, CASE WHEN length(text) <= 4000 THEN NULL ELSE substring(text, 1, 4000) END AS win FROM documents WHERE length(text) > 0
+UNION ALL SELECT doc_id, text, chunk_index + 1, n, CASE WHEN n + 4000 >= length(text) THEN NULL ELSE substring(text, n + 1, 4000) END FROM (SELECT *, greatest(s + 1, s + size - 200) AS n FROM (SELECT *, CASE WHEN a > 2800 THEN a + 2 WHEN b > 2800 THEN b + 2 WHEN c > 2800 THEN c + 2 ELSE 4000 END AS size FROM
+(SELECT *, CASE WHEN contains(win, '. ') THEN 4000 - strpos(reverse(win), ' .') - 1 ELSE -1 END AS a, CASE WHEN contains(win, '.' || chr(10)) THEN 4000 - strpos(reverse(win), chr(10) || '.') - 1 ELSE -1 END AS b, CASE WHEN contains(win, chr(10) || chr(10)) THEN 4000 - strpos(reverse(win), chr(10) || chr(10)) - 1 ELSE -1 END AS c FROM w WHERE win IS NOT NULL))) WHERE n < length(text)),
+e AS (SELECT *, CASE WHEN contains(win, '. ') THEN 4000 - strpos(reverse(win), ' .') - 1 ELSE -1 END AS a, CASE WHEN contains(win, '.' || chr(10)) THEN 4000 - strpos(reverse(win), chr(10) || '.') - 1 ELSE -1 END AS b, CASE WHEN contains(win, chr(10) || chr(10)) THEN 4000 - strpos(reverse(win), chr(10) || chr(10)) - 1 ELSE -1 END AS c FROM w)
+SELECT doc_id, chunk_index, s AS start_char, CASE WHEN win IS NULL THEN substring(text, s + 1) ELSE substring(text, s + 1, CASE WHEN a > 2800 THEN a + 2 WHEN b > 2800 THEN b + 2 WHEN c > 2800 THEN c + 2 ELSE 4000 END) END AS content FROM e"""

@@ -35,8 +35,13 @@ def knn_topk_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"(SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE d.source = 'src1' ORDER BY round({COS}, 9) DESC, vec_id LIMIT 10"
 )
 def knn_tenant_join_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = search.nearest(chunk_table(spark, sf_dir), first_vector(spark, sf_dir), 10, tenant="src1")
-    return top.select("vec_id", "tenant", F.round("similarity", 6).alias("similarity"), F.length("content").cast("long").alias("n_chars"))
+    """The k by vector first, with the tenant's name alone; then the texts of those few."""
+    docs = table(spark, sf_dir, "documents")
+    owners = docs.select(F.col("doc_id").alias("vec_id"), F.col("source").alias("tenant"))
+    top = search.nearest(table(spark, sf_dir, "embeddings").join(owners, "vec_id"), first_vector(spark, sf_dir), 10, tenant="src1")
+    few = top.select("vec_id", "tenant", F.round("similarity", 6).alias("similarity"))
+    texts = docs.select(F.col("doc_id").alias("vec_id"), F.length("text").cast("long").alias("n_chars"))
+    return texts.join(F.broadcast(few), "vec_id").select("vec_id", "tenant", "similarity", "n_chars")
 
 
 @query(

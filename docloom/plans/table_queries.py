@@ -100,7 +100,12 @@ def latest_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.latest_status(table(spark, sf_dir, "events"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE o AS (SELECT source, doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents),
+    walk AS (SELECT source, i, 1::BIGINT AS g, CASE WHEN n >= 400 THEN 0 ELSE n END AS total, n < 400 AS open FROM o WHERE i = 1
+    UNION ALL SELECT o.source, o.i, CASE WHEN open AND o.n < 400 THEN g ELSE g + 1 END, CASE WHEN o.n >= 400 THEN 0 WHEN open THEN total + o.n ELSE o.n END, o.n < 400 AND CASE WHEN open THEN total + o.n ELSE o.n END < 400 FROM walk JOIN o ON o.source = walk.source AND o.i = walk.i + 1)
+    SELECT o.source AS "group", min(o.doc_id) AS first_doc, count(*) AS n_docs, string_agg(o.text, chr(10) || chr(10) ORDER BY o.doc_id) AS text FROM o JOIN walk USING (source, i) GROUP BY o.source, g"""
+)
 def merge_short_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.merge_short(table(spark, sf_dir, "documents"), 400)
 

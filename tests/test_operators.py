@@ -172,3 +172,34 @@ def test_redundancy_against_all_rows(spark):
     got = {r.vec_id: (r.n_links, r.redundant) for r in search.redundancy(rows.filter("vec_id <> 4"), rows).collect()}
     assert got == {1: (2, False), 2: (1, False), 3: (2, True), 5: (0, False), 6: (0, False), 7: (2, True)}
     assert search.redundancy(rows.limit(0), rows).count() == 0
+
+
+def plain_merge(rows, least):
+    out, held = [], []
+
+    def close():
+        if held:
+            out.append((held[0][0], held[0][1], len(held), "\n\n".join(x[2] for x in held)))
+        held.clear()
+
+    for g, i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1] is not None, r[1] or 0)):
+        t = t or ""
+        if held and (held[0][0] != g or len(t) >= least):
+            close()
+        held.append((g, i, t))
+        if len(t) >= least or sum(len(x[2]) for x in held) >= least:
+            close()
+    close()
+    return out
+
+
+def test_merging_over_many_ranges(spark):
+    import random
+
+    rnd = random.Random(9)
+    sizes = lambda g: rnd.choice([0, 3, 10, 25, 60, 120]) if g == "hot" else rnd.choice([1, 2]) if g == "small" else rnd.randrange(300)
+    rows = [(g, i * 7 + 2**60, "x" * sizes(g) or None) for g, n in (("hot", 800), ("small", 500), ("b", 60), ("c", 1)) for i in range(n)] + [(None, i, "y" * 30) for i in range(9)] + [("b", None, "null id")]
+    docs = spark.createDataFrame(rows, "source string, doc_id long, text string").repartition(5)
+    for ranges in (1, 70):
+        assert sorted(map(repr, map(tuple, corpus.merge_short(docs, 100, ranges=ranges).collect()))) == sorted(map(repr, plain_merge(rows, 100)))
+    assert corpus.merge_short(docs.limit(0)).count() == 0
