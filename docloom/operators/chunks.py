@@ -53,7 +53,7 @@ def _packed(rows: DataFrame, measure, size: int, carry: int, glue: str) -> DataF
 
     Where packs begin goes through an Arrow batch of measures alone; each pack is then one slice of the pieces.
     """
-    measured = rows.select("doc_id", "pieces", F.transform("pieces", measure).alias("measures")).filter(F.size("pieces") > 0)
+    measured = rows.select("doc_id", "pieces", F.transform("pieces", lambda p: measure(p)).alias("measures")).filter(F.size("pieces") > 0)
     placed = measured.withColumn("packs", _places(size, carry)("measures")).select("doc_id", "pieces", F.posexplode("packs").alias("chunk_index", "at"))
     content = F.array_join(F.slice("pieces", F.col("at.start") + 1, F.col("at.n")), glue)
     return placed.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), content.alias("content"), F.col("at.n").cast("long").alias("n_pieces"), F.col("at.size").alias("size"))
