@@ -147,3 +147,30 @@ def clean_markdown_html(text: Column) -> Column:
     out = F.regexp_replace(strip_dangerous(text), rf"(?i)</?(?!(?:{'|'.join(SAFE_TAGS)})\b)[a-z][^>]*>", "")
     out = F.regexp_replace(out, r"(?i)(<[a-z][^>]*?)\s(?:on\w+|style)\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]+)", "$1")
     return F.when(text.rlike(r"(?i)</?[a-z][^>]*>"), out).otherwise(text)
+
+
+#: Encodings tried first, then all that are tried, and file types by MIME type and by extension.
+COMMON_ENCODINGS = ("utf-8", "utf-8-sig", "latin1", "cp1252", "utf-16")
+BASE_ENCODINGS = (
+    "utf-8 utf-8-sig utf-16 utf-16-le utf-16-be utf-32 utf-32-le utf-32-be latin1 iso-8859-1 cp1252 windows-1252 cp1251 windows-1251 cp1256 windows-1256 "
+    "cp936 gb2312 gbk big5 shift_jis cp932 euc-kr cp949 iso-8859-2 cp1250 iso-8859-5 iso-8859-6 iso-8859-7 iso-8859-8 iso-8859-9 iso-8859-15 ascii"
+).split()
+MIME_TYPES = {"application/pdf": "pdf", "application/vnd.openxmlformats-officedocument.wordprocessingml.document": "docx", "application/msword": "doc", "text/plain": "txt"}
+EXTENSION_TYPES = {".pdf": "pdf", ".docx": "docx", ".doc": "doc", ".txt": "txt"}
+
+
+def encoding_order(detected: Column) -> Column:
+    """Encodings to try, each once: the detected one in small letters with hyphens, the common ones, all others."""
+    own = F.when(F.coalesce(detected, F.lit("")) != "", F.array(F.replace(F.lower(detected), F.lit("_"), F.lit("-")))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(own, F.array(*map(F.lit, (*COMMON_ENCODINGS, *BASE_ENCODINGS)))))
+
+
+def typed(mime: Column, name: Column) -> Column:
+    """The type by MIME type, else by the name's extension; null for neither."""
+    def by(column: Column, table: dict[str, str]) -> Column:
+        out = F.lit(None).cast("string")
+        for key, value in table.items():
+            out = F.when(column == key, value).otherwise(out)
+        return out
+
+    return F.coalesce(by(mime, MIME_TYPES), by(F.lower(F.regexp_extract(name, r"[^/](\.[^./]+)$", 1)), EXTENSION_TYPES))
