@@ -14,7 +14,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.common import group_sums, materialise, slices, word_codes, word_hashes
@@ -56,8 +56,9 @@ def count_words(blocks: DataFrame) -> DataFrame:
     """(block, at, class, n, first): the training count of each block's words in the whole corpus; ``first`` marks one row of each word."""
     each = blocks.select("block", F.posexplode(F.arrays_zip("words", "taught", "classes")).alias("at", "x"))
     each = each.select("block", "at", F.col("x.words").alias("word"), F.col("x.taught").alias("taught"), F.col("x.classes").alias("class"))
-    own = Window.partitionBy("word")
-    return each.select("block", "at", "class", "taught", F.sum("taught").over(own).alias("n"), (F.row_number().over(own.orderBy("block")) == 1).alias("first"))
+    # Sums are made before the exchange; a common word, which has a row in every block, meets its sum in a join whose large partitions Spark splits.
+    sums = each.groupBy("word").agg(F.sum("taught").alias("n"), F.min("block").alias("__first"))
+    return each.join(sums.hint("merge"), "word").select("block", "at", "class", "taught", "n", (F.col("block") == F.col("__first")).alias("first"))
 
 
 def _forward(start: np.ndarray, move: np.ndarray, emit: np.ndarray, lengths: np.ndarray, classes: np.ndarray, backward: bool = False):

@@ -45,6 +45,15 @@ def test_base_scores_of_the_table(spark):
     assert mine > plain
 
 
+def test_states_tell_more_than_words_alone(spark):
+    """On held-out texts six states beat one, and one the base, which lacks only the shares of unseen words."""
+    docs = spark.read.parquet(f"{LARGER}/documents.parquet")
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 2
+    score = lambda states: hmm.score_documents(docs, held, states=states).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    (six, base), (one, _) = score(6), score(1)
+    assert six > 0.96 * one and one > 0.9 * base
+
+
 def test_language_model_odd_rows(docs_of):
     out = hmm.score_documents(docs_of(ODD), F.col("doc_id") == 5, states=2, rounds=1).collect()
     assert Counter(r.doc_id for r in out) == Counter(i for i, _ in ODD)
@@ -95,7 +104,7 @@ def test_toxicity_held_out_accuracy(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in out)
     toxic, clean = [r for r in held if r.toxic], [r for r in held if not r.toxic]
     assert sum(r.predicted for r in clean) <= 0.03 * len(clean)
-    assert sum(r.predicted for r in toxic) >= 0.4 * len(toxic)
+    assert sum(r.predicted for r in toxic) >= 0.6 * len(toxic)
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in out)
 
 
