@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.plans import build_queries, chunk_queries, graph_queries, line_queries, lookup_queries, outline_queries, scalar_queries, search_queries, table_queries, whole_queries
+from docloom.plans import build_queries, chunk_queries, graph_queries, line_queries, lookup_queries, record_queries, outline_queries, scalar_queries, search_queries, table_queries, whole_queries
 
-MODULES = (search_queries, scalar_queries, chunk_queries, graph_queries, table_queries, line_queries, outline_queries, build_queries, whole_queries, lookup_queries)
+MODULES = (search_queries, scalar_queries, chunk_queries, graph_queries, table_queries, line_queries, outline_queries, build_queries, whole_queries, lookup_queries, record_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
