@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions.text import strip
-from docloom.operators import chunks
+from docloom.operators import chunks, spans
 
 #: Separators of legal texts, coarse to fine.
 LEGAL_SEPARATORS = ("\n\nCHAPTER ", "\n\nTITLE ", "\n\nPART ", "\n\nARTICLE ", "\n\nSECTION ", "\n\nSec. ", "\n\n§ ", "\n\n(", "\n\n(i)", "\n\n(A)", "\n\n", "\n", ". ", "; ", ", ", " ", "")
@@ -172,14 +172,16 @@ SECTION_KINDS, PART_KINDS, DEEPEST = ("chapter", "article", "section"), ("subsec
 def cut_at_elements(pieces: DataFrame, found: DataFrame) -> DataFrame:
     """(doc_id, chunk_index, part, start_char, content): chunks (doc_id, chunk_index, start_char, content) cut where an important element (doc_id, start_char, element_type, level) begins within them; empty parts go, and the others are trimmed.
 
-    A document's boundaries come as one sorted list, of which a chunk takes the slice that lies in it.
+    Chunks meet the boundaries of their own stretches of the text only, by place, and no text moves for it; (doc_id, chunk_index) names a chunk.
     """
     important = F.col("element_type").isin(*SECTION_KINDS) | (F.col("element_type").isin(*PART_KINDS) & (F.col("level") <= DEEPEST))
-    marks = found.filter(important).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.col("start_char").cast("long"))).alias("marks"))
-    rows = pieces.select("doc_id", "chunk_index", F.col("start_char").cast("long").alias("start_char"), "content").join(marks, "doc_id", "left")
+    marks = found.filter(important).select("doc_id", F.col("start_char").cast("long").alias("pos")).distinct()
+    rows = pieces.select("doc_id", "chunk_index", F.col("start_char").cast("long").alias("start_char"), "content").filter("content <> ''")
     end = F.col("start_char") + F.length("content")
-    inner = F.filter(F.coalesce("marks", F.array().cast("array<long>")), lambda m: (m > F.col("start_char")) & (m < end))
-    rows = rows.withColumn("cuts", F.concat(F.array("start_char"), inner, F.array(end))).drop("marks")
+    held = spans.inside(rows.select("doc_id", "chunk_index", "start_char", end.alias("end_char")), marks)
+    inner = held.groupBy("doc_id", "chunk_index").agg(F.array_sort(F.collect_set("pos")).alias("inner"))
+    rows = rows.join(inner, ["doc_id", "chunk_index"], "left")
+    rows = rows.withColumn("cuts", F.concat(F.array("start_char"), F.coalesce("inner", F.array().cast("array<long>")), F.array(end))).drop("inner")
     part = F.transform(F.sequence(F.lit(0), F.size("cuts") - 2), lambda i: F.struct(F.get("cuts", i).alias("start_char"), F.substring("content", (F.get("cuts", i) - F.col("start_char") + 1).cast("int"), (F.get("cuts", i + 1) - F.get("cuts", i)).cast("int")).alias("content")))
     out = rows.select("doc_id", "chunk_index", F.posexplode(part).alias("part", "x")).select("doc_id", "chunk_index", F.col("part").cast("long").alias("part"), "x.start_char", "x.content")
     return out.withColumn("content", strip(F.col("content"))).filter("content <> ''")

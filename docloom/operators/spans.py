@@ -27,15 +27,20 @@ def best_overlap(chunks: DataFrame, elements: DataFrame) -> DataFrame:
     return pairs.groupBy("doc_id", "chunk_index").agg(F.max_by("element", F.struct(shared, -F.col("es"))).alias("element"), F.max(shared).alias("overlap"))
 
 
-def boundary_violations(chunks: DataFrame, boundaries: DataFrame) -> DataFrame:
-    """(doc_id, chunk_index, n_violations): boundaries strictly inside a chunk; those of subsections only down to level 2.
+def inside(chunks: DataFrame, marks: DataFrame) -> DataFrame:
+    """(doc_id, chunk_index, pos): places (doc_id, pos) strictly inside a chunk (doc_id, chunk_index, start_char, end_char).
 
-    A boundary lies in one stretch of the text, and a chunk meets those of its own stretches.
+    A place lies in one stretch of the text, and a chunk meets those of its own stretches.
     """
-    b = boundaries.filter(F.col("is_section") | (F.col("level") <= 2)).select("doc_id", "pos", F.floor(F.col("pos") / STRETCH).alias("stretch"))
+    b = marks.select("doc_id", "pos", F.floor(F.col("pos") / STRETCH).alias("stretch"))
     c = chunks.filter(F.col("end_char") > F.col("start_char")).select("doc_id", "chunk_index", "start_char", "end_char", F.explode(_stretches(F.col("start_char"), F.col("end_char"))).alias("stretch"))
-    inside = c.join(b, ["doc_id", "stretch"]).filter((F.col("pos") > F.col("start_char")) & (F.col("pos") < F.col("end_char")))
-    return inside.groupBy("doc_id", "chunk_index").agg(F.count("*").alias("n_violations"))
+    return c.join(b, ["doc_id", "stretch"]).filter((F.col("pos") > F.col("start_char")) & (F.col("pos") < F.col("end_char"))).select("doc_id", "chunk_index", "pos")
+
+
+def boundary_violations(chunks: DataFrame, boundaries: DataFrame) -> DataFrame:
+    """(doc_id, chunk_index, n_violations): boundaries strictly inside a chunk; those of subsections only down to level 2."""
+    found = inside(chunks, boundaries.filter(F.col("is_section") | (F.col("level") <= 2)))
+    return found.groupBy("doc_id", "chunk_index").agg(F.count("*").alias("n_violations"))
 
 
 def last_before(rows: DataFrame, marks: DataFrame, key: str, at: str, value: str) -> DataFrame:
