@@ -16,6 +16,24 @@ def retrieval_metrics(retrieved: DataFrame, truth: DataFrame) -> DataFrame:
 
     r, t = items(retrieved).withColumn("r", F.lit(1)), items(truth).withColumn("t", F.lit(1))
     both = r.join(t, ["query_id", "item"], "full").groupBy("query_id").agg(F.count("r").alias("n_retrieved"), F.count("t").alias("n_truth"), F.count_if(F.col("r").isNotNull() & F.col("t").isNotNull()).alias("n_hits"))
+    return _scored(both)
+
+
+def label_metrics(retrieved: DataFrame, labels: DataFrame, asked: DataFrame) -> DataFrame:
+    """:func:`retrieval_metrics` where the truth of a query (query_id, label) is every item of its label (item, label): sizes of labels are counted once and a retrieved item is right if its label is, so no list of true items is made.
+
+    Items are trimmed, blank ones left out; an item has one label; queries that retrieved nothing have a row.
+    """
+    names = labels.select(F.trim("item").alias("item"), "label").filter("item <> ''").distinct()
+    sizes = names.groupBy("label").agg(F.count("*").alias("n_truth"))
+    found = retrieved.select("query_id", F.trim("item").alias("item")).filter("item <> ''").distinct().join(names.withColumnRenamed("label", "__own"), "item", "left")
+    hits = found.join(asked.select("query_id", "label"), "query_id").groupBy("query_id").agg(F.count("*").alias("n_retrieved"), F.count_if(F.col("__own") == F.col("label")).alias("n_hits"))
+    both = asked.select("query_id", "label").join(sizes, "label", "left").drop("label").join(hits, "query_id", "left").na.fill(0, ["n_truth", "n_retrieved", "n_hits"])
+    return _scored(both.select("query_id", "n_retrieved", "n_truth", "n_hits"))
+
+
+def _scored(both: DataFrame) -> DataFrame:
+    """Precision, recall, F1 and exact match from counts."""
     p, c = share(F.col("n_hits"), F.col("n_retrieved")), share(F.col("n_hits"), F.col("n_truth"))
     scored = both.withColumns({"precision": p, "recall": c})
     f1 = share(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))

@@ -107,8 +107,8 @@ def eval_retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     asked = rows.filter("vec_id % 50 = 0")
     found = search.nearest_each(asked, rows, 10).select("query_id", F.col("vec_id").cast("string").alias("item"))
-    truth = asked.select(F.col("vec_id").alias("query_id"), "label").join(rows.select("label", F.col("vec_id").cast("string").alias("item")), "label").select("query_id", "item")
-    return evaluate.retrieval_metrics(found, truth)
+    labels = rows.select(F.col("vec_id").cast("string").alias("item"), "label")
+    return evaluate.label_metrics(found, labels, asked.select(F.col("vec_id").alias("query_id"), "label"))
 
 
 @query(

@@ -44,3 +44,14 @@ def test_chunks_and_cases(spark):
     assert [tuple(r) for r in records.corrected_cases(cases, texts).collect()] == [(1, 1, 6, 11, "world")]
     named = spark.createDataFrame([("abc", "/x/one.txt"), ("a", "one.txt"), ("abcdef", "/y/two.txt")], "content string, source string")
     assert tuple(records.chunk_overview(named).first()) == (3, 3.3333, 1, 6, 2, ["one.txt", "two.txt"])
+
+
+def test_label_metrics_are_those_of_the_listed_truth(spark):
+    from docloom.operators import evaluate
+
+    labels = spark.createDataFrame([("a", 1), ("b", 1), (" c ", 2), ("d", None), ("", 1)], "item string, label int")
+    asked = spark.createDataFrame([(1, 1), (2, 2), (3, 7), (4, 1)], "query_id long, label int")
+    found = spark.createDataFrame([(1, "a"), (1, " a "), (1, "c"), (1, "zz"), (2, "c"), (3, "a"), (3, "")], "query_id long, item string")
+    truth = asked.join(labels, "label").select("query_id", "item")
+    want = {tuple(r) for r in evaluate.retrieval_metrics(found, truth).collect()}
+    assert {tuple(r) for r in evaluate.label_metrics(found, labels, asked).collect()} == want and len(want) == 4
