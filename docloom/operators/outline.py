@@ -45,7 +45,7 @@ def first_numbered(numbers: DataFrame, wanted: DataFrame) -> DataFrame:
 def full_numbers(found: DataFrame, parents: DataFrame) -> DataFrame:
     """(doc_id, line_number, full_number, path): each element's number behind those of its parents, with points between, and the way from the root as numbers or, without one, kinds of elements.
 
-    ``parents`` has (doc_id, line_number, parent_line), of which an element without a row is a root. The ways come by doubling, see :func:`docloom.operators.trees.paths`.
+    ``parents`` has (doc_id, line_number, parent_line), of which an element without a row is a root. The ways come a level a round, see :func:`docloom.operators.trees.paths`.
     """
     rows = found.select("doc_id", "line_number", "value", "element_type").join(parents.select("doc_id", "line_number", "parent_line"), ["doc_id", "line_number"], "left")
     node = F.struct("doc_id", "line_number")

@@ -143,20 +143,20 @@ def _title_runs(text: Column) -> Column:
     return F.size(F.filter(F.transform(words, lambda x, i: x & ~F.coalesce(F.get(words, i - 1), F.lit(False))), lambda x: x))
 
 
-def pattern_count(text: Column, category: str, name: str) -> Column:
-    """Matches of one pattern in a text; the pattern itself is tried only where the text holds what it needs."""
+def pattern_count(text: Column, category: str, name: str, low: Column | None = None) -> Column:
+    """Matches of one pattern in a text; the pattern itself is tried only where the text, in small letters ``low``, holds what it needs."""
     if not pattern_supported(category, name):
         raise ValueError(f"no such pattern: {category}.{name}")
     found = _title_runs(text) if name == "title_case" else F.regexp_count(text, F.lit(_java(name, PATTERNS[category][name])))
     needed = NEEDED.get(name, NEEDED.get(category))
-    return (F.when(F.contains(F.lower(text), F.lit(needed)), found).otherwise(0) if needed else found).cast("long")
+    return (F.when(F.contains(F.lower(text) if low is None else low, F.lit(needed)), found).otherwise(0) if needed else found).cast("long")
 
 
 def pattern_counts(docs: DataFrame, categories: list[str] | None = None) -> DataFrame:
     """(category, pattern, n_docs, n_matches) over a table of texts, in one scan; of some categories or all."""
     wanted = {c: PATTERNS[c] for c in (categories or PATTERNS)}
-    counts = [F.struct(F.lit(c).alias("category"), F.lit(n).alias("pattern"), F.coalesce(pattern_count(F.col("text"), c, n), F.lit(0)).alias("n")) for c, names in wanted.items() for n in names]
-    rows = docs.select(F.explode(F.array(*counts)).alias("x")).select("x.*")
+    counts = [F.struct(F.lit(c).alias("category"), F.lit(n).alias("pattern"), F.coalesce(pattern_count(F.col("text"), c, n, F.col("__low")), F.lit(0)).alias("n")) for c, names in wanted.items() for n in names]
+    rows = docs.select("text", F.lower("text").alias("__low")).select(F.explode(F.array(*counts)).alias("x")).select("x.*")
     return rows.groupBy("category", "pattern").agg(F.count_if(F.col("n") > 0).alias("n_docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_matches"))
 
 

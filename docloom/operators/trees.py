@@ -11,17 +11,20 @@ from docloom.scratch import written
 def paths(nodes: DataFrame) -> DataFrame:
     """(node, root, depth, path, places): each node's way from its root, as nodes and as ordinals.
 
-    Each round every way that has not reached a root is continued by the way of the node it has reached, so ways double in length and rounds follow the logarithm of the depth. Nodes that no root reaches (cycles, missing parents) have no row. A node with several parents has a row for each way, but no way comes back to a node that it has passed.
+    A level a round, roots first; a round joins the last level with its children only, so every edge is used once. Nodes that no root reaches (cycles, missing parents) have no row. A node with several parents has a row for each way, but no way comes back to a node that it has passed.
     """
-    ways = nodes.select("node", F.col("parent").alias("up"), F.array("node").alias("path"), F.array("ord").alias("places"))
-    ended, left = ways.filter("up IS NULL").drop("up"), written(ways.filter("up IS NOT NULL"))
-    while not left.isEmpty():
-        known = ended.withColumn("up", F.lit(None).cast(nodes.schema["node"].dataType)).unionByName(left)
-        known = known.select(F.col("node").alias("at"), F.col("up").alias("next"), F.col("path").alias("head"), F.col("places").alias("first"))
-        longer = left.join(known, left["up"] == known["at"]).filter(~F.arrays_overlap("head", "path") & (F.col("next").isNull() | ~F.array_contains(F.concat("head", "path"), F.col("next"))))
-        longer = written(longer.select("node", F.col("next").alias("up"), F.concat("head", "path").alias("path"), F.concat("first", "places").alias("places")))
-        ended, left = ended.unionByName(longer.filter("up IS NULL").drop("up")), longer.filter("up IS NOT NULL")
-    return ended.select("node", F.get("path", F.lit(0)).alias("root"), (F.size("path") - 1).cast("long").alias("depth"), "path", "places")
+    level = nodes.filter("parent IS NULL").select("node", F.col("node").alias("root"), F.lit(0).cast("long").alias("depth"), F.array("node").alias("path"), F.array("ord").alias("places"))
+    out = level
+    edges = nodes.filter("parent IS NOT NULL").select(F.col("node").alias("child"), F.col("parent").alias("above"), F.col("ord").alias("place"))
+    while True:
+        level = written(
+            level.join(edges, level["node"] == edges["above"]).filter(~F.array_contains("path", F.col("child"))).select(
+                F.col("child").alias("node"), "root", (F.col("depth") + 1).alias("depth"), F.array_append("path", F.col("child")).alias("path"), F.array_append("places", F.col("place")).alias("places")
+            )
+        )
+        if level.isEmpty():
+            return out
+        out = out.unionByName(level)
 
 
 def closure(found: DataFrame) -> DataFrame:
