@@ -63,6 +63,14 @@ def test_optimised_sizes(spark):
     assert got == [("a" * 8 + "\n\n" + "b" * 8, 3), ("c" * 100, 1), ("d" * 8, 1), ("e" * 250, 1), ("e" * 250, 1), ("f" * 12 + "\n\n" + "g" * 36, 2), ("h" * 4, 1)]
 
 
+def test_optimised_sizes_of_sentences(spark):
+    """Sentences keep the digits at their ends, also those of their place."""
+    docs = spark.createDataFrame([(1, "0 zero 0. 1 one 1. 2 two 2. " + "3" * 80 + "3.")], "doc_id long, text string")
+    pieces = docs.select("doc_id", F.posexplode(tx.sentences(F.col("text"))).alias("chunk_index", "content"))
+    got = [(r.content, r.n_merged) for r in outline.optimised_sizes(pieces, 20, 60, 100).orderBy("chunk_index").collect()]
+    assert got == [("0 zero 0.\n\n1 one 1.\n\n2 two 2.", 3), ("3" * 81 + ".", 1)]
+
+
 def test_encodings_and_types(spark):
     rows = spark.createDataFrame([("UTF_16", "application/pdf", "x.txt"), (None, None, "a/B.DOCX"), ("latin1", "image/png", "c.doc"), ("", None, "no_extension"), (None, "text/plain", None)], "d string, mime string, name string")
     got = rows.select(tx.encoding_order(F.col("d")).alias("e"), tx.typed(F.col("mime"), F.col("name")).alias("t")).collect()
