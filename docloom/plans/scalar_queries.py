@@ -78,7 +78,7 @@ SENTENCES = r"list_filter(list_transform(string_split(regexp_replace(text, '([.!
 
 @query(f"SELECT doc_id, len({SENTENCES}) AS n_sentences, sha256(array_to_string({SENTENCES}, '|')) AS sentences_hash FROM documents")
 def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = tx.sentences(F.col("text"))
+    found = tx.sentences(F.col("text"), ends=tx.SPACES)
     return table(spark, sf_dir, "documents").select("doc_id", F.size(found).cast("long").alias("n_sentences"), F.sha2(F.array_join(found, "|"), 256).alias("sentences_hash"))
 
 

@@ -56,6 +56,11 @@ def test_sentences(value):
     assert value(text.sentences(F.col("t")), t="Mr. Smith went. He left! Ok") == ["Mr.", "Smith went.", "He left!", "Ok"]
 
 
+def test_sentences_keep_digits(value):
+    assert value(text.sentences(F.col("t")), t="0 or 0. 1 or 1! 2 or 2? 192.168.1.3") == ["0 or 0.", "1 or 1!", "2 or 2?", "192.168.1.3"]
+    assert value(text.sentences(F.col("t"), ends=text.SPACES), t="\xa0One. \u3000 Two.\xa0\xa0") == ["One.", "Two."]
+
+
 def test_overlap_tail(value):
     assert value(text.overlap_tail(F.col("t"), 12), t="First one. Second part") == "Second part"
     assert value(text.overlap_tail(F.col("t"), 100), t="all") == "all"
