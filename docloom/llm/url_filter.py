@@ -71,7 +71,7 @@ def mine_rules(labelled: DataFrame, min_support: float = 0.002, min_confidence:
 
     FP-growth runs over baskets of a URL's tokens and its label. A rule needs its share of the labelled URLs (``min_support``, and ``min_urls`` of them) and confidence: the share of its label among the URLs with its tokens if both labels were equally frequent (``min_confidence``), so that a rule of the frequent label must tell more than that label's frequency. Chance must not explain it either: its count lies ``min_chance`` standard deviations over that of as many URLs drawn at random.
     Tokens that the same URLs hold are one item, so a site of long, fixed paths has few combinations; a rule names at most ``max_tokens`` items, with all their tokens.
-    A basket of more items keeps the ``max_items`` whose labels differ most from the common share, to find candidates; every candidate is then counted over all URLs and all their tokens.
+    A basket of more items gives FP-growth the ``max_items`` whose labels differ most from the common share; the sets with an item that any basket left out are found exactly, a size a round (``_sets_with``). Every candidate is then counted over all URLs and all their tokens.
     """
     rows = materialise(labelled.select("url_tokens", "label").withColumn("row", F.xxhash64("url_tokens", "label")))
     n, share = rows.agg(F.count("*"), F.avg((F.col("label") == "block").cast("double"))).first()
@@ -85,15 +85,20 @@ def mine_rules(labelled: DataFrame, min_support: float = 0.002, min_confidence:
     items = known.groupBy("n", "k", "s1", "s2").agg(F.min("token").alias("item"), F.array_sort(F.collect_set("token")).alias("members"))
     telling = F.abs(F.col("k") - F.col("n") * F.lit(share or 0.0)) / F.sqrt("n")
     items = materialise(items.withColumn("telling", telling))
-    chosen = F.transform(F.slice(F.sort_array(F.collect_list(F.struct("telling", "item")), asc=False), 1, max_items), lambda x: x["item"])
+    ranked = F.transform(F.sort_array(F.collect_list(F.struct("telling", "item")), asc=False), lambda x: x["item"])
     lists = rows.groupBy("url_tokens", "label").agg(F.count("*").alias("copies"))
     baskets = lists.withColumn("token", F.explode("url_tokens")).join(items.select("item", "telling"), F.col("token") == F.col("item"))
-    baskets = baskets.groupBy("url_tokens", "label").agg(F.first("copies").cast("int").alias("copies"), chosen.alias("items"))
-    baskets = baskets.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(F.array_append("items", F.concat(F.lit("="), "label")).alias("items"))
-    found = FPGrowth(itemsCol="items", minSupport=min(1.0, floor), minConfidence=min_confidence).fit(baskets).freqItemsets
+    baskets = baskets.groupBy("url_tokens", "label").agg(F.first("copies").alias("copies"), ranked.alias("all"))
+    baskets = materialise(baskets.groupBy("all", "label").agg(F.sum("copies").cast("int").alias("copies")))
+    given = baskets.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(F.array_append(F.slice("all", 1, max_items), F.concat(F.lit("="), "label")).alias("items"))
+    found = FPGrowth(itemsCol="items", minSupport=min(1.0, floor), minConfidence=min_confidence).fit(given).freqItemsets
     labels = F.filter("items", lambda t: t.startswith("="))
     found = found.select(F.get(labels, 0).alias("verdict"), F.filter("items", lambda t: ~t.startswith("=")).alias("parts"))
-    found = found.filter(F.col("verdict").isNotNull() & F.size("parts").between(1, max_tokens)).withColumn("rule_id", F.xxhash64(F.array_sort("parts"), "verdict"))
+    found = found.filter(F.col("verdict").isNotNull() & F.size("parts").between(1, max_tokens))
+    left_out = materialise(baskets.select(F.explode(F.slice("all", max_items + 1, F.greatest(F.size("all"), F.lit(1)))).alias("item")).distinct())
+    if not left_out.isEmpty():
+        found = found.unionByName(_sets_with(left_out, baskets, floor * n, max_tokens))
+    found = found.withColumn("rule_id", F.xxhash64(F.array_sort("parts"), "verdict")).dropDuplicates(["rule_id"])
     single = known.select("token", "n")
     spread = found.withColumn("item", F.explode("parts")).join(items.select("item", "members"), "item").withColumn("token", F.explode("members")).join(single, "token")
     rules = spread.groupBy("rule_id").agg(
@@ -110,6 +115,28 @@ def mine_rules(labelled: DataFrame, min_support: float = 0.002, min_confidence:
     return materialise(rules.join(counted.filter((F.col("confidence") >= min_confidence) & (F.col("support") >= floor) & (F.col("chance") >= min_chance)), "rule_id").drop("chance"))
 
 
+def _sets_with(wanted: DataFrame, baskets: DataFrame, least: float, most: int) -> DataFrame:
+    """(verdict, parts): all sets of up to ``most`` items, one of them in ``wanted`` (item), that at least so many baskets (all, label, copies) of one label hold.
+
+    A set is grown only from sets that are frequent themselves. Wanted items go first in a basket's order, so every such set begins with one and is grown once.
+    """
+    first = F.broadcast(wanted.select("item", F.lit("0").alias("first")))
+    names = baskets.withColumn("id", F.monotonically_increasing_id()).withColumn("item", F.explode("all")).join(first, "item", "left")
+    names = names.withColumn("name", F.concat(F.coalesce("first", F.lit("1")), "item")).groupBy("id").agg(F.first("label").alias("label"), F.first("copies").alias("copies"), F.array_sort(F.collect_list("name")).alias("names"))
+    names = materialise(names.filter(F.get("names", 0).startswith("0")))
+    held = names.select("label", "copies", "names", F.explode(F.filter("names", lambda x: x.startswith("0"))).alias("last")).withColumn("parts", F.array("last"))
+    out, frequent = None, None
+    for size in range(1, most + 1):
+        if size > 1:
+            held = held.withColumn("last", F.explode(F.filter("names", lambda x: x > F.col("last")))).withColumn("parts", F.array_append("parts", F.col("last")))
+        if size > 2:  # without the item before its last, a frequent set is a frequent set too
+            held = held.join(frequent.withColumnRenamed("parts", "shorter"), (held["label"] == frequent["label"]) & (F.array_append(F.slice("parts", 1, size - 2), F.col("last")) == F.col("shorter")), "left_semi")
+        frequent = materialise(held.groupBy("label", "parts").agg(F.sum("copies").alias("n")).filter(F.col("n") >= least).select("label", "parts"))
+        out = frequent if out is None else out.unionByName(frequent)
+        held = held.join(frequent, ["label", "parts"], "left_semi")
+    return out.select(F.concat(F.lit("="), "label").alias("verdict"), F.transform("parts", lambda x: F.substring(x, F.lit(2), F.length(x))).alias("parts"))
+
+
 def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """The best matching rule of each row of (key, url_tokens): (key, mined_rule, mined_verdict, confidence).
 

@@ -1,5 +1,6 @@
 """Toxicity, URL rules, the language model and the pipeline."""
 
+import itertools
 import math
 import random
 import sys
@@ -169,6 +170,26 @@ def test_url_table(spark):
     assert all((r.host, r.path, r.rule) == want[r.page_id] for r in out) and len(out) == len(want)
 
 
+def test_rules_do_not_hang_on_what_baskets_keep(spark):
+    """Items left out of full baskets are candidates too: the same rules as with room for all, and as by brute force."""
+    rng, rows = random.Random(4), []
+    for _ in range(900):
+        t, u = rng.random() < 0.5, rng.random() < 0.5
+        bad = t and u or not t and not u and rng.random() < 0.5
+        rows.append(([n for n, there in (("t", t), ("u", u)) if there] + [n for n in "vwxyz" if rng.random() < (0.8 if bad else 0.6)], "block" if bad else "allow"))
+    labelled = spark.createDataFrame(rows, "url_tokens array<string>, label string")
+    few, all_items = ({(tuple(r.tokens), r.verdict, round(r.confidence, 9)) for r in url_filter.mine_rules(labelled, max_items=k, min_confidence=0.8).collect()} for k in (2, 16))
+    counts = Counter((s, label) for tokens, label in rows for k in (1, 2, 3) for s in itertools.combinations(sorted(tokens), k))
+    share = sum(label == "block" for _, label in rows) / len(rows)
+    own, want = {"block": share, "allow": 1 - share}, set()
+    for (s, label), right in counts.items():
+        held, p = right + counts[s, "allow" if label == "block" else "block"], own[label]
+        sure = right / p / (right / p + (held - right) / (1 - p))
+        if right >= 20 and sure >= 0.8 and (right - held * p) / math.sqrt(held * p * (1 - p)) >= 3:
+            want.add((s, label, round(sure, 9)))
+    assert few == all_items == want and (("t", "u"), "block") in {r[:2] for r in want}
+
+
 def test_mined_rules_match_by_hand(spark):
     rows = [("http://spam.com/buy/a", "block")] * 30 + [("http://spam.com/news/a", "allow")] * 30 + [("http://good.org/news/b", "allow")] * 40
     asked = spark.createDataFrame([(1, "http://spam.com/buy/zzz"), (2, "http://spam.com/news/q"), (3, "http://unknown.xyz/")], "page_id long, url string")
