@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,6 +112,8 @@ NEEDED = {
     "bullet_asterisk": "*", "bullet_dot": "•", "whereas": "whereas", "therefore": "therefore", "provided_that": "provided", "subject_to": "subject", "notwithstanding": "notwithstanding", "in_accordance_with": "accordance",
     "see_section": "section", "see_article": "article", "pursuant_to": "pursuant", "in_section": "section", "under_section": "under", "tab_indented": "\t",
 }
+#: Room of the matches that a worker holds, and of one without its text.
+BATCH_BYTES, ROW_BYTES = 4 << 20, 200
 
 
 def pattern_flags(name: str) -> str:
@@ -263,21 +269,30 @@ def coverage(counts: DataFrame) -> DataFrame:
     return counts.groupBy("category").agg(F.count("*").alias("n_patterns"), F.count_if(F.col("n_matches") > 0).alias("n_used"), F.sum("n_matches").alias("n_matches"))
 
 
-def pattern_positions(docs: DataFrame) -> DataFrame:
-    """(doc_id, category, pattern, start_char, match): every match of every pattern with its place, of overlapping ones of a category the longest from the left."""
-    import re
-    from collections.abc import Iterator
+_MATCH = pa.schema([("doc_id", pa.int64()), ("category", pa.string()), ("pattern", pa.string()), ("start_char", pa.int64()), ("match", pa.string())])
 
-    import pandas as pd
 
+def found_matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, category, pattern, start_char, match) of all patterns in batches of texts. A text at a time; matches leave as soon as they are many or long, so memory follows neither a batch nor a partition."""
     compiled = [(c, n, re.compile(p, re.M if n == "all_caps" else re.I | re.M)) for c, names in PATTERNS.items() for n, p in names.items()]
+    rows, room = [], 0
+    for batch in batches:
+        for key, value in zip(batch["doc_id"], batch["text"], strict=True):
+            text = value.as_py() or ""
+            for c, n, p in compiled if text else ():
+                for m in p.finditer(text):
+                    rows.append((key.as_py(), c, n, m.start(), m.group()))
+                    room += ROW_BYTES + len(m.group())
+                    if room >= BATCH_BYTES:
+                        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _MATCH, strict=True)], schema=_MATCH)
+                        rows, room = [], 0
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _MATCH, strict=True)], schema=_MATCH)
 
-    def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [(i, c, n, m.start(), m.group()) for i, t in zip(frame["doc_id"], frame["text"], strict=True) if t for c, n, p in compiled for m in p.finditer(t)]
-            yield pd.DataFrame(rows, columns=["doc_id", "category", "pattern", "start_char", "match"])
 
-    found = docs.select("doc_id", "text").mapInPandas(find, "doc_id long, category string, pattern string, start_char long, match string")
+def pattern_positions(docs: DataFrame) -> DataFrame:
+    """(doc_id, category, pattern, start_char, match): every match of every pattern with its place, of overlapping ones of a category the longest from the left."""
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(found_matches, "doc_id long, category string, pattern string, start_char long, match string")
     # Left to right, a match stays if it starts behind all that began before it, the longest first among those that start together.
     order = Window.partitionBy("doc_id", "category").orderBy("start_char", F.desc(F.length("match")), "pattern")
     before = F.max(F.col("start_char") + F.length("match")).over(order.rowsBetween(Window.unboundedPreceding, -1))

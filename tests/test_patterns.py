@@ -37,3 +37,14 @@ def test_positions_keep_the_longest(spark):
     rows = {(r.category, r.start_char, r.match) for r in structure.pattern_positions(docs).collect()}
     assert ("sections", 4, "Section 3.1 - On Terms") in rows and ("sections", 27, "Section 4") in rows and ("cross_references", 0, "see Section 3.1") in rows
     assert not [r for r in rows if r[0] == "sections" and r[1] == 4 and r[2] == "Section 3.1"]
+
+
+def test_positions_leave_a_worker_in_small_batches(spark, monkeypatch):
+    """A worker holds few matches at a time, and none are lost between batches."""
+    monkeypatch.setattr(structure, "BATCH_BYTES", 1_000)
+    text = "\n".join(f"Section {i}.1 - On Terms" for i in range(300))
+    docs = spark.createDataFrame([(1, text), (2, ""), (3, text)], "doc_id long, text string")
+    found = structure.pattern_positions(docs)
+    assert found.filter("category = 'sections'").groupBy("doc_id").count().orderBy("doc_id").collect() == [(1, 300), (3, 300)]
+    sizes = [b.num_rows for b in structure.found_matches(iter(docs.toArrow().to_batches()))]
+    assert len(sizes) > 10 and max(sizes) <= 1_000 // structure.ROW_BYTES + 1
