@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.scratch import written
 
+#: Nodes of a part of a large forest.
+PART = 1 << 17
+
 
 def paths(nodes: DataFrame) -> DataFrame:
     """(node, root, depth, path, places): each node's way from its root, as nodes and as ordinals.
@@ -16,6 +21,7 @@ def paths(nodes: DataFrame) -> DataFrame:
     level = nodes.filter("parent IS NULL").select("node", F.col("node").alias("root"), F.lit(0).cast("long").alias("depth"), F.array("node").alias("path"), F.array("ord").alias("places"))
     out = level
     edges = nodes.filter("parent IS NOT NULL").select(F.col("node").alias("child"), F.col("parent").alias("above"), F.col("ord").alias("place"))
+    edges = spread(edges, "above")
     while True:
         level = written(
             level.join(edges, level["node"] == edges["above"]).filter(~F.array_contains("path", F.col("child"))).select(
@@ -32,13 +38,38 @@ def closure(found: DataFrame) -> DataFrame:
     return found.select("node", F.posexplode("path").alias("pos", "ancestor"), "depth").select("ancestor", "node", (F.col("depth") - F.col("pos")).alias("distance"))
 
 
+def spread(rows: DataFrame, key: str = "node") -> DataFrame:
+    """The rows in as many parts as their number asks for, equal keys together: paths and edges are written so small that a split of a file, or of what is shuffled, holds very many, which would fill a task's memory."""
+    parts = -(-rows.count() // PART)
+    return rows.repartition(parts, key) if parts > rows.sparkSession.sparkContext.defaultParallelism else rows
+
+
+def subtree_kinds(found: DataFrame, rows: DataFrame, kinds: Sequence[str], kind: str = "kind") -> DataFrame:
+    """(node, one column a kind): for every subtree of a forest from :func:`paths` how many of its nodes are of each kind, by ``rows`` (node, kind), which have a row a node.
+
+    Nodes go up their own paths, which hold all that is needed: nothing is sorted or ranked. Partial sums shrink the rows of a part before they move.
+    """
+    placed = spread(found.select("node", "path")).join(rows.select("node", kind), "node", "left")
+    return placed.select(F.explode("path").alias("node"), kind).groupBy("node").agg(*[F.count_if(F.col(kind) == k).alias(k) for k in kinds])
+
+
 def measures(found: DataFrame) -> DataFrame:
-    """(node, size, height, n_leaves, n_children) of every subtree: one aggregation of the closure."""
-    pairs = closure(found)
-    inner = found.filter(F.size("path") > 1).select(F.get("path", F.size("path") - 2).alias("node")).groupBy("node").agg(F.count("*").alias("n_children"))
-    leaf = found.join(inner, "node", "left_anti").select("node", F.lit(1).alias("leaf"))
-    sized = pairs.join(leaf, "node", "left").groupBy(F.col("ancestor").alias("node")).agg(F.count("*").alias("size"), F.max("distance").alias("height"), F.count("leaf").alias("n_leaves"))
-    return sized.join(inner, "node", "left").select("node", "size", "height", "n_leaves", F.coalesce("n_children", F.lit(0)).alias("n_children"))
+    """(node, size, height, n_leaves, n_children) of every subtree of a forest from :func:`paths`.
+
+    Only nodes with children are summed over, each by the rows below it, which partial sums shrink before they move; a node without any is its own subtree. A node with several ways counts once a way.
+    """
+    found = spread(found.select("node", "depth", "path"))
+    below = found.select("depth", F.posexplode(F.slice("path", F.lit(1), F.size("path") - 1)).alias("pos", "node")).select("node", (F.col("depth") - F.col("pos")).alias("distance"))
+    inner = below.groupBy("node").agg(F.count("*").alias("n_below"), F.max("distance").alias("height"), F.count_if(F.col("distance") == 1).alias("n_children"))
+    leaf = found.join(inner.select("node"), "node", "left_anti")
+    leaves = leaf.select(F.explode(F.slice("path", F.lit(1), F.size("path") - 1)).alias("node")).groupBy("node").agg(F.count("*").alias("n_leaves"))
+    own = found.groupBy("node").agg(F.count("*").alias("ways"))
+    # The leaves are summed only where they are asked for: their keys are distinct, so Spark leaves out the join where the column is not read.
+    joined = own.join(inner, "node", "left").join(leaves, "node", "left")
+    return joined.select(
+        "node", (F.col("ways") + F.coalesce("n_below", F.lit(0))).alias("size"), F.coalesce("height", F.lit(0)).alias("height"),
+        F.when(F.col("n_below").isNull(), F.col("ways")).otherwise(F.coalesce("n_leaves", F.lit(0))).alias("n_leaves"), F.coalesce("n_children", F.lit(0)).alias("n_children"),
+    )
 
 
 def preorder(found: DataFrame) -> DataFrame:

@@ -32,6 +32,37 @@ def test_tree_measures(forest):
     assert (of[9]["size"], of[9].height, of[9].n_children) == (1, 0, 0)
 
 
+def test_large_forests_go_in_parts(spark, monkeypatch):
+    """Paths and their sums are dealt by number, so a part stays small however large the forest; results do not change."""
+    monkeypatch.setattr(trees, "PART", 8)
+    rows = [(i, (i - 1) // 2 if i else None, i) for i in range(200)]
+    forest = spark.createDataFrame(rows, NODES)
+    found = trees.paths(forest)
+    assert trees.spread(found).rdd.getNumPartitions() == 25
+    of = {r.node: r for r in trees.measures(found).collect()}
+    size = [1] * 200
+    for i in range(199, 0, -1):
+        size[(i - 1) // 2] += size[i]
+    assert len(of) == 200 and all(of[i]["size"] == size[i] and of[i].n_children == sum(2 * i + k < 200 for k in (1, 2)) for i in range(200))
+    kinds = forest.select("node", F.when(F.col("node") % 2 == 0, "even").otherwise("odd").alias("kind"))
+    both = {r.node: r for r in trees.subtree_kinds(found, kinds, ["even", "odd"]).collect()}
+    assert all(both[i].even + both[i].odd == size[i] for i in range(200)) and (both[0].even, both[5].odd) == (100, sum(k % 2 for k in range(200) if 5 in above(k)))
+
+
+def above(k):
+    return {k} | (above((k - 1) // 2) if k else set())
+
+
+def test_related_chunks_make_no_rows_of_other_elements(spark):
+    """Edges that repeat count once; elements that no chunk names are dropped before the chunks meet them."""
+    edges = spark.createDataFrame([(1, 2, "x"), (1, 2, "x"), (2, 3, "x"), (2, 4, "y"), (2, 4, "x")], "source long, target long, kind string")
+    refs = spark.createDataFrame([(10, 1), (11, 1), (12, 3), (13, 9), (14, 2)], "chunk long, element long")
+    got = graphs.related_chunks(refs.filter("chunk = 10").select("chunk"), refs, edges, 2).collect()
+    assert sorted((r.chunk, r.related, r.element, r.distance) for r in got) == [(10, 11, 1, 2), (10, 12, 3, 2), (10, 14, 2, 1)]
+    ends = spark.createDataFrame([(2,), (3,)], "node long")
+    assert {(r.node, r.distance) for r in graphs.within_hops(edges, spark.createDataFrame([(1,)], "node long"), 2, ends=ends).collect()} == {(2, 1), (3, 2)}
+
+
 def test_tree_edits(spark, forest):
     found = trees.paths(forest)
     pairs = spark.createDataFrame([(6, 5), (3, 6), (6, 2), (6, 9)], "a long, b long")
@@ -127,6 +158,16 @@ def test_nearest_each_equals_brute_force(spark):
     assert [r.vec_id for r in one.collect()] == [r.vec_id for r in got.filter("query_id = 0").orderBy("rank").collect()]
 
 
+def test_within_each_keeps_to_the_group(spark):
+    rows = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0], i % 3 if i % 11 else None) for i in range(60)], "vec_id long, embedding array<double>, label int")
+    asked = rows.filter("vec_id % 4 = 0")
+    label = {r.vec_id: r.label for r in rows.collect()}
+    every = {(r.query_id, r.vec_id, r.similarity) for r in search.within_each(asked, rows, 0.9, block=3).collect()}
+    own = {(r.query_id, r.vec_id, r.similarity) for r in search.within_each(asked, rows, 0.9, block=3, group="label").collect()}
+    assert own == {x for x in every if label[x[0]] is not None and label[x[0]] == label[x[1]]} and own
+    assert search.within_each(asked.limit(0), rows, 0.9, group="label").count() == 0
+
+
 def test_near_vectors_of_other_labels(spark):
     import numpy as np
 
