@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.operators import builders, structure
+from docloom.operators import builders, structure, trees
 from docloom.plans.base import registry, table
 from docloom.plans.chunk_queries import NUMBERED, legal
 from docloom.plans.graph_queries import CLOSURE, CUSTOMER, LEVELS, NATION, ORDERS, found, levels, nodes
@@ -85,10 +85,11 @@ def kind_of(node: Column) -> Column:
 
 @query(f"{CLOSURE}, t AS (SELECT ancestor, {_KIND} AS kind, count(*) AS n FROM c GROUP BY ancestor, kind) SELECT ancestor AS node, string_agg(kind || ':' || n, ',' ORDER BY kind) AS kinds FROM t GROUP BY ancestor")
 def subtree_type_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, spans = spans_of(spark, sf_dir)
+    """By paths, as trees of few levels are: intervals would rank all nodes first."""
+    names = ["customer", "nation", "order", "region"]
     rows = nodes(spark, sf_dir).select("node", kind_of(F.col("node")).alias("kind"))
-    kinds = builders.subtree_kinds(spans, rows, ["customer", "nation", "order", "region"])
-    return kinds.select("node", F.array_join(F.transform(F.array_sort(F.map_entries("kinds")), lambda x: F.concat(x["key"], F.lit(":"), x["value"].cast("string"))), ",").alias("kinds"))
+    kinds = trees.subtree_kinds(found(spark, sf_dir), rows, names)
+    return kinds.select("node", F.array_join(F.filter(F.array(*[F.when(F.col(k) > 0, F.concat(F.lit(f"{k}:"), F.col(k).cast("string"))) for k in names]), lambda x: x.isNotNull()), ",").alias("kinds"))
 
 
 NAMES = f"""t AS (SELECT r_regionkey::BIGINT AS node, r_name AS text FROM region UNION ALL SELECT {NATION} + n_nationkey, n_name FROM nation UNION ALL SELECT {CUSTOMER} + c_custkey, c_name FROM customer UNION ALL SELECT {ORDERS} + o_orderkey, o_orderpriority FROM orders)"""
