@@ -9,6 +9,8 @@ from docloom.scratch import written
 
 #: What a relation is called the other way round; others keep their name.
 REVERSE = {"parent_child": "child_parent", "child_parent": "parent_child", "references": "referenced_by", "referenced_by": "references", "follows": "precedes", "precedes": "follows"}
+#: Tasks over which the chunks of one element are dealt.
+SALTS = 16
 
 
 def reverse_kind(kind: Column) -> Column:
@@ -24,18 +26,19 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("source", "target", "kind").unionByName(back)
 
 
-def within_hops(edges: DataFrame, starts: DataFrame, hops: int = 2, kinds: list[str] | None = None) -> DataFrame:
+def within_hops(edges: DataFrame, starts: DataFrame, hops: int = 2, kinds: list[str] | None = None, ends: DataFrame | None = None) -> DataFrame:
     """(start, node, distance): all nodes that a walk of 1 to ``hops`` edges, either way, leads to from each start, with the fewest edges.
 
-    The start itself is found at distance 2 if it has an edge. Each hop is one join of the nodes just reached; repeats go before the next hop, so walks are never listed.
+    The start itself is found at distance 2 if it has an edge. Each hop is one join of the nodes just reached; repeats go before the next hop, so walks are never listed. Edges may repeat, and are not brought together to find out. With ``ends`` (node) only these nodes are returned, and the last hop takes edges to them alone.
     """
     used = edges if kinds is None else edges.filter(F.col("kind").isin(kinds))
-    step = used.select(F.col("source").alias("a"), F.col("target").alias("b")).union(used.select(F.col("target").alias("a"), F.col("source").alias("b"))).distinct()
+    step = used.select(F.col("source").alias("a"), F.col("target").alias("b")).union(used.select(F.col("target").alias("a"), F.col("source").alias("b")))
     reached = starts.select(F.col("node").alias("start"), "node")
     out = None
     for hop in range(1, hops + 1):
-        reached = reached.join(step, reached["node"] == step["a"]).select("start", F.col("b").alias("node")).distinct()
-        found = reached.withColumn("distance", F.lit(hop).cast("long"))
+        taken = step if ends is None or hop < hops else step.join(ends.select(F.col("node").alias("b")), "b", "left_semi")
+        reached = reached.join(taken, reached["node"] == taken["a"]).select("start", F.col("b").alias("node")).distinct()
+        found = (reached if ends is None or hop == hops else reached.join(ends, "node", "left_semi").select("start", "node")).withColumn("distance", F.lit(hop).cast("long"))
         out = found if out is None else out.unionByName(found)
     return out.groupBy("start", "node").agg(F.min("distance").alias("distance"))
 
@@ -43,10 +46,14 @@ def within_hops(edges: DataFrame, starts: DataFrame, hops: int = 2, kinds: list[
 def related_chunks(chunks: DataFrame, refs: DataFrame, edges: DataFrame, hops: int = 2) -> DataFrame:
     """(chunk, related, element, distance): chunks that refer to elements near those of a chunk; a row for each reference, the chunk itself left out."""
     starts = refs.join(chunks.select("chunk"), "chunk").select("chunk", F.col("element").alias("start"))
-    near = within_hops(edges, starts.select(F.col("start").alias("node")).distinct(), hops)
+    # Of the elements near by only those that a chunk refers to go on, before a row for each chunk is made of them.
+    near = within_hops(edges, starts.select(F.col("start").alias("node")).distinct(), hops, ends=refs.select(F.col("element").alias("node")).distinct())
     found = starts.join(near, "start").select("chunk", F.col("node").alias("element"), "distance")
-    other = refs.select(F.col("chunk").alias("related"), "element")
-    return found.join(other, "element").filter(F.col("related") != F.col("chunk")).select("chunk", "related", "element", "distance")
+    # An element that many chunks name makes many rows of few: its chunks are dealt over tasks, whatever the size of what goes in.
+    n, salt = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.pmod(F.xxhash64("related"), F.lit(SALTS))
+    other = refs.select(F.col("chunk").alias("related"), "element").withColumn("salt", salt).repartition(n, "element", "salt")
+    found = found.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))).repartition(n, "element", "salt")
+    return found.join(other, ["element", "salt"]).filter(F.col("related") != F.col("chunk")).select("chunk", "related", "element", "distance")
 
 
 def on_cycles(parents: DataFrame) -> DataFrame:

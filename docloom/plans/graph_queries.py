@@ -116,9 +116,13 @@ def tree_build_breadth_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 EDGES = "edges AS (SELECT DISTINCT l_partkey AS source, 1000000000 + l_suppkey AS target, l_returnflag AS kind FROM lineitem)"
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem")
-    return rows.select(F.col("l_partkey").alias("source"), (F.col("l_suppkey") + 1_000_000_000).alias("target"), F.col("l_returnflag").alias("kind")).distinct()
+    return rows.select(F.col("l_partkey").alias("source"), (F.col("l_suppkey") + 1_000_000_000).alias("target"), F.col("l_returnflag").alias("kind"))
+
+
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return links(spark, sf_dir).distinct()
 
 
 HOPS = """s AS (SELECT DISTINCT source AS a, target AS b FROM edges WHERE kind = 'R' UNION SELECT DISTINCT target, source FROM edges WHERE kind = 'R'), h1 AS (SELECT p_partkey AS start, b AS node FROM part JOIN s ON a = p_partkey WHERE p_partkey % 50 = 0),
@@ -128,7 +132,7 @@ h2 AS (SELECT DISTINCT start, b AS node FROM h1 JOIN s ON a = node)"""
 @query(f"WITH {EDGES}, {HOPS} SELECT start, node, min(distance)::BIGINT AS distance FROM (SELECT DISTINCT start, node, 1 AS distance FROM h1 UNION ALL SELECT start, node, 2 FROM h2) GROUP BY start, node")
 def graph_k_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
     starts = table(spark, sf_dir, "part").filter("p_partkey % 50 = 0").select(F.col("p_partkey").alias("node"))
-    return graphs.within_hops(edges(spark, sf_dir), starts, 2, ["R"])
+    return graphs.within_hops(links(spark, sf_dir), starts, 2, ["R"])
 
 
 @query(
@@ -137,7 +141,7 @@ def graph_k_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def graph_related_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     refs = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("chunk"), (F.col("c_custkey") % 97).alias("element"))
-    return graphs.related_chunks(refs.select("chunk").filter("chunk % 50 = 0"), refs, edges(spark, sf_dir), 2)
+    return graphs.related_chunks(refs.select("chunk").filter("chunk % 50 = 0"), refs, links(spark, sf_dir), 2)
 
 
 @query("SELECT p_partkey AS node FROM part WHERE p_partkey % 10 IN (0, 1, 2)")
