@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import numbering
 from docloom.functions import tokens as tk
-from docloom.functions.text import strip
+from docloom.functions.text import WHITE
 from docloom.operators import trees
 
 #: Kinds of elements, those that are sections, confidences of edges made from parents, and the advice on numbering.
@@ -163,17 +163,17 @@ def _runs(least: int, target: int, most: int):
     return F.pandas_udf(places, "array<struct<start:int,n:int>>")
 
 
-def optimised_sizes(pieces: DataFrame, least: int, target: int, most: int) -> DataFrame:
+def optimised_sizes(pieces: DataFrame, least: int, target: int, most: int, ends: str = WHITE) -> DataFrame:
     """(doc_id, chunk_index, content, n_merged, tokens) of chunks (doc_id, chunk_index, content): small ones (under ``least`` tokens) joined by blank lines until they reach ``target`` or one of fitting size comes; ones over ``most`` cut into equal parts.
 
-    No text is dropped, also where joined ones exceed ``most``. Only token counts leave the JVM.
+    Joined ones lose ``ends`` at their ends, and what is made of them alone goes. No other text is dropped, also where joined ones exceed ``most``. Only token counts leave the JVM.
     """
     ordered = pieces.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "content"))).alias("x")).select("doc_id", F.col("x.content").alias("texts"))
     counted = ordered.withColumn("counts", F.transform("texts", lambda t: tk.char_tokens(t)))
     runs = counted.withColumn("runs", _runs(least, target, most)("counts")).select("doc_id", "texts", F.posexplode("runs").alias("pos", "at"))
     own = F.slice("texts", F.col("at.start") + 1, F.col("at.n"))
-    joined = F.when(F.col("at.n") == 1, F.get("texts", F.col("at.start"))).otherwise(F.array_join(F.filter(F.transform(own, lambda t: strip(t)), lambda t: t != ""), "\n\n"))
-    rows = runs.select("doc_id", "pos", F.col("at.n").cast("long").alias("n_merged"), joined.alias("content")).filter(strip(F.col("content")) != "")
+    joined = F.when(F.col("at.n") == 1, F.get("texts", F.col("at.start"))).otherwise(F.array_join(F.filter(F.transform(own, lambda t: F.btrim(t, F.lit(ends))), lambda t: t != ""), "\n\n"))
+    rows = runs.select("doc_id", "pos", F.col("at.n").cast("long").alias("n_merged"), joined.alias("content")).filter(F.btrim(F.col("content"), F.lit(ends)) != "")
     parts = F.when(F.col("n_merged") == 1, F.greatest(F.lit(1), F.ceil(tk.char_tokens(F.col("content")) / most))).otherwise(1).cast("int")
     width = F.ceil(F.length("content") / parts).cast("int")
     cut = F.transform(F.sequence(F.lit(0), parts - 1), lambda i: F.substring("content", i * width + 1, width))

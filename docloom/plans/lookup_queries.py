@@ -114,7 +114,7 @@ def edges_from_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chunk_sizes_optimised(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences as chunks, brought to sizes from 20 to 100 tokens."""
     pieces = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(tx.sentences(F.col("text"))).alias("chunk_index", "content"))
-    return outline.optimised_sizes(pieces, 20, 60, 100)
+    return outline.optimised_sizes(pieces, 20, 60, 100, ends=" ")
 
 
 @query(

@@ -1,9 +1,11 @@
 """Look-ups over outlines, advice on numbering, and chunk sizes."""
 
+import duckdb
 from pyspark.sql import functions as F
 
 from docloom.functions import text as tx
 from docloom.operators import outline
+from docloom.plans import lookup_queries
 
 ROWS = [
     (1, 1, "chapter", "IV", "roman_upper", [4], 0, "CHAPTER IV of Things", 0.9, 0.8), (1, 2, "section", "4.1", "decimal", [4, 1], 1, "Section 4.1", 1.0, 0.8), (1, 3, "section", "4.3", "decimal", [4, 3], 1, "Section 4.3", 1.0, None), (1, 4, "heading", None, "mixed", [], 2, "a heading", 0.4, None),
@@ -71,6 +73,18 @@ def test_optimised_sizes_of_sentences(spark):
     assert got == [("0 zero 0.\n\n1 one 1.\n\n2 two 2.", 3), ("3" * 81 + ".", 1)]
 
 
+def test_optimised_sizes_of_odd_spaces(spark, tmp_path):
+    """As in its SQL, sentences lose only spaces at their ends, a text of white space alone stays, and U+0001 ends a sentence."""
+    texts = ["\nfoo. \xa0bar.  baz\n", "\n\n\n", " \u2003\u2003 ", "\t" + "x" * 450 + "\u3000", "one\x01two. \x01three", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(f"SELECT * FROM ({lookup_queries.SQL['chunk_sizes_optimised']}) ORDER BY doc_id, chunk_index").fetchall()
+    got = lookup_queries.chunk_sizes_optimised(spark, str(tmp_path)).orderBy("doc_id", "chunk_index").collect()
+    assert [tuple(r) for r in got] == want
+    assert [r.content for r in got if r.doc_id in (0, 1, 4)] == ["\nfoo.\n\n\xa0bar.\n\nbaz\n", "\n\n\n", "one\n\ntwo.\n\nthree"]
+
+
 def test_encodings_and_types(spark):
     rows = spark.createDataFrame([("UTF_16", "application/pdf", "x.txt"), (None, None, "a/B.DOCX"), ("latin1", "image/png", "c.doc"), ("", None, "no_extension"), (None, "text/plain", None)], "d string, mime string, name string")
     got = rows.select(tx.encoding_order(F.col("d")).alias("e"), tx.typed(F.col("mime"), F.col("name")).alias("t")).collect()
