@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -112,6 +113,7 @@ NEEDED = {
     "bullet_asterisk": "*", "bullet_dot": "•", "whereas": "whereas", "therefore": "therefore", "provided_that": "provided", "subject_to": "subject", "notwithstanding": "notwithstanding", "in_accordance_with": "accordance",
     "see_section": "section", "see_article": "article", "pursuant_to": "pursuant", "in_section": "section", "under_section": "under", "tab_indented": "\t",
 }
+_COUNT = pa.schema([("category", pa.string()), ("pattern", pa.string()), ("n_docs", pa.int64()), ("n_matches", pa.int64())])
 #: Room of the matches that a worker holds, and of one without its text.
 BATCH_BYTES, ROW_BYTES = 4 << 20, 200
 
@@ -133,37 +135,43 @@ def legal_view(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return docs.withColumn("text", F.concat(head, body, F.coalesce("text", F.lit(""))))
 
 
-def _java(name: str, pattern: str) -> str:
-    """The pattern for Spark: lines end at \n only, and a line may begin at the very end of the text."""
-    start = r"(?:\A|(?<=\n))" if name == "whitespace_only" else ""
-    return pattern_flags(name).replace("m)", "md)") + (start + pattern[1:] if start else pattern)
+def _counted(name: str, pattern: str) -> str:
+    """The pattern for counts by Arrow, which takes what is left behind a match for a text of its own: a match goes on to the end of its line or word, where no other could begin, so a line or word begins there only if one does in the text."""
+    if name == "centered":
+        pattern = pattern.replace(r"\s{10,}$", r"\s{9,}(?:[^\S\n]$\n?|\n$)")
+    elif pattern.startswith("^") and not pattern.endswith("$"):
+        pattern += r"[^\n]*\n?"
+    elif name in PATTERNS["cross_references"]:
+        pattern += r"\w*"
+    return pattern_flags(name) + pattern
 
 
-def _title_runs(text: Column) -> Column:
-    """Matches of title_case: runs of lines made of words of two or more ASCII letters, blank lines between them or not.
-
-    The pattern itself would recurse once a word.
-    """
-    full = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"\S"))
-    words = F.transform(full, lambda x: x.rlike(r"^[A-Za-z\s]+$") & ~x.rlike(r"(?<![A-Za-z])[A-Za-z](?![A-Za-z])"))
-    return F.size(F.filter(F.transform(words, lambda x, i: x & ~F.coalesce(F.get(words, i - 1), F.lit(False))), lambda x: x))
+def _blank_runs(texts: pa.Array) -> pa.Array:
+    """Matches of whitespace_only: runs of blank lines, and once more those of several lines that end in an empty one."""
+    end, nothing = pa.scalar("\n", texts.type), pa.scalar("", texts.type)
+    padded = pc.binary_join_element_wise(end, texts, end, nothing)
+    return pc.add(pc.count_substring_regex(padded, r"\n\s*\n"), pc.count_substring_regex(padded, r"\n\s*\n\n(?:[^\S\n]*\S|\z)"))
 
 
-def pattern_count(text: Column, category: str, name: str, low: Column | None = None) -> Column:
-    """Matches of one pattern in a text; the pattern itself is tried only where the text, in small letters ``low``, holds what it needs."""
-    if not pattern_supported(category, name):
-        raise ValueError(f"no such pattern: {category}.{name}")
-    found = _title_runs(text) if name == "title_case" else F.regexp_count(text, F.lit(_java(name, PATTERNS[category][name])))
-    needed = NEEDED.get(name, NEEDED.get(category))
-    return (F.when(F.contains(F.lower(text) if low is None else low, F.lit(needed)), found).otherwise(0) if needed else found).cast("long")
+def counted_matches(batches: Iterator[pa.RecordBatch], wanted: dict[str, dict[str, str]]) -> Iterator[pa.RecordBatch]:
+    """(category, pattern, n_docs, n_matches) of each batch of texts; a pattern is tried only on texts that hold what it needs."""
+    for batch in batches:
+        texts, rows, last, some = batch["text"], [], None, None
+        for c, names in wanted.items():
+            for n, p in names.items():
+                needed = NEEDED.get(n, NEEDED.get(c))
+                if needed and needed != last:  # one copy of texts at a time
+                    last, some = needed, texts.filter(pc.match_substring(texts, needed, ignore_case=True))
+                found = _blank_runs(texts) if n == "whitespace_only" else pc.count_substring_regex(some if needed else texts, _counted(n, p))
+                rows.append((c, n, pc.sum(pc.greater(found, 0)).as_py() or 0, pc.sum(found).as_py() or 0))
+        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _COUNT, strict=True)], schema=_COUNT)
 
 
 def pattern_counts(docs: DataFrame, categories: list[str] | None = None) -> DataFrame:
-    """(category, pattern, n_docs, n_matches) over a table of texts, in one scan; of some categories or all."""
+    """(category, pattern, n_docs, n_matches) over a table of texts, in one scan; of some categories or all. One row a pattern and batch of texts is exchanged."""
     wanted = {c: PATTERNS[c] for c in (categories or PATTERNS)}
-    counts = [F.struct(F.lit(c).alias("category"), F.lit(n).alias("pattern"), F.coalesce(pattern_count(F.col("text"), c, n, F.col("__low")), F.lit(0)).alias("n")) for c, names in wanted.items() for n in names]
-    rows = docs.select("text", F.lower("text").alias("__low")).select(F.explode(F.array(*counts)).alias("x")).select("x.*")
-    return rows.groupBy("category", "pattern").agg(F.count_if(F.col("n") > 0).alias("n_docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_matches"))
+    rows = docs.select("text").mapInArrow(lambda batches: counted_matches(batches, wanted), "category string, pattern string, n_docs long, n_matches long")
+    return rows.groupBy("category", "pattern").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_matches").alias("n_matches"))
 
 
 def lines(docs: DataFrame) -> DataFrame:

@@ -3,7 +3,11 @@
 import random
 import re
 
+import duckdb
+import pyarrow as pa
+
 from docloom.operators import structure
+from docloom.plans import chunk_queries
 
 PIECES = (
     "§ 12.3", "§§ 1 - 2.4", "§ 1, 2.5 , 3", "Article IV", "ARTICLE 2: Terms", "article iv – Of Things", "Article X.", "Section 3.1", "section 4 - On More", "Section 5. Next", "(Section 9)", "Chapter II", "chapter 3.", "Subsection 2.1: x", "(subsection 4)", "1.", "1.2", "12 apples", "3) three", "(4) four",
@@ -48,3 +52,25 @@ def test_positions_leave_a_worker_in_small_batches(spark, monkeypatch):
     assert found.filter("category = 'sections'").groupBy("doc_id").count().orderBy("doc_id").collect() == [(1, 300), (3, 300)]
     sizes = [b.num_rows for b in structure.found_matches(iter(docs.toArrow().to_batches()))]
     assert len(sizes) > 10 and max(sizes) <= 1_000 // structure.ROW_BYTES + 1
+
+
+def test_counts_as_in_sql_on_odd_texts(spark, tmp_path):
+    """Matches side by side, lone carriage returns and vertical tabs count as in the SQL, and no pattern is tried row by row in the JVM."""
+    rnd = random.Random(9)
+    ends = ["\n", "\n\n", "\r", "\r\n", " ", "    ", "          ", "\t", "\v", "\xa0", "x", "4", "---", ".", "", "\n   ", " \n \n"]
+    texts = ["".join(rnd.choice(PIECES) + rnd.choice(ends) for _ in range(rnd.randrange(1, 12))) for _ in range(400)]
+    texts += ["see section 4see section 5", "1. a\r2. b\n3. c", "a\n   b\n    c", "\v", "a\n\v\n\nb", "section\v2", "          mid          \n          mid          \n\nx", "a\n---\n---", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("pattern_counts_by_category", "pattern_coverage"):
+        found = chunk_queries.QUERIES[name](spark, str(tmp_path))
+        assert sorted(tuple(r) for r in found.collect()) == sorted(con.execute(chunk_queries.SQL[name]).fetchall())
+        assert "regexp" not in found._jdf.queryExecution().executedPlan().toString().lower()
+
+
+def test_counts_leave_a_worker_as_one_row_a_pattern():
+    batch = pa.RecordBatch.from_arrays([pa.array(["Section 1", None, "Section 2\nSection 3"] * 50)], names=["text"])
+    out = list(structure.counted_matches(iter([batch, batch.slice(0, 0)]), structure.PATTERNS))
+    assert [b.num_rows for b in out] == [60, 60]
+    assert [(r["n_docs"], r["n_matches"]) for b in out for r in b.to_pylist() if r["pattern"] == "section_basic"] == [(100, 150), (0, 0)]
