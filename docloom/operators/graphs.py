@@ -9,8 +9,8 @@ from docloom.scratch import written
 
 #: What a relation is called the other way round; others keep their name.
 REVERSE = {"parent_child": "child_parent", "child_parent": "parent_child", "references": "referenced_by", "referenced_by": "references", "follows": "precedes", "precedes": "follows"}
-#: Tasks over which the chunks of one element are dealt.
-SALTS = 16
+#: Parts into which the chunks of one element are dealt, on the asking and on the other side.
+SALTS = 4
 
 
 def reverse_kind(kind: Column) -> Column:
@@ -45,15 +45,16 @@ def within_hops(edges: DataFrame, starts: DataFrame, hops: int = 2, kinds: list[
 
 def related_chunks(chunks: DataFrame, refs: DataFrame, edges: DataFrame, hops: int = 2) -> DataFrame:
     """(chunk, related, element, distance): chunks that refer to elements near those of a chunk; a row for each reference, the chunk itself left out."""
-    starts = refs.join(chunks.select("chunk"), "chunk").select("chunk", F.col("element").alias("start"))
+    starts = refs.join(chunks.select("chunk"), "chunk", "left_semi").select("chunk", F.col("element").alias("start")).distinct()
     # Of the elements near by only those that a chunk refers to go on, before a row for each chunk is made of them.
     near = within_hops(edges, starts.select(F.col("start").alias("node")).distinct(), hops, ends=refs.select(F.col("element").alias("node")).distinct())
     found = starts.join(near, "start").select("chunk", F.col("node").alias("element"), "distance")
-    # An element that many chunks name makes many rows of few: its chunks are dealt over tasks, whatever the size of what goes in.
-    n, salt = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.pmod(F.xxhash64("related"), F.lit(SALTS))
-    other = refs.select(F.col("chunk").alias("related"), "element").withColumn("salt", salt).repartition(n, "element", "salt")
-    found = found.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))).repartition(n, "element", "salt")
-    return found.join(other, ["element", "salt"]).filter(F.col("related") != F.col("chunk")).select("chunk", "related", "element", "distance")
+    # An element that many chunks name makes many rows of few: both its sides are dealt over tasks, each part of one meeting each of the other, whatever the size of what goes in.
+    n, every = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
+    part = lambda key: F.pmod(F.xxhash64(key), F.lit(SALTS))
+    other = refs.select(F.col("chunk").alias("related"), "element").withColumns({"to": part("related"), "by": every}).repartition(n, "element", "by", "to")
+    found = found.withColumns({"by": part("chunk"), "to": every}).repartition(n, "element", "by", "to")
+    return found.join(other, ["element", "by", "to"]).filter(F.col("related") != F.col("chunk")).select("chunk", "related", "element", "distance")
 
 
 def on_cycles(parents: DataFrame) -> DataFrame:

@@ -63,6 +63,22 @@ def test_related_chunks_make_no_rows_of_other_elements(spark):
     assert {(r.node, r.distance) for r in graphs.within_hops(edges, spark.createDataFrame([(1,)], "node long"), 2, ends=ends).collect()} == {(2, 1), (3, 2)}
 
 
+def test_every_chunk_asks_for_its_related_ones(spark):
+    import duckdb
+
+    from docloom.plans import graph_queries
+
+    sf, con = "/root/testdata/sf0.001", duckdb.connect()
+    chunks = [k for (k,) in con.execute(f"SELECT c_custkey FROM '{sf}/customer.parquet'").fetchall()]
+    sold = set(con.execute(f"SELECT l_partkey, l_suppkey FROM '{sf}/lineitem.parquet'").fetchall())
+    by = {p: {s for q, s in sold if q == p} for p in {k % 97 for k in chunks}}
+    want = [(a, b, b % 97, 2) for a in chunks for b in chunks if a != b and by[a % 97] & by[b % 97]]
+    assert sorted(map(tuple, graph_queries.graph_related_chunks(spark, sf).collect())) == sorted(want) and any(a % 50 for a, *_ in want)
+    refs = spark.createDataFrame([(1, 7), (2, 7), (2, 7)], "chunk long, element long")
+    got = graphs.related_chunks(refs.select("chunk"), refs, spark.createDataFrame([(7, 8, "x")], "source long, target long, kind string")).collect()
+    assert sorted((r.chunk, r.related) for r in got) == [(1, 2), (1, 2), (2, 1)]  # a row for each reference found, whatever the number of those that ask
+
+
 def test_tree_edits(spark, forest):
     found = trees.paths(forest)
     pairs = spark.createDataFrame([(6, 5), (3, 6), (6, 2), (6, 9)], "a long, b long")
