@@ -200,6 +200,28 @@ def test_near_vectors_of_other_labels(spark):
     assert search.within_each(spark.createDataFrame([], "vec_id long, embedding array<double>"), spark.createDataFrame([(1, [1.0])], "vec_id long, embedding array<double>"), 0.3).count() == 0
 
 
+def test_near_copies_of_the_whole_table(spark):
+    import numpy as np
+
+    from docloom.plans import table_queries
+
+    def brute(rows, at_least):
+        matrix = np.array([v for _, v in rows], dtype=np.float64)
+        matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
+        alike = np.round(matrix @ matrix.T, 6)
+        return sorted((rows[i][0], rows[k][0], alike[i, k].item()) for i, k in zip(*np.nonzero(alike >= at_least), strict=True) if rows[i][0] != rows[k][0])
+
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect()]
+    want = brute(rows, 0.3)
+    assert sorted(map(tuple, table_queries.near_dup_cosine(spark, "/root/testdata/sf0.01").collect())) == want and any(a % 50 and b % 50 for a, b, _ in want)
+    rows = [(i, [float(i % 7), float(i % 5), float(i % 3)]) for i in range(60)] + [(7, [1.0, 1.0, 1.0])]
+    table = spark.createDataFrame([*rows, (99, None), (None, [1.0, 1.0, 1.0])], "vec_id long, embedding array<double>")
+    for block in (3, 1000):
+        got = sorted(map(tuple, search.links(table, 0.9, block=block).collect()))
+        assert [x[:2] for x in got] == [x[:2] for x in brute(rows, 0.9)] and np.allclose([x[2] for x in got], [x[2] for x in brute(rows, 0.9)], atol=2e-6)
+    assert search.links(table.limit(0), 0.9).count() == 0
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes("grüße".encode())
     (tmp_path / "b.md").write_bytes("wide".encode("utf-16"))
